@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .quality import OP3_SQL, op3_quality_rules
+from .secrets import op2_secret_scan
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op8_sharding": op8_sharding,
 }
