@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op9_bpe": op9_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op8_sharding": op8_sharding,
