@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents
 
 #: Pre-tokens whose ids a Python worker remembers at most; then it starts anew. It bounds memory only.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Longer pre-tokens are not remembered.
 CACHE_BYTES = 64
 
