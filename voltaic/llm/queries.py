@@ -6,8 +6,10 @@ from .bpe import op9_bpe
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op9_bpe": op9_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
