@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .decontamination import OP5_SQL, op5_decontamination
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
     "op1_toxicity": op1_toxicity,
     "op9_bpe": op9_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -16,4 +18,4 @@ QUERIES = {
     "op8_sharding": op8_sharding,
 }
 
-SQL = {"op3_quality_rules": OP3_SQL}
+SQL = {"op5_decontamination": OP5_SQL, "op3_quality_rules": OP3_SQL}
