@@ -7,10 +7,12 @@ from .decontamination import OP5_SQL, op5_decontamination
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
+from .suffix_array import op4_suffix_array
 from .tokenfiles import op10_token_files
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op4_suffix_array": op4_suffix_array,
     "op10_token_files": op10_token_files,
     "op5_decontamination": op5_decontamination,
     "op1_toxicity": op1_toxicity,
