@@ -8,10 +8,12 @@ from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
 from .suffix_array import op4_suffix_array
+from .suffix_tree import OP6_SQL, op6_suffix_tree
 from .tokenfiles import op10_token_files
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op6_suffix_tree": op6_suffix_tree,
     "op4_suffix_array": op4_suffix_array,
     "op10_token_files": op10_token_files,
     "op5_decontamination": op5_decontamination,
@@ -22,4 +24,4 @@ QUERIES = {
     "op8_sharding": op8_sharding,
 }
 
-SQL = {"op5_decontamination": OP5_SQL, "op3_quality_rules": OP3_SQL}
+SQL = {"op6_suffix_tree": OP6_SQL, "op5_decontamination": OP5_SQL, "op3_quality_rules": OP3_SQL}
