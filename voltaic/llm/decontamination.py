@@ -211,18 +211,26 @@ def _merged(hits: Column) -> Column:
     )
 
 
+def _n_blocks(items: DataFrame, block_bytes: int) -> int:
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, -(-total // block_bytes))
+
+
+def _block(items: DataFrame, k: int, n_blocks: int) -> Block:
+    mine = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+    return make_block([tuple(r) for r in mine.collect()])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, n_words, ``hits`` (ranges of words) and ``items``, a row per document."""
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.lit(0).cast("bigint").alias("_key"))
     items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].alias("text")).where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-total // block_bytes))
+    n_blocks = _n_blocks(items, block_bytes)
     if n_blocks > 1:
         docs = docs.withColumn("_key", F.xxhash64("text"))
     parts = []
     for k in range(n_blocks):
-        mine = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        block = make_block([tuple(r) for r in mine.collect()])
+        block = _block(items, k, n_blocks)
         parts.append(_scan(docs, block, _prefixes(block, _frequencies(docs, block))))
     if n_blocks == 1:
         return parts[0].drop("_key")
@@ -233,6 +241,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return grouped.select("doc_id", "n_words", _merged(F.col("hits")).alias("hits"), "items")
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` has no window of any item, all columns as they are."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    n_blocks = _n_blocks(items, block_bytes)
+    out = docs
+    for k in range(n_blocks):
+        block = _block(items, k, n_blocks)
+        out = out.mapInArrow(_clean(block, _prefixes(block, _frequencies(docs, block))), docs.schema)
+    return out
+
+
+def _clean(block: Block, prefixes: dict[int, Prefixes]):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for i, _, data, offsets in chunks(batch):
+                w = _words(data, offsets)
+                for start, _ in _hits(w, block, prefixes):
+                    keep[i + w.row[start]] = False
+            yield batch.filter(pa.array(keep))
+
+    return clean
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])

@@ -50,18 +50,14 @@ def _repeat_words(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host and the counts that the rules look at, a row per document."""
+def _with_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with a struct ``_q`` of the counts that the rules look at."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.trim(F.col("_t"), F.lit(WHITE))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.trim(x, F.lit(WHITE)) != "")
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("_t")).select(
-        "doc_id", "host", "_t", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \t\n\x0B\f\r]+", -1)).alias("_w"), lines.alias("_l")
-    )
+    parts = docs.withColumn("_t", text).withColumns({"_w": F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \t\n\x0B\f\r]+", -1)), "_l": lines})
     length = F.char_length
-    return parts.select(
-        "doc_id",
-        "host",
+    counts = F.struct(
         F.size("_w").cast("long").alias("n_words"),
         length(F.translate("_t", WHITE, "")).cast("long").alias("word_chars"),
         (length("_t") - length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -69,20 +65,22 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_w")).cast("long").alias("n_repeat_words"),
     )
+    return parts.withColumn("_q", counts).drop("_t", "_w", "_l")
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """doc_id, host and the counts that the rules look at, a row per document."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    return _with_counts(rows, "text").select("doc_id", "host", "_q.*")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(q: str = "") -> Column:
+    return F.expr(f"{q}n_words < 10 or 100 * {q}n_repeat_words > 20 * {q}n_words")
 
 
-def soft_failed() -> Column:
+def soft_failed(q: str = "") -> Column:
     """Symbols over a tenth of the letters, over 30 % repeated lines, or a mean word under 2 or over 20 letters."""
-    return (
-        (10 * F.col("n_symbols") > F.col("word_chars"))
-        | (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))
-        | (F.col("word_chars") < 2 * F.col("n_words"))
-        | (F.col("word_chars") > 20 * F.col("n_words"))
-    )
+    return F.expr(f"10 * {q}n_symbols > {q}word_chars or 100 * {q}n_dup_lines > 30 * {q}n_lines or {q}word_chars < 2 * {q}n_words or {q}word_chars > 20 * {q}n_words")
 
 
 def host_verdicts(scored: DataFrame, rate: float = HOST_RATE) -> DataFrame:
@@ -113,6 +111,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.coalesce("host_bad", F.lit(False))))
 
 
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are. Counts are made twice, so that texts need no shuffle."""
+    failed = features(docs, host_col, text_col, host_col).select("host", (base_failed() | soft_failed()).alias("failed"))
+    bad = stage(host_verdicts(failed).where("host_bad").select(F.col("host").alias("_host"), F.lit(True).alias("_bad")))
+    rows = _with_counts(docs, text_col)
+    rows = rows.join(bad, rows[host_col].eqNullSafe(bad["_host"]), "left")
+    return rows.where(~base_failed("_q.") & ~(soft_failed("_q.") & F.coalesce("_bad", F.lit(False)))).select(*(rows[c] for c in docs.columns))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .decontamination import OP5_SQL, op5_decontamination
+from .jaccard import op7_jaccard
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
@@ -13,6 +14,7 @@ from .tokenfiles import op10_token_files
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op7_jaccard": op7_jaccard,
     "op6_suffix_tree": op6_suffix_tree,
     "op4_suffix_array": op4_suffix_array,
     "op10_token_files": op10_token_files,
