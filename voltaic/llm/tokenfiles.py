@@ -33,7 +33,9 @@ from ._common import CHUNK, documents, shared_dir, stage
 from .rangecoder import BLOCK, decode_block, encode_block
 
 #: Distinct words whose ids a Python worker remembers at most; it bounds memory only.
-CACHE = 1_000_000
+CACHE = 800_000
+#: How the vocabulary marks the end of a pre-token, and stops that are pre-tokens of their own after letters.
+WORD_END, STOPS = "</w>", ".,;:!?"
 _FOOT = struct.Struct("<4sQQQI")
 _MAGIC = b"VTF1"
 MANIFEST = "part int, path string, docs bigint, ids bigint"
@@ -51,42 +53,58 @@ class WordTokenizer:
         whole = self._ids("One, two\n\t three.  Four")
         if whole != [i for w in "One, two\n\t three.  Four".split() for i in self._ids(w)]:
             raise ValueError("this tokenizer does not drop white space")
-        added = self.tool.get_added_tokens_decoder()
-        #: A special token that stands between words that are encoded together.
-        self.mark = next(((i, t.content) for i, t in added.items() if t.special and not t.normalized and not t.lstrip and not t.rstrip), None)
-        self.specials = [t.content.encode() for t in added.values()]
+        #: Whether an id ends a pre-token.
+        self.ends = np.zeros(self.size, dtype=bool)
+        self.ends[[i for t, i in self.tool.get_vocab(with_added_tokens=False).items() if t.endswith(WORD_END)]] = True
+        self.stops = {c.encode(): np.array(self._ids(c), dtype="<u4").tobytes() for c in STOPS}
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tool.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
-        known = self.known
-        plain = [w for w in words if self.mark and not any(s in w for s in self.specials)]
-        if plain:
-            number, content = self.mark
-            raw = content.encode()
-            ids = np.array(self._ids(raw.join(plain).decode()), dtype="<u4")
-            cuts = np.flatnonzero(ids == number)
-            whole, ends, begin = ids.tobytes(), np.append(cuts, len(ids)).tolist(), 0
-            for w, end in zip(plain, ends, strict=True):
-                known[w] = whole[4 * begin : 4 * end]
-                begin = end + 1
+        """Ids of new words. Words of letters are encoded fifty at a time, one of letters and a stop in two parts, others alone."""
+        known, plain, stopped, others = self.known, {}, [], []
         for w in words:
-            if w not in known:
-                known[w] = np.array(self._ids(w.decode()), dtype="<u4").tobytes()
+            s = w.decode()
+            if s.isalpha():
+                plain[w] = s
+            elif s[-1] in STOPS and (s := s[:-1]).isalpha():
+                stopped.append(w)
+                if w[:-1] not in known:
+                    plain[w[:-1]] = s
+            else:
+                others.append(w)
+        keys, values = list(plain), list(plain.values())
+        groups = [(keys[i : i + 50], values[i : i + 50]) for i in range(0, len(keys), 50)]
+        for (group, _), found in zip(groups, self.tool.encode_batch_fast([" ".join(v) for _, v in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids])
+            if len(cuts) != len(group):  # a word of these is more than one pre-token
+                others += group
+                continue
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(group, (4 * cuts + 4).tolist(), strict=True):
+                known[w] = raw[begin:end]
+                begin = end
+        for w, found in zip(others, self.tool.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
+            known[w] = np.array(found.ids, dtype="<u4").tobytes()
+        for w in stopped:
+            known[w] = known[w[:-1]] + self.stops[w[-1:]]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE:
             self.known.clear()
+        known, end = self.known, struct.pack("<I", end_id)
         parts = [(t or "").encode().split() for t in texts]
-        known = self.known
-        if new := list(dict.fromkeys(w for p in parts for w in p if w not in known)):
-            for i in range(0, len(new), 50_000):
-                self._learn(new[i : i + 50_000])
-        end = struct.pack("<I", end_id)
-        return [b"".join([*map(known.__getitem__, p), end]) for p in parts]
+        found = [list(map(known.get, p)) for p in parts]
+        short = [k for k, f in enumerate(found) if None in f]
+        if short:
+            self._learn(list({w for k in short for w, f in zip(parts[k], found[k], strict=True) if f is None}))
+            for k in short:
+                found[k] = list(map(known.__getitem__, parts[k]))
+        return [b"".join([*f, end]) for f in found]
 
 
 @lru_cache(maxsize=2)
