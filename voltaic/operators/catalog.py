@@ -68,32 +68,35 @@ def build_name(found: Column, suffix_: Column, extension_: Column) -> Column:
     return F.concat(F.array_join(F.concat(parts, F.array(suffix_)), "_"), extension_)
 
 
-def compatible(left: str, right: str, keys: tuple[str, ...] = KEYS) -> Column:
-    """Every key is equal or unknown on a side. ``left`` and ``right``: aliases of the tables."""
-    test = F.lit(True)
-    for k in keys:
-        a, b = F.col(f"{left}.{k}"), F.col(f"{right}.{k}")
-        test = test & (a.isNull() | b.isNull() | (a == b))
-    return test
+def _mask(keys: tuple[str, ...]) -> Column:
+    """Which keys are known, as bits."""
+    return sum((F.when(F.col(k).isNotNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)), F.lit(0))
 
 
-def best_match(targets: DataFrame, candidates: DataFrame, path: str = "path", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """For each target its candidate with most equal keys, and of those with fewest entities; ``ambiguous`` if that leaves several.
+def compatible_pairs(targets: DataFrame, candidates: DataFrame, path: str = "path", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(target, candidate, score, specificity) of all pairs whose every key is equal or unknown on a side.
 
-    The key ``sub`` splits the join: candidates that name a subject meet targets of it alone, and only those without one meet all
-    targets, so the join is an equi-join but for a few general files.
+    Sides are joined by equality of the keys that both know. Which these are follows from the two masks of known keys, so each row is repeated for the masks
+    that occur on the other side (16 at most for four keys).
     """
-    t, c = targets.alias("t"), candidates.alias("c")
-    named = t.join(candidates.where("sub is not null").alias("c"), F.col("t.sub") == F.col("c.sub"))
-    general = t.join(candidates.where("sub is null").withColumn("_any", F.lit(1)).alias("c"), F.lit(1) == F.col("c._any")).drop("_any")
-    unnamed = targets.where("sub is null").withColumn("_any", F.lit(1)).alias("t").join(c, F.lit(1) == F.col("t._any")).where(F.col("c.sub").isNotNull()).drop("_any")
-    cols = [F.col(f"t.{path}").alias("target"), F.col(f"c.{path}").alias("candidate")]
-    score = sum(F.coalesce((F.col(f"t.{k}") == F.col(f"c.{k}")).cast("int"), F.lit(0)) for k in keys)
-    cols += [score.alias("score"), F.size(F.map_keys("c.entities")).alias("specificity")]
-    pairs = None
-    for part in (named, general, unnamed):
-        part = part.where(compatible("t", "c", keys)).select(*cols)
-        pairs = part if pairs is None else pairs.unionByName(part)
+    t, c = targets.withColumn("_m", _mask(keys)), candidates.withColumn("_m", _mask(keys))
+    masks = [[r[0] for r in side.select("_m").distinct().collect()] for side in (t, c)]
+
+    def keyed(side: DataFrame, others: list[int], mine: str, other: str) -> DataFrame:
+        rows = side.withColumn("_o", F.explode(F.array(*(F.lit(m) for m in others)))) if others else side.withColumn("_o", F.lit(0)).limit(0)
+        both = F.col("_m").bitwiseAND(F.col("_o"))
+        values = [F.when(both.bitwiseAND(F.lit(1 << i)) > 0, F.col(k)).otherwise("") for i, k in enumerate(keys)]
+        score = sum((F.when(both.bitwiseAND(F.lit(1 << i)) > 0, 1).otherwise(0) for i in range(len(keys))), F.lit(0))
+        return rows.select(F.col("_m").alias(mine), F.col("_o").alias(other), F.array(*values).alias("_v"), score.alias("score"), F.col(path).alias("_path"), "entities")
+
+    left = keyed(t, masks[1], "_t", "_c").select("_t", "_c", "_v", "score", F.col("_path").alias("target"))
+    right = keyed(c, masks[0], "_c", "_t").select("_t", "_c", "_v", F.col("_path").alias("candidate"), F.size(F.map_keys("entities")).alias("specificity"))
+    return left.join(right, ["_t", "_c", "_v"]).select("target", "candidate", "score", "specificity")
+
+
+def best_match(targets: DataFrame, candidates: DataFrame, path: str = "path", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """For each target its candidate with most equal keys, and of those with fewest entities; ``ambiguous`` if that leaves several."""
+    pairs = compatible_pairs(targets, candidates, path, keys)
     ranked = pairs.withColumn("_r", F.rank().over(Window.partitionBy("target").orderBy(F.col("score").desc(), "specificity"))).where("_r = 1")
     return ranked.groupBy("target").agg(F.min("candidate").alias("candidate"), F.first("score").alias("score"), (F.count(F.lit(1)) > 1).alias("ambiguous"))
 

@@ -81,12 +81,12 @@ def nearest_rows(anchors: DataFrame, rows: DataFrame, key: str, row_key: str, to
     """
     import pandas as pd
 
-    a = anchors.select(recording, F.col(key), F.col(onset).alias("_ta"), F.col(code).alias("_ca"))
-    b = rows.select(recording, F.col(row_key), F.col(onset).alias("_tb"), F.col(code).alias("_cb"))
+    a = anchors.select(recording, F.col(key).alias("anchor"), F.col(onset).alias("_ta"), F.col(code).alias("_ca"))
+    b = rows.select(recording, F.col(row_key).alias("row"), F.col(onset).alias("_tb"), F.col(code).alias("_cb"))
     place = F.floor(F.col("_ta") / (2 * tolerance))
     near = a.withColumn("_b", F.explode(F.array(place - 1, place, place + 1))).join(b.withColumn("_b", F.floor(F.col("_tb") / (2 * tolerance))), [recording, "_b"])
     near = near.where((F.abs(F.col("_ta") - F.col("_tb")) <= tolerance) & (F.col("_cb").isNull() | (F.col("_cb") == F.col("_ca"))))
-    near = near.select(recording, F.col(key).alias("anchor"), F.col(row_key).alias("row"), "_ta", F.abs(F.col("_ta") - F.col("_tb")).alias("gap"))
+    near = near.select(recording, "anchor", "row", "_ta", F.abs(F.col("_ta") - F.col("_tb")).alias("gap"))
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import statistics
+from . import domain, signals, statistics
 
-QUERIES = {**statistics.QUERIES}
-SQL = {**statistics.SQL}
+QUERIES = {**statistics.QUERIES, **domain.QUERIES, **signals.QUERIES}
+SQL = {**statistics.SQL, **domain.SQL, **signals.SQL}
