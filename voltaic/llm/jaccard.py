@@ -7,9 +7,13 @@ and each part into n2, of which all but d // n1 have none: every subset of that
 
 1. Equal sets are one class, whatever their number. Classes' signatures go to buckets, packed; those of two classes or more
    are groups, and groups with the same members are one.
-2. Members are verified, exactly, against one member of each group, then against eight, then against all that are not yet in
-   its component; what is linked already is not compared again. So a group of near copies costs a row per member.
-3. Components by least label and pointer jumping, each round written to the shared folder.
+2. Each member is verified, exactly, against the first of its groups' members, and linked ones get one label (components by least
+   label and pointer jumping, each round written to the shared folder). So a group of near copies costs a row per member.
+3. What stays in groups of several labels, mostly sets that share a passage, is compared by parity sketches inside tasks: a bit per hash
+   value says whether an odd number of shingles has it, so sketches differ in no more bits than sets in shingles, and pairs
+   further apart than linked ones can be are never made into rows. Large groups are compared block by block. Nodes of very large groups
+   first get the signatures of fewer, larger parts, which cover more shingles, so that chance groups fall apart; again any linked
+   sets share one. The pairs that are left are verified exactly.
 
 Nulls, empty texts and texts without words have empty sets and are linked with nothing. Texts of fewer than k words are one
 shingle. Repeated rows are copies; rows with a null id are linked but never name a component (theirs is null if all are).
@@ -24,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import CHUNK, chunks, documents, stage
@@ -33,6 +37,8 @@ from ._words import _MUL, NOT_WHITE, mix, shingle_hashes, split_words
 
 _LOW48 = np.uint64((1 << 48) - 1)
 _SIGN = np.uint64((1 << 63) - 1)
+#: Bits of a parity sketch, members of a block of a group, and of a group that is looked at again first.
+BITS, PAIR_BLOCK, LARGE_GROUP = 1024, 2048, 8192
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,29 +71,29 @@ def set_classes(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, np.where(size > 0, np.maximum(out, np.uint64(1)), np.uint64(0)).astype(np.int64)
 
 
-@lru_cache(maxsize=8)
-def bands(percent: int, largest: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """First sizes of the bands up to ``largest`` and beyond, and (differences, n1, n2) of each band's instance."""
+@lru_cache(maxsize=32)
+def bands(percent: int, largest: int, level: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """First sizes of the bands up to ``largest`` and beyond, and (differences, n1, n2) of each band's instance.
+
+    A part has ``level`` differences at most (all there are in small sets, so that their signatures have several shingles too).
+    """
     first, plan, low = [], [], 1
     while not first or first[-1] <= largest:
         high = low * 100 // percent
         first.append(low)
         d = (2 * high * (100 - percent)) // (100 + percent)
-        # Few differences: one part, so that signatures have several shingles in small sets too. Else one difference a part.
-        n1 = 1 if d <= 3 else (d + 2) // 2
-        plan.append((d, n1, d // n1 + (2 if d // n1 == 1 else 3)))
+        n1 = 1 if d <= level + 2 else -(-(d + 1) // (level + 1))
+        plan.append((d, n1, d // n1 + (2 if d // n1 == 1 else 3 if d // n1 == 2 else 4)))
         low = high + 1
     return np.array(first), plan
 
 
-def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int, level: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of every set that may be linked with another one."""
     if not len(row):
         return row, value
-    first, plan = bands(percent, int(size.max()) * 2 + 100)
+    first, plan = bands(percent, int(size.max()) * 2 + 100, level)
     band = np.searchsorted(first, np.maximum(size, 1), side="right") - 1
-    sums = np.zeros(len(value) + 1, np.uint64)
-    np.cumsum(mix(value), out=sums[1:])
     rows, out = [], []
     for step in (0, 1):
         instance = band + step
@@ -99,10 +105,9 @@ def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, percent: in
         r, v = row[mine], value[mine]
         # Cells are ranges of hashes, so the sorted shingles are sorted by cell.
         cell = base[r] + (((v >> np.uint64(32)) * cells[r].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        at = np.flatnonzero(mine)
         count = np.bincount(cell, minlength=int(cells.sum()))
         end = np.cumsum(count)
-        local = np.zeros(len(at) + 1, np.uint64)
+        local = np.zeros(len(v) + 1, np.uint64)
         np.cumsum(mix(v), out=local[1:])
         each = mix(local[end] - local[end - count] + count.astype(np.uint64))
         owner = np.repeat(np.arange(len(size)), cells)
@@ -138,25 +143,30 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, class bigint")
 
 
-def _groups(docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
-    """(group, class): distinct sets of classes that share a signature."""
+def _groups(texts: DataFrame, k: int, percent: int, n: int, level: int) -> DataFrame:
+    """(group, member): distinct sets of members that share a signature. Members are the ``node`` of texts, or their class where there is none."""
+    own = "node" in texts.columns
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
             for i, j, data, offsets in chunks(batch, "text", CHUNK):
                 row, value = shingle_sets(data, offsets, k)
-                size, cls = set_classes(row, value, j - i)
+                size, name = set_classes(row, value, j - i)
                 # Copies in a batch sign once.
                 first = np.zeros(j - i, dtype=bool)
-                first[np.unique(cls, return_index=True)[1]] = True
+                first[np.unique(name, return_index=True)[1]] = True
+                if own:
+                    name, first = batch.column(1).to_numpy()[i:j], size > 0
                 mine = first[row]
-                who, sig = signatures(row[mine], value[mine], np.where(first, size, 0), percent)
-                held.append((cls[who], cls[who], sig & _LOW48))
-                count += len(who)
-                if count >= HELD:
-                    yield _buckets(held, n)
-                    held, count = [], 0
+                who, sig = signatures(row[mine], value[mine], np.where(first, size, 0), percent, level)
+                for begin in range(0, len(who), HELD):
+                    part = slice(begin, begin + HELD)
+                    held.append((name[who[part]], name[who[part]], sig[part] & _LOW48))
+                    count += len(who[part])
+                    if count >= HELD:
+                        yield _buckets(held, n)
+                        held, count = [], 0
         if count:
             yield _buckets(held, n)
 
@@ -189,10 +199,10 @@ def _groups(docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
             chosen[np.unique(group, return_index=True)[1]] = True
             keep = np.repeat(chosen & (count > 1), count)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, count)[keep].astype(np.int64)), pa.array(cls[keep])], ["group", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, count)[keep].astype(np.int64)), pa.array(cls[keep])], ["group", "member"])
 
-    sent = docs.select("text").mapInArrow(sign, "bucket int, data binary")
-    return sent.repartition(n, "bucket").mapInArrow(gather, "group bigint, class bigint").distinct()
+    sent = texts.select("text", *(["node"] if own else [])).mapInArrow(sign, "bucket int, data binary")
+    return sent.repartition(n, "bucket").mapInArrow(gather, "group bigint, member bigint").distinct()
 
 
 def _linked(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -242,8 +252,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _relabelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Groups (group, node, label) whose members are not all in one component."""
+def _mixed(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Groups (group, node, label) whose members are not all of one label."""
     if labels is None:
         return groups.withColumn("label", F.col("node"))
     named = groups.join(labels, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
@@ -251,38 +261,116 @@ def _relabelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(mixed.select("group"), "group", "left_semi")
 
 
-def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _first_edges(mixed: DataFrame) -> DataFrame:
+    """One edge (a, b) for each node that is not the first of all its groups: to the least first one."""
+    heads = mixed.groupBy("group").agg(F.min(F.struct("node", "label")).alias("h")).select("group", F.col("h.node").alias("a"), F.col("h.label").alias("_l"))
+    return mixed.join(heads, "group").where("a < node and _l <> label").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+
+
+def _sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(node, size, sketch): how many shingles a text has, and BITS parities of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, parts = [], []
+            for i, j, data, offsets in chunks(batch):
+                row, value = shingle_sets(data, offsets, k)
+                bits = np.bincount(row * BITS + (mix(value + np.uint64(7)) % np.uint64(BITS)).astype(np.int64), minlength=(j - i) * BITS) & 1
+                sizes.append(np.bincount(row, minlength=j - i))
+                parts += [x.tobytes() for x in np.packbits(bits.astype(bool).reshape(-1, BITS), axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(parts, pa.binary())], ["node", "size", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, size bigint, sketch binary")
+
+
+def _near_pairs(size: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group's rows that may be linked: of different labels, of sizes and parities near enough; ``side``: which block a row is of (0: both)."""
+    out_a, out_b = [], []
+    most = (100 - percent) / (100 + percent)
+    for i in range(len(size) - 1):
+        j = np.arange(i + 1, len(size))
+        j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] == 0))]
+        low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
+        j = j[100 * low >= percent * high]
+        j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= (size[j] + size[i]) * most + 1e-9]
+        out_a.append(np.full(len(j), i))
+        out_b.append(j)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
+
+
+def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Edges between nodes of different labels in a group whose sketches are near. A task takes a pair of blocks of a group at a time."""
+    counts = mixed.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_n"))
+    rows = mixed.join(counts, "group").withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.select("group", F.least("_b", "_x").alias("low"), F.greatest("_b", "_x").alias("high"), F.when(F.col("_b") == F.col("_x"), 0).when(F.col("_b") < F.col("_x"), 1).otherwise(2).alias("side"), "node", "label")
+    # Rows of a block with itself belong to no other pair of blocks; those of two blocks only pair across.
+    rows = rows.join(sketches, "node").select("group", "low", "high", "side", "node", "label", "size", "sketch")
+    parts = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emit(table: pa.Table, until: int) -> pa.RecordBatch:
+            group, low, high, side, node, label, size = (table.column(i).to_numpy()[:until] for i in range(7))
+            sketch = np.frombuffer(b"".join(table.column(7).to_pylist()[:until]), np.uint64).reshape(until, -1)
+            cuts = np.flatnonzero((group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), until], strict=True):
+                i, j = _near_pairs(size[a:b], sketch[a:b], label[a:b], side[a:b], percent)
+                found_a.append(node[a + i])
+                found_b.append(node[a + j])
+            x, y = np.concatenate(found_a), np.concatenate(found_b)
+            both = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            keys = [table.column(i).to_numpy() for i in range(3)]
+            # The last pair of blocks may go on in the next batch.
+            last = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]) | (keys[2] != keys[2][-1])) if table.num_rows else []
+            if len(last):
+                yield emit(table, int(last[-1]) + 1)
+                held = table.slice(int(last[-1]) + 1).to_batches()
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield emit(table, table.num_rows)
+
+    return parts.mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
+def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", large_group: int = LARGE_GROUP) -> DataFrame:
     """doc_id, n_shingles and component_id (least id that links reach), a row per document. Linked: Jaccard of ``percent`` or more."""
     docs = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     sized = stage(_classes(docs, k))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
     classes = stage(sized.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    groups = stage(_groups(docs, k, percent, n).join(classes, "class").select("group", "node"))
+    groups = stage(_groups(docs, k, percent, n, 1).withColumnRenamed("member", "class").join(classes, "class").select("group", "node"))
     nodes = groups.select("node").distinct()
-    # Rows that share an id may differ in text: the row of the class is meant, and one of its copies is enough.
-    of_class = sized.join(classes, "class").where("doc_id = node").select("node", "class").join(nodes, "node", "left_semi").distinct()
-    texts = docs.join(of_class.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+    # Rows that share an id may differ in text: one of them stands for it.
+    texts = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = stage(texts.dropDuplicates(["node"]))
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tried: DataFrame | None = None
-    for pivots in (1, 8, None):
-        mixed = _relabelled(groups, labels)
-        if pivots == 1:
-            edges = mixed.join(mixed.groupBy("group").agg(F.min("node").alias("a")), "group").where("a < node").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-        else:
-            if pivots:
-                heads = mixed.withColumn("_r", F.row_number().over(Window.partitionBy("group").orderBy("node"))).where(F.col("_r") <= pivots)
-            else:
-                heads = mixed
-            heads = heads.select("group", F.col("node").alias("a"), F.col("label").alias("_l"))
-            edges = mixed.join(heads, "group").where("a < node and _l <> label").select("a", F.col("node").alias("b")).distinct()
+    for step in ("first", "larger parts", "pairs"):
+        mixed = _mixed(groups, labels)
+        if step == "larger parts":
+            large = mixed.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large_group)
+            unsettled = mixed.join(large.select("group"), "group", "left_semi").select("node").distinct()
+            if unsettled.isEmpty():
+                continue
+            again = _groups(texts.join(unsettled, "node", "left_semi"), k, percent, n, 2).withColumnRenamed("member", "node")
+            # Linked nodes of large groups meet in the new groups; those of small ones still do in the old.
+            groups = stage(groups.join(large.select("group"), "group", "left_anti").unionByName(again))
+            mixed = _mixed(groups, labels)
+        edges = _first_edges(mixed) if step != "pairs" else _close_edges(mixed, stage(_sketches(texts.join(mixed.select("node").distinct(), "node", "left_semi"), k)), percent)
         if tried is not None:
             edges = edges.join(tried, ["a", "b"], "left_anti")
         edges = stage(edges)
         if edges.isEmpty():
-            break
+            continue
         tried = edges if tried is None else tried.unionByName(edges)
         found = stage(_linked(edges, texts, k, percent))
         links = found if links is None else links.unionByName(found)
