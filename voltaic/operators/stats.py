@@ -125,7 +125,7 @@ def bonferroni(df: DataFrame, p: str = "p", by: Keys = ()) -> DataFrame:
     """p times the number of known p of the map, 1 at most."""
     m = df.groupBy(*by).agg(F.count(p).alias("_m"))
     out = df.join(m, list(by)) if by else df.join(F.broadcast(m.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k")).drop("_k")
-    return out.withColumn("p_corr", F.least(F.col(p) * F.col("_m"), F.lit(1.0))).drop("_m")
+    return out.withColumn("p_corr", F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("_m"), F.lit(1.0)))).drop("_m")
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: Keys = ()) -> DataFrame:
