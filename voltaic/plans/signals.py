@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dsp
+from . import pipelines
 from .tables import read, rounded
 
 QUERIES, SQL = {}, {}
@@ -73,3 +74,41 @@ def lfdr_threshold(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hfo_detect(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dsp.detections(_signals(spark, d), "samples", "vec_id", 64.0, octaves=(0, 2), threshold=8.0, voices=4))
+
+
+def _contributions(spark: SparkSession, d: str) -> DataFrame:
+    """Epoch means of labels as regions: trial as subject, feature as channel."""
+    from .tables import epochs
+
+    e = epochs(spark, d).where("feature < 3 and trial < 60")
+    return e.select(F.concat(F.lit("R"), F.col("label").cast("string")).alias("roi"), F.col("trial").cast("string").alias("subject"), F.col("feature").cast("string").alias("channel"), "t_idx", (F.col("v") + 0.2).alias("v"))
+
+
+@query()
+def group_cluster_test(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pipelines.group_test(_contributions(spark, d), "cluster", n_iter=20))
+
+
+@query()
+def group_fdr_test(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pipelines.group_test(_contributions(spark, d)))
+
+
+@query()
+def condition_test_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    from .tables import epochs
+
+    return rounded(pipelines.condition_test(pipelines.clean_epochs(epochs(spark, d)), baseline=(-0.2, 0.0)))
+
+
+@query()
+def regression_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    from .tables import epochs
+
+    return rounded(pipelines.regression_test(epochs(spark, d), zscore_x=True))
+
+
+@query()
+def time_frequency_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    out = pipelines.time_frequency(_signals(spark, d), frequencies=(8.0, 12.0, 16.0), fs=64.0, window_s=0.5, smoothing_hz=4.0, step=4)
+    return rounded(out)
