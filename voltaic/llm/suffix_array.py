@@ -128,7 +128,7 @@ def resolve(p: Pieces, width: int = WIDTH, shard: int = SHARD) -> tuple[np.ndarr
     while i < len(p.size):
         begin = int(ends[i] - p.size[i])
         j = max(i + 1, int(np.searchsorted(ends, begin + shard, side="right")))
-        data = p.data[begin : int(ends[j - 1])]
+        data = p.bytes_of(i, j)
         size = p.size[i:j]
         piece = np.repeat(np.arange(i, j), size)
         end = np.repeat(ends[i:j] - begin, size)
