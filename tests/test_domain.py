@@ -108,3 +108,28 @@ def test_detects_a_burst():
     found = dsp.detect(x, 1024.0, (0, 3), 60.0)
     best = max(found, key=lambda e: e[2])
     assert abs(best[0] - 1000) < 20 and 90 < best[1] < 180
+
+
+def test_ordered_match_uses_rows_up(spark):
+    a = spark.createDataFrame([("r", i, float(i), c) for i, c in enumerate("xyxz")], "recording string, anchor int, onset double, code string")
+    b = spark.createDataFrame([("r", 10, 1, "x", "A"), ("r", 11, 2, "q", "A"), ("r", 12, 3, None, None), ("r", 13, 4, "x", "B")], "recording string, row int, place int, code string, label string")
+    got = {r.anchor: (r.row, r.label, r.keep, r.exclusion_reason) for r in trials.match_in_order(a, b).collect()}
+    assert got == {0: (10, "A", True, None), 1: (12, None, False, "missing_label"), 2: (13, "B", True, None), 3: (None, None, False, "no_matching_table_row")}
+
+
+def test_channels_that_match_nothing(spark):
+    from voltaic.operators import groups
+
+    c = spark.createDataFrame([("A1",), ("A2",), ("B1",)], "name string")
+    assert {r.name for r in groups.select_channels(c, ["A\\d", "B1"], ["A2"]).collect()} == {"A1", "B1"}
+    with pytest.raises(ValueError, match="no channel matches C"):
+        groups.select_channels(c, ["C"])
+    with pytest.raises(ValueError, match="no channel is left"):
+        groups.select_channels(c, exclude=[".*"])
+
+
+def test_runs_must_agree(spark):
+    a = spark.range(2).selectExpr("id", "1000.0 as fs")
+    assert epochs.union_runs([a, a]).count() == 4
+    with pytest.raises(ValueError, match="runs differ in fs"):
+        epochs.union_runs([a, a.selectExpr("id", "500.0 as fs")])

@@ -118,3 +118,19 @@ def subject_groups(files: DataFrame, path: str = "path") -> DataFrame:
 def still_to_do(work: DataFrame, done: DataFrame, path: str = "path") -> DataFrame:
     """Work whose output does not exist yet."""
     return work.join(done.select(path).distinct(), path, "left_anti")
+
+
+def modify_entities(found: Column, changes: dict[str, str | None]) -> Column:
+    """A map of entities with some set anew; None takes one away."""
+    kept = F.map_filter(found, lambda k, _: ~k.isin(list(changes)))
+    new = {k: v for k, v in changes.items() if v is not None}
+    return F.map_concat(kept, F.create_map(*(F.lit(x) for kv in new.items() for x in kv))) if new else kept
+
+
+def matching(files: DataFrame, **wanted: str | list[str] | None) -> DataFrame:
+    """Files whose entities are as wanted: a value, one of several, or unknown (None), compared as text."""
+    out = files
+    for key, value in wanted.items():
+        c = F.col(key) if key in files.columns else F.try_element_at("entities", F.lit(key))
+        out = out.where(c.isNull() if value is None else c.cast("string").isin([str(v) for v in value] if isinstance(value, list) else [str(value)]))
+    return out

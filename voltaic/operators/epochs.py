@@ -137,3 +137,48 @@ def single_bin(df: DataFrame, by: Keys, value: str = "v") -> DataFrame:
     whole = F.count(value) == F.count(F.lit(1))
     return df.groupBy(*by).agg(F.when(whole, F.avg(value)).alias("v"))
 
+
+
+def time_window(df: DataFrame, t0: float, t1: float, selection: str = "inclusive", time: str = "time_s") -> DataFrame:
+    """Samples from t0 to t1, ends included or (``strict``) not."""
+    if selection not in ("inclusive", "strict"):
+        raise ValueError(f"unknown selection: {selection}")
+    t = F.col(time)
+    return df.where(t.between(t0, t1) if selection == "inclusive" else (t > t0) & (t < t1))
+
+
+def region_means(df: DataFrame, by: Keys, value: str = "v") -> DataFrame:
+    """Mean of a region's channels; missing if one of them is."""
+    return single_bin(df, by, value)
+
+
+def decimate(samples: Column, factor: int) -> Column:
+    """Every ``factor``-th sample of an array."""
+    return F.filter(samples, lambda x, i: i % factor == 0)
+
+
+def demean(samples: Column) -> Column:
+    """An array less its mean."""
+    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / F.size(samples)
+    return F.element_at(F.transform(F.array(mean), lambda m: F.transform(samples, lambda x: x - m)), 1)
+
+
+def power_mode(df: DataFrame, mode: str, stored_corrected: bool, value: str = "v", baseline: str = "baseline_db") -> DataFrame:
+    """Power as stored, without its baseline correction, or with it, whichever way it is stored."""
+    v, b = F.col(value), F.col(baseline)
+    out = {"stored": v, "raw": v + b if stored_corrected else v, "baseline_corrected": v if stored_corrected else v - b}
+    if mode not in out:
+        raise ValueError(f"unknown power mode: {mode}")
+    return df.withColumn("power", out[mode])
+
+
+def union_runs(runs: list[DataFrame], facts: Keys = ("fs",)) -> DataFrame:
+    """Epochs of runs as one table, with their number; a query over runs that differ in ``facts`` fails."""
+    out = None
+    for i, run in enumerate(runs):
+        part = run.withColumn("run_idx", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    ends = out.agg(*(F.count_distinct(f).alias(f) for f in facts)).first()
+    if any(ends[f] > 1 for f in facts):
+        raise ValueError(f"runs differ in {', '.join(f for f in facts if ends[f] > 1)}")
+    return out

@@ -86,3 +86,32 @@ def classify_band(frequency: Column) -> Column:
 def compatible_groups(inputs: DataFrame, parts: Sequence[str], path: str = "path") -> DataFrame:
     """Inputs that may be pooled: a row per signature, with its first file and size."""
     return inputs.groupBy(*parts).agg(F.min(path).alias("primary"), F.count(F.lit(1)).alias("n_files"))
+
+
+def select_channels(channels: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), name: str = "name") -> DataFrame:
+    """Channels whose whole name is one of, or matches one of, ``include`` (all without it) and none of ``exclude``. A term that matches nothing is an error."""
+
+    def test(terms: Sequence[str]) -> Column:
+        out = F.lit(False)
+        for t in terms:
+            out = out | (F.col(name) == t) | F.col(name).rlike(f"^(?:{t})$")
+        return out
+
+    terms = [*include, *exclude]
+    if terms:
+        counts = channels.agg(*(F.count(F.when(test([t]), 1)).alias(f"n{i}") for i, t in enumerate(terms))).first()
+        if lost := [t for i, t in enumerate(terms) if not counts[i]]:
+            raise ValueError(f"no channel matches {', '.join(lost)}")
+    out = channels.where((test(include) if include else F.lit(True)) & ~test(exclude))
+    if out.isEmpty():
+        raise ValueError("no channel is left")
+    return out
+
+
+def anchors_or_numbers(events: DataFrame, n: int, by: str, order: str = "onset") -> DataFrame:
+    """The first n anchors of each recording, or, where it has fewer, n synthetic ones at 0, 1, ..."""
+    w = Window.partitionBy(by)
+    rows = events.withColumns({"_k": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    real = rows.where((F.col("_n") >= n) & (F.col("_k") < n)).select(by, F.col("_k").cast("long").alias("trial"), F.col(order).cast("double").alias("onset"))
+    few = rows.where(F.col("_n") < n).select(by).distinct().withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return real.unionByName(few.withColumn("onset", F.col("trial").cast("double")))

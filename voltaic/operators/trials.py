@@ -118,3 +118,68 @@ def mark_duplicate_anchors(anchors: DataFrame, sample: str = "sample", recording
     first = F.row_number().over(Window.partitionBy(recording, sample, "keep").orderBy(order)) == 1
     again = F.col("keep") & ~first
     return anchors.withColumns({"exclusion_reason": F.when(again, "duplicate_anchor_sample").otherwise(F.col("exclusion_reason")), "keep": F.col("keep") & ~again})
+
+
+def normalise_trials(df: DataFrame, labels: list[str], predictor: str | None = None, label: str = "label") -> DataFrame:
+    """Kept trials with a label that the test does not know are out, and (with a predictor) those whose predictor is no finite number."""
+    unknown = F.col("keep") & ~F.coalesce(F.col(label).isin(labels), F.lit(False))
+    out = df.withColumns({"exclusion_reason": F.when(unknown, "unsupported_label").otherwise(F.col("exclusion_reason")), "keep": F.col("keep") & ~unknown})
+    if predictor is None:
+        return out
+    x = F.col(predictor).cast("string").try_cast("double")
+    bad = F.col("keep") & ~F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    return out.withColumns({"exclusion_reason": F.when(bad, "invalid_predictor_value").otherwise(F.col("exclusion_reason")), "keep": F.col("keep") & ~bad})
+
+
+def keep_only(df: DataFrame, condition: Column, reason: str) -> DataFrame:
+    """Kept trials that do not meet a condition are out for this reason."""
+    out = F.col("keep") & ~F.coalesce(condition, F.lit(False))
+    return df.withColumns({"exclusion_reason": F.when(out, reason).otherwise(F.col("exclusion_reason")), "keep": F.col("keep") & ~out})
+
+
+def in_order(df: DataFrame, by: str, order: str = "order", onset: str = "onset", row: str = "row_index") -> DataFrame:
+    """``place`` of each row by order, onset and row, unknown ones last."""
+    w = Window.partitionBy(by).orderBy(F.asc_nulls_last(order), F.asc_nulls_last(onset), row)
+    return df.withColumn("place", F.row_number().over(w))
+
+
+def match_in_order(anchors: DataFrame, rows: DataFrame, recording: str = "recording") -> DataFrame:
+    """Anchors (recording, anchor, onset, code) with rows (recording, row, place, code, label) one after the other.
+
+    A row whose code is not the anchor's is used up all the same. Anchors without a row, or whose row has no label, are not kept. The walk is
+    sequential by definition, so a task takes one recording's anchors and rows at a time.
+    """
+    import pandas as pd
+
+    def walk(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rest = iter(b.sort_values("place").itertuples())
+        out = []
+        for x in a.sort_values(["onset", "anchor"]).itertuples():
+            found = next((r for r in rest if r.code is None or pd.isna(r.code) or r.code == x.code), None)
+            label = None if found is None or pd.isna(found.label) else found.label
+            reason = "no_matching_table_row" if found is None else "missing_label" if label is None else None
+            out.append((key[0], x.anchor, None if found is None else found.row, label, reason is None, reason))
+        return pd.DataFrame(out, columns=[recording, "anchor", "row", "label", "keep", "exclusion_reason"])
+
+    t = {f.name: f.dataType.simpleString() for f in [*anchors.schema, *rows.schema]}
+    schema = f"{recording} {t[recording]}, anchor {t['anchor']}, row {t['row']}, label string, keep boolean, exclusion_reason string"
+    return anchors.groupBy(recording).cogroup(rows.groupBy(recording)).applyInPandas(walk, schema)
+
+
+def pair_durations(anchors: DataFrame, durations: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The k-th anchor of a key takes the k-th duration of it; anchors beyond have none."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    a = anchors.withColumn("_k", F.row_number().over(w))
+    b = durations.withColumn("_k", F.row_number().over(w)).select(*keys, "_k", "duration")
+    return a.join(b, [*keys, "_k"], "left").drop("_k")
+
+
+def response_time(df: DataFrame, column: str, units: str = "s") -> Column:
+    """Seconds of a text column in seconds or milliseconds."""
+    x = F.col(column).cast("string").try_cast("double")
+    return x * 0.001 if units == "ms" else x
+
+
+def skip_reason(rt: Column, tmax: float, clamp: bool) -> Column:
+    """Why a trial has no activity up to its response."""
+    return F.when(rt.isNull(), "missing_response_time").when(rt <= 0, "nonpositive_response_time").when((rt > tmax) & F.lit(not clamp), "response_after_epoch_end")

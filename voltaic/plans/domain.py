@@ -12,6 +12,9 @@ from ..operators import epochs as ep
 from ..operators import groups as gr
 from ..operators import predicates as pr
 from ..operators import trials as tr
+from ..sources import sinks
+from ..streaming import rates
+from . import pipelines
 from .tables import ANNOTATIONS, EPOCHS, annotations, epochs, read, rounded
 
 QUERIES, SQL = {}, {}
@@ -360,3 +363,157 @@ def freq_grid(spark: SparkSession, d: str) -> DataFrame:
 def time_axis(spark: SparkSession, d: str) -> DataFrame:
     axis = spark.range(1).select(F.posexplode(ep.time_axis(100.0, -0.2, 0.5)).alias("i", "time_s"))
     return axis.select((F.col("i") - 20).cast("long").alias("i"), "time_s")
+
+
+# Further trials, windows and names
+
+
+@query(f"WITH {_PATHS} SELECT event_id FROM f WHERE (u % 20)::VARCHAR IN ('1', '2', '3') AND u % 3 = 0 AND event_id % 5 = 2")
+def entity_filter(spark: SparkSession, d: str) -> DataFrame:
+    return ct.matching(ct.with_entities(_paths(spark, d)), sub=["1", "2", 3], ses=None, run=2).select("event_id")
+
+
+@query("SELECT s_name AS name FROM supplier WHERE regexp_matches(s_name, '[13579]$') AND s_name <> 'Supplier#000000001'")
+def channel_select(spark: SparkSession, d: str) -> DataFrame:
+    channels = read(spark, d, "supplier").select(F.col("s_name").alias("name"))
+    return gr.select_channels(channels, ["Supplier#\\d*[13579]"], ["Supplier#000000001"])
+
+
+@query(f"WITH {EPOCHS} SELECT trial, feature, t_idx FROM e WHERE time_s > -0.1 AND time_s < 0.3")
+def time_window_strict(spark: SparkSession, d: str) -> DataFrame:
+    return ep.time_window(epochs(spark, d), -0.1, 0.3, "strict").select("trial", "feature", "t_idx")
+
+
+_ORDERS = "o AS (SELECT o_orderkey AS trial, o_orderkey % 7 > 0 AS keep, o_orderstatus AS label, CASE WHEN o_orderkey % 11 = 0 THEN 'x' WHEN o_orderkey % 13 = 0 THEN 'Infinity' ELSE o_totalprice::VARCHAR END AS predictor FROM orders)"
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    x = F.when(k % 11 == 0, "x").when(k % 13 == 0, "Infinity").otherwise(F.col("o_totalprice").cast("string"))
+    return read(spark, d, "orders").select(k.alias("trial"), (k % 7 > 0).alias("keep"), F.col("o_orderstatus").alias("label"), x.alias("predictor"), F.lit(None).cast("string").alias("exclusion_reason"))
+
+
+@query(f"WITH {_ORDERS} SELECT trial, keep AND label IN ('O', 'F') AND trial % 11 > 0 AND trial % 13 > 0 AS keep, CASE WHEN NOT keep THEN NULL WHEN label NOT IN ('O', 'F') THEN 'unsupported_label' WHEN trial % 11 = 0 OR trial % 13 = 0 THEN 'invalid_predictor_value' END AS exclusion_reason FROM o")
+def normalise_trials(spark: SparkSession, d: str) -> DataFrame:
+    return tr.normalise_trials(_orders(spark, d), ["O", "F"], "predictor").select("trial", "keep", "exclusion_reason")
+
+
+@query(f"WITH {_ORDERS} SELECT trial, keep AND label = 'F' AS keep, CASE WHEN keep AND label <> 'F' THEN 'not_final' END AS exclusion_reason FROM o")
+def trial_metadata_rule(spark: SparkSession, d: str) -> DataFrame:
+    o = _orders(spark, d)
+    rule = pr.matches({"column": "label", "op": "==", "value": "f"}, o.columns)
+    return tr.keep_only(o, rule, "not_final").select("trial", "keep", "exclusion_reason")
+
+
+@query("SELECT o_orderkey AS trial, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 5 END NULLS LAST, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 10 END NULLS LAST, o_orderkey) AS place FROM orders")
+def trial_order(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = read(spark, d, "orders").select("o_custkey", k.alias("trial"), F.when(k % 3 > 0, k % 5).alias("order"), F.when(k % 4 > 0, k % 10).alias("onset"))
+    return rounded(tr.in_order(o, "o_custkey", row="trial"), "trial", "place")
+
+
+@query()
+def ordered_match(spark: SparkSession, d: str) -> DataFrame:
+    a = annotations(spark, d)
+    anchors = a.where("code in ('click', 'view')").select("recording", F.col("event_id").alias("anchor"), "onset", "code")
+    rows = a.where("code in ('click', 'view') and event_id % 3 > 0").select("recording", F.col("event_id").alias("row"), F.col("event_id").alias("place"), F.when(F.col("event_id") % 2 > 0, F.col("code")).alias("code"), F.when(F.col("event_id") % 5 > 0, F.lit("x")).alias("label"))
+    return tr.match_in_order(anchors, rows)
+
+
+@query(f"WITH {ANNOTATIONS}, x AS (SELECT event_id, recording, code, row_number() OVER (PARTITION BY recording, code ORDER BY event_id) AS i FROM a), y AS (SELECT recording, code, k AS duration, row_number() OVER (PARTITION BY recording, code ORDER BY event_id) AS i FROM a WHERE event_id % 2 = 0) SELECT event_id, duration FROM x LEFT JOIN y ON x.recording = y.recording AND x.code = y.code AND x.i = y.i")
+def duration_pairing(spark: SparkSession, d: str) -> DataFrame:
+    a = annotations(spark, d)
+    durations = a.where("event_id % 2 = 0").select("recording", "code", "event_id", F.col("k").alias("duration"))
+    return tr.pair_durations(a, durations, ["recording", "code"], "event_id").select("event_id", "duration")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'missing_response_time' WHEN c_acctbal <= 0 THEN 'nonpositive_response_time' WHEN c_acctbal * 0.001 > 5 THEN 'response_after_epoch_end' END AS reason FROM customer")
+def response_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 == 0, "soon").otherwise(F.col("c_acctbal").cast("string")).alias("rt"))
+    return c.select("c_custkey", tr.skip_reason(tr.response_time(c, "rt", "ms"), 5.0, False).alias("reason"))
+
+
+@query(f"WITH {EPOCHS} SELECT trial, feature // 2 AS region, t_idx, CASE WHEN count(v) = count(*) THEN round(avg(v), 6) END AS v FROM e GROUP BY ALL")
+def roi_epoch_means(spark: SparkSession, d: str) -> DataFrame:
+    e = epochs(spark, d).withColumn("region", F.expr("feature DIV 2"))
+    return rounded(ep.region_means(e, ["trial", "region", "t_idx"]))
+
+
+@query(f"WITH {_REGION}, w AS (SELECT 'R' || (c_custkey % 3) AS roi, c_custkey FROM customer WHERE c_custkey % 2 = 0) SELECT w.roi, count(*) AS n, round(avg(v), 6) AS mean FROM w JOIN ch USING (c_custkey) WHERE c_custkey % 5 > 0 GROUP BY roi")
+def manual_roi_records(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer")
+    inputs = c.where("c_custkey % 5 > 0").select(F.lit("s").alias("subject"), F.col("c_custkey").cast("string").alias("channel"), F.lit(0).alias("t_idx"), "c_acctbal")
+    wanted = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("R"), (F.col("c_custkey") % 3).cast("string")).alias("roi"), F.lit("s").alias("subject"), F.col("c_custkey").cast("string").alias("channel"))
+    records = pipelines.contributions(inputs, wanted, "c_acctbal")
+    return rounded(records.groupBy("roi").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")))
+
+
+@query(f"WITH {ANNOTATIONS}, c AS (SELECT recording, onset, row_number() OVER (PARTITION BY recording ORDER BY onset, event_id) - 1 AS k, count(*) OVER (PARTITION BY recording) AS n FROM a WHERE code = 'error') SELECT recording, k AS trial, onset::DOUBLE AS onset FROM c WHERE n >= 12 AND k < 12 UNION ALL SELECT recording, t::BIGINT, t::DOUBLE FROM (SELECT DISTINCT recording FROM c WHERE n < 12), range(12) AS g(t)")
+def anchors_for_maps(spark: SparkSession, d: str) -> DataFrame:
+    return gr.anchors_or_numbers(annotations(spark, d).where("code = 'error'"), 12, "recording")
+
+
+@query(f"WITH {EPOCHS}, t AS (SELECT condition, trial, any_value(x) AS x, avg(v) AS y FROM e GROUP BY ALL) SELECT condition, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM t GROUP BY condition")
+def scatter_line(spark: SparkSession, d: str) -> DataFrame:
+    t = epochs(spark, d).groupBy("condition", "trial").agg(F.any_value("x").alias("x"), F.avg("v").alias("y"))
+    return rounded(t.groupBy("condition").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept")))
+
+
+@query(f"WITH {EPOCHS}, m AS (SELECT feature, t_idx, avg(v) AS m FROM e GROUP BY ALL) SELECT feature, round(quantile_cont(abs(m - 0.01), 0.99), 6) AS top FROM m GROUP BY feature")
+def colour_limits(spark: SparkSession, d: str) -> DataFrame:
+    m = epochs(spark, d).groupBy("feature", "t_idx").agg(F.avg("v").alias("m"))
+    return rounded(m.groupBy("feature").agg(F.percentile(F.abs(F.col("m") - 0.01), 0.99).alias("top")))
+
+
+@query(f"WITH {_PATHS} SELECT event_id, 'sub-' || (u % 20)::VARCHAR || CASE WHEN u % 3 > 0 THEN '_ses-' || (event_id % 4)::VARCHAR ELSE '' END || '_task-' || regexp_extract(path, '_task-([^_/]+)', 1) || '_desc-clean_epo.tsv' AS name FROM f")
+def entity_modify(spark: SparkSession, d: str) -> DataFrame:
+    f = ct.with_entities(_paths(spark, d))
+    changed = ct.modify_entities(F.col("entities"), {"run": None, "desc": "clean"})
+    return f.select("event_id", ct.build_name(changed, F.lit("epo"), F.lit(".tsv")).alias("name"))
+
+
+@query(f"WITH {_PATHS} SELECT event_id, '/out/sub-' || (u % 20)::VARCHAR || CASE WHEN u % 3 > 0 THEN '/ses-' || (event_id % 4)::VARCHAR ELSE '' END || '/ieeg/' || replace(parse_filename(path), '_ieeg.vhdr', '_stats.parquet') AS path FROM f")
+def result_paths(spark: SparkSession, d: str) -> DataFrame:
+    f = ct.with_entities(_paths(spark, d))
+    return f.select("event_id", sinks.result_path("/out", F.col("entities"), "ieeg", "stats", ".parquet").alias("path"))
+
+
+@query("SELECT c_custkey, c_custkey::VARCHAR AS subject, nullif(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END, '') AS value, c_custkey % 4 IN (0, 1, 2) AS no_region FROM customer")
+def entity_values(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    label = F.when(k % 4 == 0, "N/A").when(k % 4 == 1, "Not available").when(k % 4 == 3, "Insula")
+    return read(spark, d, "customer").select(
+        "c_custkey", ct.normal_subject(F.concat(F.lit(" SUB-"), k.cast("string"))).alias("subject"), ct.normal_value(F.when(k % 2 == 0, F.concat(F.lit("ses-"), "c_mktsegment")).otherwise("")).alias("value"), gr.no_region(label).alias("no_region")
+    )
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'Response' WHEN event_id % 4 = 1 THEN 'Comment' ELSE 'Stimulus' END AS kind FROM events")
+def event_type_fallback(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id") % 4
+    kind, trial_type = F.when(i == 0, "Response").when(i == 1, "odd"), F.when(i == 1, "Comment").when(i == 2, "click")
+    return read(spark, d, "events").select("event_id", tx.event_type(kind, trial_type).alias("kind"))
+
+
+@query("SELECT vec_id, list_aggregate(list_transform(range(1, 65, 8), lambda i: round(embedding[i]::DOUBLE, 6)), 'sum') AS s, round(list_aggregate(list_transform(range(1, 65), lambda i: pow(embedding[i]::DOUBLE - list_avg(embedding::DOUBLE[]), 2)), 'sum'), 4) AS q FROM embeddings".replace("list_aggregate(list_transform(range(1, 65, 8), lambda i: round(embedding[i]::DOUBLE, 6)), 'sum') AS s", "round(list_aggregate(list_transform(range(1, 65, 8), lambda i: embedding[i]::DOUBLE), 'sum'), 6) AS s"))
+def decimate_demean(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return read(spark, d, "embeddings").select("vec_id", F.round(total(ep.decimate(x, 8)), 6).alias("s"), F.round(total(F.transform(ep.demean(x), lambda v: v * v)), 4).alias("q"))
+
+
+@query(f"WITH {EPOCHS} SELECT trial, feature, t_idx, round(v + feature * 0.5, 6) AS power FROM e")
+def power_mode_raw(spark: SparkSession, d: str) -> DataFrame:
+    e = epochs(spark, d).withColumn("baseline_db", F.col("feature") * 0.5)
+    return rounded(ep.power_mode(e, "raw", stored_corrected=True), "trial", "feature", "t_idx", "power")
+
+
+@query("SELECT o_orderkey, run::BIGINT AS run_idx FROM (SELECT o_orderkey, 0 AS run FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 1)")
+def union_runs(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select("o_orderkey", F.lit(1000.0).alias("fs"))
+    return rounded(ep.union_runs([o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 = 1")]), "o_orderkey", "run_idx")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def windowed_rates(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    return rounded(rates.windowed_rates(e, "1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
