@@ -133,3 +133,37 @@ def test_runs_must_agree(spark):
     assert epochs.union_runs([a, a]).count() == 4
     with pytest.raises(ValueError, match="runs differ in fs"):
         epochs.union_runs([a, a.selectExpr("id", "500.0 as fs")])
+
+
+def test_grids():
+    assert dsp.octave_range(80, 500, 2048) == (0, 3)
+    assert dsp.snap_frequencies([0.1, 4.2, 4.3, 8.0], 500, 1000.0).tolist() == [4.0, 8.0]
+    assert dsp.snap_times(np.arange(10) / 10, np.array([0.04, 0.06, 0.88, 3.0])).tolist() == [0, 1, 9]
+    x = np.arange(50.0) ** 2
+    assert np.abs(dsp.detrend(x, 2)).max() < 1e-8 and abs(dsp.detrend(x, 0).mean()) < 1e-9 and (dsp.detrend(x, -1) == x).all()
+    grid = dsp.time_frequency_grid([10.0, 60.0], 2.0)
+    assert grid == [(10.0, 0.6, 10 / 3, 1), (60.0, 0.2, 20.0, 7)]
+
+
+def test_incompatible_inputs(spark):
+    from voltaic.operators import groups
+
+    a = spark.createDataFrame([("p", "channel", 1), ("q", "channel", 1)], "path string, feature_level string, fs int")
+    groups.check_compatible(a, ["fs"])
+    with pytest.raises(ValueError, match="inputs differ in fs"):
+        groups.check_compatible(a.unionByName(spark.createDataFrame([("r", "channel", 2)], a.schema)), ["fs"])
+    with pytest.raises(ValueError, match="must be of channels"):
+        groups.check_compatible(spark.createDataFrame([("r", "roi", 2)], a.schema), ["fs"])
+    with pytest.raises(ValueError, match="no input"):
+        groups.check_compatible(a.limit(0), ["fs"])
+
+
+def test_row_sources(spark):
+    events = spark.createDataFrame([("r", "7", "A", "1", 0)], "recording string, anchor_event_code string, choice string, trial_id string, row_index int")
+    labels = spark.createDataFrame([("r", "1", "B")], "recording string, trial_id string, mood string")
+    assert trials.build_rows(events, labels, {"choice"})[1] == "events"
+    rows, how = trials.build_rows(events, labels, {"mood"})
+    assert how == "trial_id" and rows.first().event_choice == "A"
+    assert trials.build_rows(None, labels, {"mood"})[1] == "labels"
+    with pytest.raises(ValueError):
+        trials.build_rows(events, None, {"mood"})

@@ -72,3 +72,16 @@ def resample_onset(sample: Column, old: float, new: float, shift: int = 0, preci
     else:
         place = (sample + shift) / F.lit(old) * new
     return F.round(place, 0).cast("long")
+
+
+def table_annotation(kind: Column, trial_type: Column, description: Column, code: Column) -> Column:
+    """Annotation text of a row of an event table: type and code, or the description, the trial's type or ``n/a``."""
+    c = row_code(code)
+    what = F.coalesce(clean(description), clean(trial_type), F.lit("n/a"))
+    t = event_type(clean(kind), clean(trial_type))
+    return F.when(c.isNotNull(), F.concat(t, F.lit("/S "), c)).otherwise(F.concat(t, F.lit("/"), what))
+
+
+def axis_hash(axis: Column) -> Column:
+    """Identity of a time or frequency axis: equal arrays have equal hashes."""
+    return F.sha1(F.concat_ws(",", F.transform(axis, lambda x: x.cast("string"))))

@@ -245,3 +245,43 @@ def detections(df: DataFrame, samples: str, key: str, fs: float, **options) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "sample", "frequency", "strength"])
 
     return df.select(key, samples).mapInArrow(run, f"{key} {kind}, sample bigint, frequency double, strength double")
+
+
+# Grids
+
+
+def octave_range(low_hz: float, high_hz: float, fs: float) -> tuple[int, int]:
+    """Octaves of scales whose frequencies, fs / (4 scale), reach from low to high."""
+    return max(0, math.floor(math.log2(fs / (4 * high_hz)))), max(0, math.ceil(math.log2(fs / (4 * low_hz))))
+
+
+def snap_frequencies(wanted: list[float], n: int, fs: float) -> np.ndarray:
+    """Nearest frequencies that n samples resolve, each once, without 0."""
+    length = n / fs
+    out = np.unique(np.rint(np.asarray(wanted) * length) / length)
+    return out[out > 0]
+
+
+def snap_times(times: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the samples nearest to the wanted times, each once."""
+    at = np.clip(np.searchsorted(times, wanted), 1, len(times) - 1)
+    at = at - (np.abs(times[at - 1] - wanted) <= np.abs(times[at] - wanted))
+    return np.unique(at)
+
+
+def detrend(x: np.ndarray, order: int) -> np.ndarray:
+    """Less the polynomial that fits best; -1 changes nothing, 0 takes the mean away."""
+    if order < 0:
+        return x
+    basis = np.vander(np.linspace(-1, 1, len(x)), order + 1)
+    return x - basis @ np.linalg.lstsq(basis, x, rcond=None)[0]
+
+
+def time_frequency_grid(frequencies: list[float], duration_s: float, split_hz: float = 30.0, cycles: float = 6.0, high_window_s: float = 0.2) -> list[tuple[float, float, float, int]]:
+    """(frequency, window, smoothing, tapers): below the split six cycles and a third of the frequency, above it a fixed window with as many tapers as the same smoothing allows."""
+    out = []
+    for f in frequencies:
+        window = min(duration_s, cycles / f if f < split_hz else high_window_s)
+        k = 1 if f < split_hz else max(1, math.floor(2 * window * f / 3 - 1))
+        out.append((f, window, f / 3 if f < split_hz else (k + 1) / (2 * window), k))
+    return out

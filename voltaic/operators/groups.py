@@ -115,3 +115,23 @@ def anchors_or_numbers(events: DataFrame, n: int, by: str, order: str = "onset")
     real = rows.where((F.col("_n") >= n) & (F.col("_k") < n)).select(by, F.col("_k").cast("long").alias("trial"), F.col(order).cast("double").alias("onset"))
     few = rows.where(F.col("_n") < n).select(by).distinct().withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return real.unionByName(few.withColumn("onset", F.col("trial").cast("double")))
+
+
+def check_compatible(inputs: DataFrame, parts: Sequence[str], level: str = "feature_level") -> None:
+    """Raises if inputs are not all of channels, or differ in a part of their signature. One row is looked at on the driver."""
+    facts = inputs.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(level) != "channel", 1)).alias("other"), *(F.count_distinct(p).alias(p) for p in parts)).first()
+    if not facts["n"]:
+        raise ValueError("there is no input")
+    if facts["other"]:
+        raise ValueError("inputs must be of channels")
+    if different := [p for p in parts if facts[p] > 1]:
+        raise ValueError(f"inputs differ in {', '.join(different)}")
+
+
+def total_rates(events: DataFrame, classes: Sequence[str], duration_s: float, kind: str = "event_type") -> DataFrame:
+    """Rate of each class and of all, 0 for classes without events."""
+    spark = events.sparkSession
+    counts = events.groupBy(F.col(kind).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    named = spark.createDataFrame([(c,) for c in classes], "class string").join(counts, "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
+    every = events.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("class"), "n")
+    return named.unionByName(every).select("class", "n", (F.col("n") / duration_s).alias("rate"))

@@ -183,3 +183,33 @@ def response_time(df: DataFrame, column: str, units: str = "s") -> Column:
 def skip_reason(rt: Column, tmax: float, clamp: bool) -> Column:
     """Why a trial has no activity up to its response."""
     return F.when(rt.isNull(), "missing_response_time").when(rt <= 0, "nonpositive_response_time").when((rt > tmax) & F.lit(not clamp), "response_after_epoch_end")
+
+
+def defer(df: DataFrame, condition: Column, reason: str, phase: str) -> DataFrame:
+    """Kept trials that do not meet a condition are marked to go at a later phase."""
+    late = F.col("keep") & ~F.coalesce(condition, F.lit(False))
+    mark = F.struct(F.lit(reason).alias("reason"), F.lit(phase).alias("phase"))
+    old = F.col("deferred") if "deferred" in df.columns else F.array().cast("array<struct<reason:string,phase:string>>")
+    return df.withColumn("deferred", F.when(late, F.concat(old, F.array(mark))).otherwise(old))
+
+
+def apply_deferred(df: DataFrame, phase: str) -> DataFrame:
+    """Trials marked for this phase are out, for the first reason marked."""
+    mine = F.filter("deferred", lambda d: d["phase"] == phase)
+    goes = F.col("keep") & (F.size(mine) > 0)
+    return df.withColumns({"exclusion_reason": F.when(goes, F.get(mine, F.lit(0))["reason"]).otherwise(F.col("exclusion_reason")), "keep": F.col("keep") & ~goes})
+
+
+def build_rows(events: DataFrame | None, labels: DataFrame | None, condition_columns: set[str], anchor_column: str = "anchor_event_code", trial_id: str = "trial_id", by: str = "recording") -> tuple[DataFrame, str]:
+    """Trial rows and where they come from: events alone if they have the anchors and all columns of the conditions, else labels with events by
+    trial id, or by place if a side has no ids, else labels alone."""
+    if events is not None and anchor_column in events.columns and condition_columns <= set(events.columns):
+        return events.where(blank_to_null(F.col(anchor_column)).isNotNull()), "events"
+    if labels is None:
+        raise ValueError("no table has the columns of the conditions")
+    if events is None:
+        return labels, "labels"
+    if trial_id in events.columns and trial_id in labels.columns:
+        return join_on_trial_id(events, labels, trial_id), "trial_id"
+    order = [F.asc_nulls_last(c) for c in ("order", "onset", "row_index") if c in events.columns and c in labels.columns]
+    return join_by_position(labels, events, by, order), "position"

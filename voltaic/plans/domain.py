@@ -517,3 +517,41 @@ def union_runs(spark: SparkSession, d: str) -> DataFrame:
 def windowed_rates(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     return rounded(rates.windowed_rates(e, "1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'Response' ELSE 'Stimulus' END || '/S ' || (event_id % 12)::VARCHAR ELSE CASE WHEN event_id % 2 = 0 THEN 'Response' ELSE 'Stimulus' END || '/' || CASE WHEN event_id % 3 = 1 THEN event_type ELSE 'n/a' END END AS annotation FROM events")
+def table_annotations(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    code = F.when(i % 3 == 0, F.lpad((i % 12).cast("string"), 4, "0")).otherwise("n/a")
+    kind, trial_type = F.when(i % 2 == 0, "Response"), F.when(i % 3 == 1, F.col("event_type"))
+    return read(spark, d, "events").select("event_id", tx.table_annotation(kind, trial_type, F.lit(" none "), code).alias("annotation"))
+
+
+@query("SELECT label::BIGINT AS label, count(DISTINCT hash) AS axes FROM (SELECT label, sha1(array_to_string(list_transform(range(0, 4 + label % 3), lambda i: i::VARCHAR), ',')) AS hash FROM embeddings) GROUP BY label")
+def axis_identity(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), tx.axis_hash(F.sequence(F.lit(0), 3 + F.col("label") % 3)).alias("hash"))
+    return e.groupBy("label").agg(F.countDistinct("hash").alias("axes"))
+
+
+@query(f"WITH {_ORDERS} SELECT trial, keep AND label <> 'P' AS keep, CASE WHEN keep AND label = 'P' THEN 'pending' END AS exclusion_reason, keep AND trial % 2 > 0 AS late FROM o")
+def deferred_rules(spark: SparkSession, d: str) -> DataFrame:
+    o = tr.defer(_orders(spark, d), F.col("label") != "P", "pending", "after_epoch_trial_rejection")
+    o = tr.defer(o, F.col("trial") % 2 == 0, "odd", "before_activity_zscore")
+    out = tr.apply_deferred(o, "after_epoch_trial_rejection")
+    late = F.exists("deferred", lambda x: x["phase"] == "before_activity_zscore")
+    return out.select("trial", "keep", "exclusion_reason", late.alias("late"))
+
+
+@query("SELECT c.class, count(event_id) AS n, round(count(event_id) / 60.0::DOUBLE, 6) AS rate FROM (SELECT unnest(['click', 'view', 'spike']) AS class) c LEFT JOIN events ON event_type = class GROUP BY class UNION ALL SELECT 'total', count(*), round(count(*) / 60.0::DOUBLE, 6) FROM events")
+def total_event_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(gr.total_rates(read(spark, d, "events"), ["click", "view", "spike"], 60.0))
+
+
+@query("WITH l AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, c_nationkey FROM customer), e AS (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k, s_nationkey FROM supplier) SELECT c_custkey, s_suppkey FROM l JOIN e ON l.k = e.k AND c_nationkey = s_nationkey")
+def row_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Labels and events without ids are joined by place."""
+    labels = read(spark, d, "customer").select(F.col("c_nationkey").alias("recording"), F.col("c_custkey").alias("row_index"), "c_custkey")
+    events = read(spark, d, "supplier").select(F.col("s_nationkey").alias("recording"), F.col("s_suppkey").alias("row_index"), "s_suppkey")
+    rows, how = tr.build_rows(events, labels, {"choice"})
+    assert how == "position"
+    return rows.select("c_custkey", F.col("other_s_suppkey").alias("s_suppkey"))
