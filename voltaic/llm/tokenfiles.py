@@ -22,18 +22,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import CHUNK, documents, shared_dir, stage
+from ._common import CHUNK, chunks, documents, shared_dir, stage
+from ._words import NOT_WHITE, split_words
 from .rangecoder import BLOCK, decode_block, encode_block
 
 #: Distinct words whose ids a Python worker remembers at most; it bounds memory only.
-CACHE = 800_000
+CACHE = 2_000_000
 #: How the vocabulary marks the end of a pre-token, and stops that are pre-tokens of their own after letters.
 WORD_END, STOPS = "</w>", ".,;:!?"
 _FOOT = struct.Struct("<4sQQQI")
@@ -56,55 +59,90 @@ class WordTokenizer:
         #: Whether an id ends a pre-token.
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for t, i in self.tool.get_vocab(with_added_tokens=False).items() if t.endswith(WORD_END)]] = True
-        self.stops = {c.encode(): np.array(self._ids(c), dtype="<u4").tobytes() for c in STOPS}
-        self.known: dict[bytes, bytes] = {}
+        self.stops = {c.encode(): self._ids(c) for c in STOPS}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words: hashes in order with each one's number, and by number where its ids begin in ``flat`` and how many there are."""
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tool.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words. Words of letters are encoded fifty at a time, one of letters and a stop in two parts, others alone."""
-        known, plain, stopped, others = self.known, {}, [], []
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words. Those of letters are encoded fifty at a time, one of letters and a stop in two parts, others alone."""
+        known: dict[bytes, list[int]] = {}
+        plain, stopped, others = {}, [], []
         for w in words:
             s = w.decode()
             if s.isalpha():
                 plain[w] = s
             elif s[-1] in STOPS and (s := s[:-1]).isalpha():
                 stopped.append(w)
-                if w[:-1] not in known:
-                    plain[w[:-1]] = s
+                plain[w[:-1]] = s
             else:
                 others.append(w)
         keys, values = list(plain), list(plain.values())
         groups = [(keys[i : i + 50], values[i : i + 50]) for i in range(0, len(keys), 50)]
         for (group, _), found in zip(groups, self.tool.encode_batch_fast([" ".join(v) for _, v in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids])
+            ids = found.ids
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(group):  # a word of these is more than one pre-token
                 others += group
                 continue
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(group, (4 * cuts + 4).tolist(), strict=True):
-                known[w] = raw[begin:end]
+            begin = 0
+            for w, end in zip(group, cuts, strict=True):
+                known[w] = ids[begin:end]
                 begin = end
         for w, found in zip(others, self.tool.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
-            known[w] = np.array(found.ids, dtype="<u4").tobytes()
+            known[w] = found.ids
         for w in stopped:
             known[w] = known[w[:-1]] + self.stops[w[-1:]]
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, end = self.known, struct.pack("<I", end_id)
-        parts = [(t or "").encode().split() for t in texts]
-        found = [list(map(known.get, p)) for p in parts]
-        short = [k for k, f in enumerate(found) if None in f]
-        if short:
-            self._learn(list({w for k in short for w, f in zip(parts[k], found[k], strict=True) if f is None}))
-            for k in short:
-                found[k] = list(map(known.__getitem__, parts[k]))
-        return [b"".join([*f, end]) for f in found]
+        return [known[w] for w in words]
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        found = self._encode_words(words)
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        first = len(self.count)
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.used += len(ids)
+        by = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[by])
+        self.keys, self.number = np.insert(self.keys, at, hashes[by]), np.insert(self.number, at, first + by)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts between ``offsets``, each with the end id, and how many each has. Words go by 64-bit hashes."""
+        if len(self.keys) > CACHE:
+            self._forget()
+        w = split_words(data, offsets, NOT_WHITE, lower=False)
+        code, distinct = pd.factorize(w.hash)
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            seen = np.zeros(len(distinct), np.int64)
+            seen[code[::-1]] = np.arange(len(code))[::-1]  # the first place of each
+            raw = data.tobytes()
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(w.start[seen[new]].tolist(), w.end[seen[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, distinct)
+        number = self.number[at][code]
+        count, begin = self.count[number], self.begin[number]
+        sums = np.concatenate([[0], np.cumsum(count)])
+        per_text = sums[w.first[1:]] - sums[w.first[:-1]] + 1
+        out = np.empty(int(per_text.sum()), np.uint32)
+        ends = np.cumsum(per_text) - 1
+        inner = np.ones(len(out), dtype=bool)
+        inner[ends] = False
+        out[ends] = end_id
+        # Where each id stands in ``flat``: its word's begin, and its place within the word.
+        out[inner] = self.flat[np.repeat(begin - sums[:-1], count) + np.arange(sums[-1])]
+        return out, per_text
 
 
 @lru_cache(maxsize=2)
@@ -124,18 +162,6 @@ def _open(path: str, mode: str):
     return store.open_input_file(name)
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Rows in runs of about CHUNK characters."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def _write(path: str, batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> tuple[int, int]:
     """Write one file; its documents and ids. At most a block and a batch are held."""
     tool = _tokenizer(tokenizer)
@@ -159,11 +185,9 @@ def _write(path: str, batches: Iterator[pa.RecordBatch], tokenizer: str, end_id:
         for batch in batches:
             ids.append(batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
             valid.append(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
-            texts = batch.column(1).to_pylist()
-            for i, j in _slices(texts):
-                encoded = tool.encode(texts[i:j], end_id)
-                counts += [len(e) // 4 for e in encoded]
-                block = np.frombuffer(b"".join(encoded), dtype="<u4")
+            for _, _, data, offsets in chunks(batch):
+                block, per_text = tool.encode(data, offsets, end_id)
+                counts.append(per_text)
                 waiting.append(block)
                 held += len(block)
                 total += len(block)
@@ -172,9 +196,10 @@ def _write(path: str, batches: Iterator[pa.RecordBatch], tokenizer: str, end_id:
         flush(True)
         if not counts:
             return 0, 0
-        index = zlib.compress(np.concatenate(valid).astype("u1").tobytes() + np.concatenate(ids).astype("<i8").tobytes() + np.array(counts, "<i8").tobytes(), 1)
-        f.write(index + _FOOT.pack(_MAGIC, len(counts), total, at, zlib.crc32(index)))
-    return len(counts), total
+        n_ids = np.concatenate(counts).astype("<i8")
+        index = zlib.compress(np.concatenate(valid).astype("u1").tobytes() + np.concatenate(ids).astype("<i8").tobytes() + n_ids.tobytes(), 1)
+        f.write(index + _FOOT.pack(_MAGIC, len(n_ids), total, at, zlib.crc32(index)))
+    return len(n_ids), total
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
