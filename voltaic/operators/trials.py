@@ -6,6 +6,8 @@ bucket is as wide as the window, so a recording's events do not all meet one ano
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,28 +79,34 @@ def next_response(anchors: DataFrame, responses: DataFrame, key: str, recording:
 def nearest_rows(anchors: DataFrame, rows: DataFrame, key: str, row_key: str, tolerance: float = 1e-3, recording: str = "recording", onset: str = "onset", code: str = "code") -> DataFrame:
     """Anchors in order with the nearest unused row within the tolerance whose code is equal or unknown; each row is used once.
 
-    Candidates come from a bucketed join; choosing is in order of anchors within a recording, so it runs per recording on those candidates alone.
+    Candidates come from a bucketed join; choosing is in order of anchors within a recording, one pass over the candidates in that order.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     a = anchors.select(recording, F.col(key).alias("anchor"), F.col(onset).alias("_ta"), F.col(code).alias("_ca"))
     b = rows.select(recording, F.col(row_key).alias("row"), F.col(onset).alias("_tb"), F.col(code).alias("_cb"))
     place = F.floor(F.col("_ta") / (2 * tolerance))
     near = a.withColumn("_b", F.explode(F.array(place - 1, place, place + 1))).join(b.withColumn("_b", F.floor(F.col("_tb") / (2 * tolerance))), [recording, "_b"])
     near = near.where((F.abs(F.col("_ta") - F.col("_tb")) <= tolerance) & (F.col("_cb").isNull() | (F.col("_cb") == F.col("_ca"))))
-    near = near.select(recording, "anchor", "row", "_ta", F.abs(F.col("_ta") - F.col("_tb")).alias("gap"))
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for anchor, mine in part.sort_values(["_ta", "anchor", "gap", "row"]).groupby("anchor", sort=False):
-            free = mine[~mine["row"].isin(used)]
-            if len(free):
-                used.add(free["row"].iloc[0])
-                out.append((part[recording].iloc[0], anchor, free["row"].iloc[0], free["gap"].iloc[0]))
-        return pd.DataFrame(out, columns=[recording, "anchor", "row", "gap"])
+    near = near.select(recording, "anchor", "row", F.abs(F.col("_ta") - F.col("_tb")).alias("gap"), "_ta")
+    near = near.repartition(recording).sortWithinPartitions(recording, "_ta", "anchor", "gap", "row")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done, used = object(), set(), set()
+        for batch in batches:
+            take = []
+            for rec, anchor, row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if rec != now:
+                    now, done, used = rec, set(), set()
+                good = anchor not in done and row not in used
+                if good:
+                    done.add(anchor)
+                    used.add(row)
+                take.append(good)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(take, pa.bool_()))
 
     types = {f.name: f.dataType.simpleString() for f in near.schema}
-    return near.groupBy(recording).applyInPandas(choose, f"{recording} {types[recording]}, anchor {types['anchor']}, row {types['row']}, gap double")
+    return near.mapInArrow(choose, f"{recording} {types[recording]}, anchor {types['anchor']}, row {types['row']}, gap double")
 
 
 def anchors_within(events: DataFrame, codes: list[str], start: str | None, end: str | None, recording: str = "recording", onset: str = "onset", code: str = "code") -> DataFrame:
