@@ -32,6 +32,8 @@ from ._words import _INVERSE, _ROOT, _VALUES, mix, powers
 SHARE = 16 << 20
 #: Entries that a task holds before it sends them on.
 HELD = 1 << 20
+#: Partitions at most, if the session asks for no more; a task takes its bins one after the other.
+PARTITIONS = 20_000
 #: Of zstandard, for what is sent: text in pieces gets about a third smaller than by Spark's own compression.
 LEVEL = 3
 _KINDS = ["<u8", "<i8", "<u4", "<i4", "<u2", "u1"]
@@ -58,6 +60,31 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def bins_for(df: DataFrame, size: int) -> int:
+    """How many bins, for a corpus of so many bytes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+
+
+def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows of each of n keys together and keys in order, over as many partitions as there are keys, within reason."""
+    most = max(PARTITIONS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(min(n, most), key).sortWithinPartitions(key)
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(key, rows without it) of rows that come in order of the key, their first column."""
+    key, rows = None, []
+    for batch in batches:
+        for k, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key and rows:
+                yield key, rows
+                rows = []
+            key = k
+            rows.append(tuple(rest))
+    if rows:
+        yield key, rows
+
+
 def xxhash64(x: np.ndarray) -> np.ndarray:
     """Spark's ``xxhash64`` of one bigint column."""
 
@@ -190,7 +217,7 @@ class Finder:
         docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
         each = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
         facts = each.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
-        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["size"] // SHARE))
+        n = bins_for(docs, facts["size"])
         # Ids are addresses; where rows share one or it is null, a hash of the row is.
         own = facts["n"] <= 1 and not facts["nulls"]
         order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
@@ -198,9 +225,8 @@ class Finder:
         groups = 2 * n
         rows = rows.withColumn("group", F.pmod(F.xxhash64("address"), F.lit(groups)).cast("int"))
         found = self._recurring(rows, n, groups)
-        dealt = rows.groupBy("group")
-        pieces = dealt.cogroup(found.groupBy("group")).applyInArrow(self._cut(n), "bin int, kind int, data binary")
-        ranges = pieces.repartition(n, "bin").mapInArrow(self._resolve(groups), "group int, data binary")
+        pieces = rows.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(self._cut(n), "bin int, kind int, data binary")
+        ranges = dealt(pieces, n, "bin").mapInArrow(self._resolve(groups), "group int, data binary")
         kind = docs.schema["doc_id"].dataType.simpleString()
         return rows.groupBy("group").cogroup(ranges.groupBy("group")).applyInArrow(_finished(finish, schema), f"doc_id {kind}, {schema}")
 
@@ -232,12 +258,8 @@ class Finder:
                 yield _buckets(held, n)
 
         def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_bucket: dict[int, list] = {}
-            for batch in batches:
-                for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    by_bucket.setdefault(bucket, []).append(raw)
-            for parts in by_bucket.values():
-                columns = [unpack(p) for p in parts]
+            for _, parts in by_key(batches):
+                columns = [unpack(raw) for (raw,) in parts]
                 value = np.concatenate([c[3].astype(np.uint64) << np.uint64(32) | c[4].astype(np.uint64) for c in columns])
                 address = np.concatenate([np.repeat(c[0], c[2]) for c in columns])
                 owner = address + np.concatenate([np.repeat(c[1], c[2]) for c in columns]) if across else address
@@ -262,7 +284,7 @@ class Finder:
                     yield pa.RecordBatch.from_arrays([pa.array([int(part[0, 0])], pa.int32()), pa.array([pack(part[:, 1])], pa.binary())], ["group", "data"])
 
         sent = rows.select("address", "order", "text").mapInArrow(anchors, "bucket int, data binary")
-        return sent.repartition(n, "bucket").mapInArrow(recur, "group int, data binary")
+        return dealt(sent, n, "bucket").mapInArrow(recur, "group int, data binary")
 
     def _cut(self, n: int):
         """Step 2: pieces of recurring anchors, by bin. kind 0: packed pieces, 1: ranges already known to go."""
@@ -298,17 +320,15 @@ class Finder:
         resolve, across = self.resolve, self.across
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_bin: dict[int, list[bytes]] = {}
-            for batch in batches:
-                for b, kind, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for _, parts in by_key(batches):
+                for kind, raw in parts:
                     if kind:
                         yield _by_group(*unpack(raw), groups)
-                    else:
-                        by_bin.setdefault(b, []).append(raw)
-            for b in list(by_bin):
-                columns = [unpack(x) for x in by_bin.pop(b)]
+                columns = [unpack(raw) for kind, raw in parts if not kind]
+                if not columns:
+                    continue
                 address, order, at, size, twice, anchor, tokens, data = (np.concatenate(c) for c in zip(*columns, strict=True))
-                del columns
+                del columns, parts
                 size = size.astype(np.int64)
                 end = np.cumsum(size)
                 p = Pieces(address, address + order, at.astype(np.int64), tokens.astype(np.int64), twice, anchor, _content_hashes(data, size), end - size, size, data)

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents
 
-#: Pre-tokens whose ids a Python worker remembers at most; then it starts anew. It bounds memory only.
-CACHE = 1_000_000
+#: Pre-tokens whose ids a Python worker remembers: of those seen once lately, and of those seen again. The older ones of a
+#: kind go when it is full; it bounds memory only.
+SEEN_ONCE, SEEN_AGAIN = 200_000, 400_000
 #: Longer pre-tokens are not remembered.
 CACHE_BYTES = 64
 
@@ -84,6 +85,7 @@ class ByteBPE:
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(len(self.tokens))
         self.known: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -132,16 +134,22 @@ class ByteBPE:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, parts = self.known, []
+        known, once, parts = self.known, self.once, []
         for piece in self.pattern.findall(text):
             ids = known.get(piece)
             if ids is None:
-                raw = piece.encode()
-                ids = np.array(self.merge(raw), dtype="<u4").tobytes()
-                if len(raw) <= CACHE_BYTES:
-                    if len(known) >= CACHE:
+                ids = once.pop(piece, None)
+                if ids is not None:
+                    if len(known) >= SEEN_AGAIN:
                         known.clear()
                     known[piece] = ids
+                else:
+                    raw = piece.encode()
+                    ids = np.array(self.merge(raw), dtype="<u4").tobytes()
+                    if len(raw) <= CACHE_BYTES:
+                        if len(once) >= SEEN_ONCE:
+                            once.clear()
+                        once[piece] = ids
             parts.append(ids)
         return b"".join(parts)
 

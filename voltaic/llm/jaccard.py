@@ -11,9 +11,9 @@ and each part into n2, of which all but d // n1 have none: every subset of that
    label and pointer jumping, each round written to the shared folder). So a group of near copies costs a row per member.
 3. What stays in groups of several labels, mostly sets that share a passage, is compared by parity sketches inside tasks: a bit per hash
    value says whether an odd number of shingles has it, so sketches differ in no more bits than sets in shingles, and pairs
-   further apart than linked ones can be are never made into rows. Large groups are compared block by block. Nodes of very large groups
+   further apart than linked ones can be are never made into rows. Large groups are compared block by block. Edges are then compared by wider sketches, and what is left by texts. Nodes of very large groups
    first get the signatures of fewer, larger parts, which cover more shingles, so that chance groups fall apart; again any linked
-   sets share one. The pairs that are left are verified exactly.
+   sets share one.
 
 Nulls, empty texts and texts without words have empty sets and are linked with nothing. Texts of fewer than k words are one
 shingle. Repeated rows are copies; rows with a null id are linked but never name a component (theirs is null if all are).
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import CHUNK, chunks, documents, stage
-from ._repeats import HELD, SHARE, _buckets, unpack
+from ._repeats import HELD, _buckets, bins_for, by_key, dealt, unpack
 from ._words import _MUL, NOT_WHITE, mix, shingle_hashes, split_words
 
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -171,15 +171,11 @@ def _groups(texts: DataFrame, k: int, percent: int, n: int, level: int) -> DataF
             yield _buckets(held, n)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_bucket.setdefault(bucket, []).append(raw)
-        for bucket in list(by_bucket):
-            columns = [unpack(x) for x in by_bucket.pop(bucket)]
+        for _, parts in by_key(batches):
+            columns = [unpack(raw) for (raw,) in parts]
             sig = np.concatenate([c[3].astype(np.uint64) << np.uint64(32) | c[4].astype(np.uint64) for c in columns])
             cls = np.concatenate([np.repeat(c[0], c[2]) for c in columns])
-            del columns
+            del columns, parts
             # Most signatures are alone: leave them before sorting by class too.
             by = np.argsort(sig)
             sig, cls = sig[by], cls[by]
@@ -202,11 +198,25 @@ def _groups(texts: DataFrame, k: int, percent: int, n: int, level: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, count)[keep].astype(np.int64)), pa.array(cls[keep])], ["group", "member"])
 
     sent = texts.select("text", *(["node"] if own else [])).mapInArrow(sign, "bucket int, data binary")
-    return sent.repartition(n, "bucket").mapInArrow(gather, "group bigint, member bigint").distinct()
+    return dealt(sent, n, "bucket").mapInArrow(gather, "group bigint, member bigint").distinct()
+
 
+def _linked(edges: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the edges (a, b) whose texts' sets are similar enough. Wide sketches, a small part of a text, are compared first."""
 
-def _linked(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the edges (a, b) whose texts' sets are similar enough."""
+    def both(rows: DataFrame, of: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        for end in ("b", "a"):
+            rows = rows.join(of.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+        return rows
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_a, size_b, wide_a, wide_b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("size_a", "size_b", "wide_a", "wide_b"))
+            keep = [
+                min(m, n) * 100 >= percent * max(m, n) and _parity_distance(x, y) * (100 + percent) <= (m + n) * (100 - percent)
+                for m, n, x, y in zip(size_a, size_b, wide_a, wide_b, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,16 +235,22 @@ def _linked(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     sets.append([own[c] for c in codes.indices.to_pylist()])
                 ok = np.zeros(part.num_rows, dtype=bool)
                 for r, (x, y) in enumerate(zip(*sets, strict=True)):
-                    if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
-                        both = len(x) + len(y) - len(np.union1d(x, y))
-                        ok[r] = 100 * both >= percent * (len(x) + len(y) - both)
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    ok[r] = 100 * both >= percent * (len(x) + len(y) - both)
                 good.append(ok)
             keep = pa.array(np.concatenate(good) if good else np.zeros(0, bool))
             yield batch.select(["a", "b"]).filter(keep)
 
-    left = edges.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint")
+    close = stage(both(edges, sketches, ("size", "wide")).select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(near, "a bigint, b bigint"))
+    return both(close, texts, ("text",)).select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint")
+
+
+def _parity_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, at the length of the shorter one: halves of a longer one are folded, as bits are hashes modulo the length."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    short = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, short), axis=0) if len(v) > short else v for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,19 +284,26 @@ def _first_edges(mixed: DataFrame) -> DataFrame:
 
 
 def _sketches(texts: DataFrame, k: int) -> DataFrame:
-    """(node, size, sketch): how many shingles a text has, and BITS parities of them."""
+    """(node, size, wide, sketch): shingles of a text, parities of them with two bits or more a shingle, and the same folded to BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, parts = [], []
+            sizes, wide, small = [np.zeros(0, np.int64)], [], []
             for i, j, data, offsets in chunks(batch):
                 row, value = shingle_sets(data, offsets, k)
-                bits = np.bincount(row * BITS + (mix(value + np.uint64(7)) % np.uint64(BITS)).astype(np.int64), minlength=(j - i) * BITS) & 1
-                sizes.append(np.bincount(row, minlength=j - i))
-                parts += [x.tobytes() for x in np.packbits(bits.astype(bool).reshape(-1, BITS), axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(parts, pa.binary())], ["node", "size", "sketch"])
+                size = np.bincount(row, minlength=j - i)
+                bits = BITS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) * 2 / BITS))).astype(np.int64)
+                base = np.cumsum(bits) - bits
+                at = base[row] + (mix(value + np.uint64(7)) % bits[row].astype(np.uint64)).astype(np.int64)
+                packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool))
+                for a, n in zip((base // 8).tolist(), (bits // 8).tolist(), strict=True):
+                    own = packed[a : a + n]
+                    wide.append(own.tobytes())
+                    small.append(np.bitwise_xor.reduce(own.reshape(-1, BITS // 8), axis=0).tobytes())
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(wide, pa.binary()), pa.array(small, pa.binary())], ["node", "size", "wide", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, size bigint, sketch binary")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, size bigint, wide binary, sketch binary")
 
 
 def _near_pairs(size: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,7 +328,7 @@ def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFra
     rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.select("group", F.least("_b", "_x").alias("low"), F.greatest("_b", "_x").alias("high"), F.when(F.col("_b") == F.col("_x"), 0).when(F.col("_b") < F.col("_x"), 1).otherwise(2).alias("side"), "node", "label")
     # Rows of a block with itself belong to no other pair of blocks; those of two blocks only pair across.
-    rows = rows.join(sketches, "node").select("group", "low", "high", "side", "node", "label", "size", "sketch")
+    rows = rows.join(sketches.select("node", "size", "sketch"), "node").select("group", "low", "high", "side", "node", "label", "size", "sketch")
     parts = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,13 +367,14 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     docs = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     sized = stage(_classes(docs, k))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+    n = bins_for(docs, size)
     classes = stage(sized.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("node")).where("node is not null"))
     groups = stage(_groups(docs, k, percent, n, 1).withColumnRenamed("member", "class").join(classes, "class").select("group", "node"))
     nodes = groups.select("node").distinct()
     # Rows that share an id may differ in text: one of them stands for it.
     texts = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = stage(texts.dropDuplicates(["node"]))
+    sketches = stage(_sketches(texts, k))
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tried: DataFrame | None = None
@@ -365,14 +389,14 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             # Linked nodes of large groups meet in the new groups; those of small ones still do in the old.
             groups = stage(groups.join(large.select("group"), "group", "left_anti").unionByName(again))
             mixed = _mixed(groups, labels)
-        edges = _first_edges(mixed) if step != "pairs" else _close_edges(mixed, stage(_sketches(texts.join(mixed.select("node").distinct(), "node", "left_semi"), k)), percent)
+        edges = _first_edges(mixed) if step != "pairs" else _close_edges(mixed, sketches, percent)
         if tried is not None:
             edges = edges.join(tried, ["a", "b"], "left_anti")
         edges = stage(edges)
         if edges.isEmpty():
             continue
         tried = edges if tried is None else tried.unionByName(edges)
-        found = stage(_linked(edges, texts, k, percent))
+        found = stage(_linked(edges, texts, sketches, k, percent))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     out = sized.join(classes, "class", "left")

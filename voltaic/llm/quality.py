@@ -89,7 +89,8 @@ def host_verdicts(scored: DataFrame, rate: float = HOST_RATE) -> DataFrame:
     The prior's mean and variance are those of the hosts' raw rates (method of moments); its weight is kept
     within 1 and 1,000,000 documents, so that one host alone, or hosts all alike, give a defined result.
     """
-    hosts = scored.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failed"))
+    # A row per host, used twice: written, so that the documents are counted once.
+    hosts = stage(scored.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failed")))
     raw = F.col("host_failed") / F.col("host_docs")
     prior = hosts.agg(F.avg(raw).alias("_m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("_v"))
     prior = prior.select("_m", F.when(F.col("_v") > 0, F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1).otherwise(F.lit(1e6)).alias("_k"))
@@ -111,13 +112,26 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.coalesce("host_bad", F.lit(False))))
 
 
+def _failure() -> Column:
+    """2 if a base rule fails, 1 if only a soft one does, else 0: one value, so that counts are not made again for each rule."""
+    n = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"}
+
+    def rule(q: Column) -> Column:
+        c = {name: q[name] for name in n}
+        base = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+        soft = (10 * c["n_symbols"] > c["word_chars"]) | (100 * c["n_dup_lines"] > 30 * c["n_lines"]) | (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 20 * c["n_words"])
+        return F.when(base, 2).when(soft, 1).otherwise(0)
+
+    return let(F.col("_q"), rule)
+
+
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are. Counts are made twice, so that texts need no shuffle."""
-    failed = features(docs, host_col, text_col, host_col).select("host", (base_failed() | soft_failed()).alias("failed"))
-    bad = stage(host_verdicts(failed).where("host_bad").select(F.col("host").alias("_host"), F.lit(True).alias("_bad")))
-    rows = _with_counts(docs, text_col)
+    """The rows of ``docs`` that the rules keep, all columns as they are. Counts are made twice, so that texts are neither shuffled nor written in between."""
+    rows = _with_counts(docs, text_col).withColumn("_f", _failure()).drop("_q")
+    hosts = host_verdicts(rows.select(F.col(host_col).alias("host"), (F.col("_f") > 0).alias("failed")))
+    bad = stage(hosts.where("host_bad").select(F.col("host").alias("_host"), F.lit(1).alias("_bad")))
     rows = rows.join(bad, rows[host_col].eqNullSafe(bad["_host"]), "left")
-    return rows.where(~base_failed("_q.") & ~(soft_failed("_q.") & F.coalesce("_bad", F.lit(False)))).select(*(rows[c] for c in docs.columns))
+    return rows.where(F.col("_f") + F.coalesce("_bad", F.lit(0)) < 2).select(*(rows[c] for c in docs.columns))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

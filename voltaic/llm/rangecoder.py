@@ -30,8 +30,8 @@ _RENEW = {1, 2, 3, 4, 6, 8, 12}
 
 
 class _Model:
-    def __init__(self, ids: int, lanes: int) -> None:
-        self.ids = ids
+    def __init__(self, ids: int, lanes: int, decodes: bool = False) -> None:
+        self.ids, self.decodes = ids, decodes
         self.first, self.first_sure = np.zeros(ids, np.int32), np.zeros(ids, np.int8)
         self.second, self.second_sure = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int8)
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -45,6 +45,17 @@ class _Model:
     def renew(self) -> None:
         np.cumsum(self.counts, out=self.sums[1:])
         self.sums = (self.sums << _ZERO) // self.sums[-1]
+        if self.decodes:  # the id at every 16th place
+            self.places = np.repeat(np.arange(self.ids), np.diff(-(-self.sums // 16)))
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold the places."""
+        out = self.places[place >> 4]
+        more = np.flatnonzero(self.sums[out + 1] <= place)
+        while len(more):
+            out[more] += 1
+            more = more[self.sums[out[more] + 1] <= place[more]]
+        return out
 
     def predict(self) -> None:
         """Predictions p2, p1 and the widths a, b of their intervals for every lane."""
@@ -157,7 +168,7 @@ def decode_block(raw: memoryview | bytes, at: int = 0) -> tuple[np.ndarray, int]
     code = words[get] << 32 | words[get + 1] << 16 | words[get + 2]
     get += 3
     span = np.full(lanes, 1 << 48, np.int64)
-    model = _Model(alphabet, lanes)
+    model = _Model(alphabet, lanes, decodes=True)
     columns = np.zeros((steps, lanes), np.int64)
     for k in range(steps):
         live = int(live_at[k])
@@ -174,7 +185,7 @@ def decode_block(raw: memoryview | bytes, at: int = 0) -> tuple[np.ndarray, int]
         x = np.where(value < a, model.p2, model.p1).astype(np.int64)
         begin, freq = np.where(value < a, 0, a), np.where(value < a, a, b)
         scale = rest[zero]
-        found = np.searchsorted(model.sums, (((value[zero] - ab[zero] + 1) << _ZERO) - 1) // scale, side="right") - 1
+        found = model.find((((value[zero] - ab[zero] + 1) << _ZERO) - 1) // scale)
         x[zero] = found
         start = (scale * model.sums[found]) >> _ZERO
         freq[zero] = ((scale * model.sums[found + 1]) >> _ZERO) - start

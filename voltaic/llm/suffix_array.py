@@ -24,7 +24,7 @@ from ._words import _INVERSE, _ROOT, _VALUES, powers
 #: Bytes of a string, and of the grams whose least one anchors it.
 WIDTH, GRAM = 50, 20
 #: Bytes of a shard.
-SHARD = 2 << 20
+SHARD = 1 << 20
 
 
 def byte_tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
