@@ -122,7 +122,8 @@ def _failure() -> Column:
         soft = (10 * c["n_symbols"] > c["word_chars"]) | (100 * c["n_dup_lines"] > 30 * c["n_lines"]) | (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 20 * c["n_words"])
         return F.when(base, 2).when(soft, 1).otherwise(0)
 
-    return let(F.col("_q"), rule)
+    # Never null, and said so: else a filter on it is inferred to need "is not null", which is pushed to the scan and counts all words once more.
+    return F.coalesce(let(F.col("_q"), rule), F.lit(0))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
