@@ -73,3 +73,16 @@ def test_corrections_are_named(rows):
         pipelines.group_test(rows[1], "sidak")
     assert pipelines.group_test(rows[1], "bonferroni").where("significant").count() >= 3
     assert pipelines.group_test(rows[1], min_subjects=9).count() == 0
+
+
+def test_queries_take_every_contribution(spark, sf, duck):
+    """Against numpy over the whole table: every trial and feature of a label is in its region's t."""
+    from voltaic.plans import signals, tables
+
+    e = duck.execute(f"WITH {tables.EPOCHS} SELECT label, t_idx, v + 0.2 AS v FROM e WHERE v IS NOT NULL").df()
+    assert signals._contributions(spark, sf).where("v is not null").count() == len(e)
+    want = {(f"R{k[0]}", int(k[1])): g.mean() / (g.std(ddof=1) / np.sqrt(len(g))) for k, g in e.groupby(["label", "t_idx"]).v}
+    got = {(r.roi, r.t_idx): r.t for r in signals.group_fdr_test(spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+    found = {(r.roi, r.start, r.end): r.t_sum for r in signals.group_cluster_test(spark, sf).collect()}
+    assert found == pytest.approx({k: sum(want[k[0], i] for i in range(k[1], k[2] + 1)) for k in found}, abs=1e-4) and found

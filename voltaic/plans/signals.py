@@ -80,8 +80,7 @@ def _contributions(spark: SparkSession, d: str) -> DataFrame:
     """Epoch means of labels as regions: trial as subject, feature as channel."""
     from .tables import epochs
 
-    e = epochs(spark, d).where("feature < 3 and trial < 60")
-    return e.select(F.concat(F.lit("R"), F.col("label").cast("string")).alias("roi"), F.col("trial").cast("string").alias("subject"), F.col("feature").cast("string").alias("channel"), "t_idx", (F.col("v") + 0.2).alias("v"))
+    return epochs(spark, d).select(F.concat(F.lit("R"), F.col("label").cast("string")).alias("roi"), F.col("trial").cast("string").alias("subject"), F.col("feature").cast("string").alias("channel"), "t_idx", (F.col("v") + 0.2).alias("v"))
 
 
 @query()
