@@ -167,3 +167,19 @@ def test_row_sources(spark):
     assert trials.build_rows(None, labels, {"mood"})[1] == "labels"
     with pytest.raises(ValueError):
         trials.build_rows(events, None, {"mood"})
+
+
+def test_catalog_queries_take_every_event(spark, sf, duck):
+    """Every path of the table has its best match, by brute force, and is either done or still to do."""
+    from voltaic.plans import domain, queries
+
+    paths = {r.path: r.asDict() for r in catalog.with_entities(domain._paths(spark, sf)).collect()}
+    events = duck.execute("SELECT event_id, user_id, event_type FROM events").fetchall()
+    some = {(str(u % 20) if i % 7 else None, str(i % 4) if i % 2 and u % 3 else None, t) for i, u, t in events}
+    want = {}
+    for path, r in paths.items():
+        pairs = [(-sum(a is not None and a == b for a, b in zip((r["sub"], r["ses"], r["task"]), c)), sum(x is not None for x in c), c) for c in some if all(a is None or b is None or a == b for a, b in zip((r["sub"], r["ses"], r["task"]), c))]
+        best = [c for c in pairs if c[:2] == min(pairs, key=lambda x: x[:2])[:2]]
+        want[path] = (min("_".join([f"{k}-{v}" for k, v in zip(("sub", "ses", "task"), c) if v is not None] + ["electrodes.tsv"]) for *_, c in best), -best[0][0], len(best) > 1)
+    assert {r.target: (r.candidate, r.score, r.ambiguous) for r in queries.QUERIES["best_entity_match_all"](spark, sf).collect()} == want
+    assert {r.path for r in queries.QUERIES["skip_existing_all"](spark, sf).collect()} == {p for p, r in paths.items() if r["task"] in ("error", "signup")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain, signals, statistics
+from . import domain, signals, statistics, whole
 
-QUERIES = {**statistics.QUERIES, **domain.QUERIES, **signals.QUERIES}
-SQL = {**statistics.SQL, **domain.SQL, **signals.SQL}
+QUERIES = {**statistics.QUERIES, **domain.QUERIES, **signals.QUERIES, **whole.QUERIES}
+SQL = {**statistics.SQL, **domain.SQL, **signals.SQL, **whole.SQL}
