@@ -183,3 +183,28 @@ def test_catalog_queries_take_every_event(spark, sf, duck):
         want[path] = (min("_".join([f"{k}-{v}" for k, v in zip(("sub", "ses", "task"), c) if v is not None] + ["electrodes.tsv"]) for *_, c in best), -best[0][0], len(best) > 1)
     assert {r.target: (r.candidate, r.score, r.ambiguous) for r in queries.QUERIES["best_entity_match_all"](spark, sf).collect()} == want
     assert {r.path for r in queries.QUERIES["skip_existing_all"](spark, sf).collect()} == {p for p, r in paths.items() if r["task"] in ("error", "signup")}
+
+
+def test_ordered_match_takes_every_row(spark, sf, duck):
+    """Against a walk over all clicks and views."""
+    from voltaic.plans import queries, tables
+
+    a = duck.execute(f"WITH {tables.ANNOTATIONS} SELECT recording, event_id, onset, code, value FROM a WHERE code IN ('click', 'view')").df()
+    want = {}
+    for _, part in a.groupby("recording"):
+        rest = iter(part.sort_values("event_id").itertuples())
+        for x in part.sort_values(["onset", "event_id"]).itertuples():
+            want[x.event_id] = next((r.event_id for r in rest if r.event_id % 2 == 0 or (r.value < 100 and r.code == x.code)), None)
+    got = queries.QUERIES["ordered_match"](spark, sf).collect()
+    assert {r.anchor: r.row for r in got} == want and any(v % 3 == 0 for v in want.values() if v is not None)
+    assert all(r.exclusion_reason == ("no_matching_table_row" if r.row is None else None if r.row % 5 else "missing_label") for r in got) and None in want.values()
+
+
+def test_whole_queries_leave_no_row_out(spark, sf, duck):
+    from voltaic.plans import queries
+
+    q = lambda name: queries.QUERIES[name](spark, sf)
+    one = lambda sql: duck.execute(sql).fetchone()[0]
+    assert q("union_runs_all").count() == one("SELECT count(*) FROM orders")
+    assert q("manual_roi_records_all").groupBy().sum("n").first()[0] == one("SELECT count(*) FROM customer WHERE c_acctbal > 0")
+    assert {r.key for r in q("shared_entities_all").collect()} == {"sub"}

@@ -416,7 +416,7 @@ def trial_order(spark: SparkSession, d: str) -> DataFrame:
 def ordered_match(spark: SparkSession, d: str) -> DataFrame:
     a = annotations(spark, d)
     anchors = a.where("code in ('click', 'view')").select("recording", F.col("event_id").alias("anchor"), "onset", "code")
-    rows = a.where("code in ('click', 'view') and event_id % 3 > 0").select("recording", F.col("event_id").alias("row"), F.col("event_id").alias("place"), F.when(F.col("event_id") % 2 > 0, F.col("code")).alias("code"), F.when(F.col("event_id") % 5 > 0, F.lit("x")).alias("label"))
+    rows = a.where("code in ('click', 'view')").select("recording", F.col("event_id").alias("row"), F.col("event_id").alias("place"), F.when(F.col("event_id") % 2 > 0, F.when(F.col("value") < 100, F.col("code")).otherwise("n/a")).alias("code"), F.when(F.col("event_id") % 5 > 0, F.lit("x")).alias("label"))
     return tr.match_in_order(anchors, rows)
 
 
