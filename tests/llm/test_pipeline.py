@@ -55,10 +55,10 @@ def near(spark):
     return rows, spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
-@pytest.mark.parametrize(("k", "percent", "large"), [(4, 85, 8192), (5, 80, 8192), (4, 85, 3)])
-def test_classes(near, k, percent, large):
+@pytest.mark.parametrize(("k", "percent", "level"), [(4, 85, 1), (5, 80, 1), (4, 85, 2)])
+def test_classes(near, k, percent, level):
     rows, df = near
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(df, k, percent, large_group=large).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(df, k, percent, level=level).collect()}
     assert got == brute_classes(rows, k, percent)
 
 
@@ -69,10 +69,57 @@ def test_blocks_of_groups(near, monkeypatch):
     assert got == brute_classes(rows, 4, 85)
 
 
+def brute_rows(rows, k, percent):
+    """(doc_id, set size, component) of rows whose ids may be null or shared: rows are the nodes."""
+    by_row = brute_classes([(i, t) for i, (_, t) in enumerate(rows)], k, percent)
+    parts = {}
+    for i, (d, _) in enumerate(rows):
+        n, c = by_row[i]
+        if n:
+            copies = next(j for j in range(len(rows)) if by_row[j] == (n, c) or by_row[j][1] == c)
+            parts.setdefault(by_row[copies][1], []).append(d)
+    out = []
+    for i, (d, _) in enumerate(rows):
+        n, c = by_row[i]
+        ids = [x for x in parts.get(c, []) if x is not None] if n else [d]
+        out.append((d, n, min(ids) if ids else None))
+    return sorted(out, key=str)
+
+
 def test_odd_tables(docs, odd, empty, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs, 4, 85).collect()}
     assert got == brute_classes([r[:2] for r in rows], 4, 85)
-    assert jaccard.similarity_classes(odd, 4, 85).count() == odd.count() and jaccard.similarity_classes(empty, 4, 85).count() == 0
+    assert sorted(map(tuple, jaccard.similarity_classes(odd, 4, 85).collect()), key=str) == brute_rows([(r.doc_id, r.text) for r in odd.collect()], 4, 85)
+    assert jaccard.similarity_classes(empty, 4, 85).count() == 0 and jaccard.keep_one(empty).count() == 0
+
+
+def test_null_and_shared_ids_link(spark):
+    """A text without an id bridges two others; of two texts under one id each has its own links."""
+    words = [f"w{i}" for i in range(60)]
+
+    def changed(text, *at):
+        return " ".join(f"x{i}" if i in at else w for i, w in enumerate(text.split()))
+
+    one, other = " ".join(words), " ".join(reversed(words))
+    chain = [(1, one), (None, changed(one, 0)), (2, changed(one, 0, 59)), (None, "alone without any id at all")]
+    shared = [(5, other), (5, "quite another text that has the same id as one above it"), (6, changed(other, 0)), (7, "quite another text that has the same id as one above it")]
+    rows = chain + shared
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, jaccard.similarity_classes(df, 4, 85).collect()), key=str)
+    assert got == brute_rows(rows, 4, 85)
+    assert {(d, c) for d, _, c in got} >= {(1, 1), (2, 1), (None, 1), (6, 5), (7, 5), (None, None)}
+    kept = sorted(map(tuple, jaccard.keep_one(df, 4, 85).collect()), key=str)
+    assert kept == sorted([chain[0], chain[3], shared[0], shared[1]], key=str)
+
+
+def test_no_link_by_made_up_words(spark):
+    """Words whose letters make sums of powers of one number collide (a Thue-Morse word and its complement) are different words."""
+    tm = "a"
+    while len(tm) < 1024:
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{tm} one two three four"), (2, f"{tm.translate(str.maketrans('ab', 'ba'))} one two three four")]
+    got = {r.doc_id: r.component_id for r in jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()}
+    assert got == {1: 1, 2: 2}
 
 
 @pytest.mark.parametrize("level", [1, 2])

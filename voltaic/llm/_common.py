@@ -32,18 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back. ``release`` deletes what was written."""
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back. ``drop`` deletes what was written, ``release`` everything."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def drop(*staged: DataFrame | None) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in staged:
+        if df is not None:
+            _delete(df.sparkSession, df._staged)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver's collector run: Spark deletes the shuffle files of plans that are collected, which can be long in coming on a large driver."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete this application's staged tables and token files, once results that are made from them have been written elsewhere."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, shared_dir(spark))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +12,7 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ROOT = 0x2545F4914F6CDD1D  # odd, so it has an inverse
 _INVERSE = pow(_ROOT, -1, 1 << 64)
+_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A random 64-bit value for each byte.
 _VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
@@ -19,6 +22,8 @@ NOT_WHITE = np.ones(256, dtype=bool)
 NOT_WHITE[[0x20, *range(0x09, 0x0E)]] = False
 ALPHANUMERIC = np.zeros(256, dtype=bool)
 ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Words of more bytes are hashed by BLAKE2, others eight bytes at a time.
+LONG_WORD = 64
 #: A-Z as a-z.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -65,8 +70,17 @@ class Words:
         return self.first[1:][self.row] - np.arange(len(self.row))
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower: bool) -> Words:
-    """The words of the texts that lie between ``offsets`` in ``data``. Hashes of different words differ but for 64-bit chance."""
+def new_seed() -> int:
+    """A key for the hashes of one query (or of one comparison within a task)."""
+    return secrets.randbits(63)
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower: bool, seed: int = 0) -> Words:
+    """The words of the texts that lie between ``offsets`` in ``data``.
+
+    Hashes are keyed by ``seed``: with one drawn for a query, nobody can have made up words that collide, and different words
+    have equal hashes by 64-bit chance only. Words of eight bytes or fewer and one length never do.
+    """
     n = len(data)
     inside = word_bytes[data]
     begins, ends = inside.copy(), inside.copy()
@@ -78,14 +92,31 @@ def split_words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, l
         begins[cuts] = inside[cuts]
         ends[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    values = (_VALUES[LOWER] if lower else _VALUES)[data]
-    values *= powers(_ROOT, n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values, out=sums[1:])
-    found = (sums[end] - sums[start]) * powers(_INVERSE, n + 1)[start]
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(start, end, row, mix(found + (end - start).astype(np.uint64)), first)
+    return Words(start, end, row, word_hashes(LOWER[data] if lower else data, start, end, seed), first)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of data[start:end], keyed by ``seed``."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    length = end - start
+    key = mix(np.full(1, seed, np.uint64) + _MUL)
+    out = mix(key + length.astype(np.uint64))
+    live = np.flatnonzero(length <= LONG_WORD)
+    k = 0
+    while len(live):
+        left = np.minimum(length[live] - k, 8)
+        # The bytes of the word alone, low ones first.
+        chunk = eight[start[live] + k] & (_ONES >> (np.uint64(8) * (8 - left).astype(np.uint64)))
+        out[live] = mix((out[live] ^ chunk) * _MUL + key)
+        k += 8
+        live = live[length[live] > k]
+    secret = key.tobytes()
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return out
 
 
 def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

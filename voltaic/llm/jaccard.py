@@ -5,19 +5,22 @@ in one band or in neighbouring ones; a set takes part in its own band's instance
 linked sets differ in d shingles at most. The shingles' domain is cut into n1 parts, so one part has d // n1 differences at most,
 and each part into n2, of which all but d // n1 have none: every subset of that many is a signature, and linked sets share one.
 
-1. Equal sets are one class, whatever their number. Classes' signatures go to buckets, packed; those of two classes or more
-   are groups, and groups with the same members are one.
-2. Each member is verified, exactly, against the first of its groups' members, and linked ones get one label (components by least
+1. Equal sets are one class, whatever their number, and classes are the nodes. Their signatures go to buckets, packed; those of two
+   classes or more are groups, and groups with the same members are one.
+2. Each member is compared with the first of its groups' members, and linked ones get one label (components by least
    label and pointer jumping, each round written to the shared folder). So a group of near copies costs a row per member.
-3. What stays in groups of several labels, mostly sets that share a passage, is compared by parity sketches inside tasks: a bit per hash
-   value says whether an odd number of shingles has it, so sketches differ in no more bits than sets in shingles, and pairs
-   further apart than linked ones can be are never made into rows. Large groups are compared block by block. Edges are then compared by wider sketches, and what is left by texts. Nodes of very large groups
-   first get the signatures of fewer, larger parts, which cover more shingles, so that chance groups fall apart; again any linked
-   sets share one.
+3. What stays in groups of several labels, mostly sets that share a passage, is compared inside tasks, block by block, by parity
+   sketches that are as long as the sets are: a bit per hash value says whether an odd number of shingles has it, so sketches
+   differ in no more bits than sets in shingles, and pairs further apart than linked ones can be never become rows. Of the near
+   pairs a task sends on only those that a spanning forest needs: first within blocks, then across them. What these leave
+   undecided (near pairs that turned out not to be linked, between labels) is sent on whole at last.
+
+Sketches only leave pairs out that can't be linked; every link is verified on the texts. Hashes are keyed by a number drawn for each
+query, so different shingles are taken for one by 64-bit chance only.
 
 Nulls, empty texts and texts without words have empty sets and are linked with nothing. Texts of fewer than k words are one
-shingle. Repeated rows are copies; rows with a null id are linked but never name a component (theirs is null if all are).
-An empty table gives an empty result. Other columns are not looked at.
+shingle. Repeated rows are copies; rows that share an id may differ in text and link as different documents do; rows with a null id
+are linked but never name a component (theirs is null if all are). An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,20 +33,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import CHUNK, chunks, documents, stage
+from ._common import CHUNK, chunks, documents, drop, let_go, stage
 from ._repeats import HELD, _buckets, bins_for, by_key, dealt, unpack
-from ._words import _MUL, NOT_WHITE, mix, shingle_hashes, split_words
+from ._words import _MUL, NOT_WHITE, mix, new_seed, shingle_hashes, split_words
 
 _LOW48 = np.uint64((1 << 48) - 1)
 _SIGN = np.uint64((1 << 63) - 1)
-#: Bits of a parity sketch, members of a block of a group, and of a group that is looked at again first.
-BITS, PAIR_BLOCK, LARGE_GROUP = 1024, 2048, 8192
+#: Words of 64 bits that the shortest parity sketch has, members of a block of a group, and pairs that are compared at once.
+LEAST, PAIR_BLOCK, PAIRS = 2, 2048, 1 << 16
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the distinct shingles of each text, in order."""
-    w = split_words(data, offsets, NOT_WHITE, lower=True)
+    w = split_words(data, offsets, NOT_WHITE, lower=True, seed=seed)
     n = w.counts()
     hashes, rows = [], []
     whole = np.flatnonzero(w.left() >= k)
@@ -128,36 +132,58 @@ def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, percent: in
     return (np.concatenate(rows), np.concatenate(out)) if rows else (row[:0], value[:0])
 
 
-def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size of its set, class (0: empty)."""
+def sketches_of(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parities of each set, over a power of two of bits, two or more for each shingle."""
+    words = LEAST << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) * 2 / (64 * LEAST)))).astype(np.int64)
+    base = np.cumsum(words) - words
+    at = base[row] * 64 + (mix(value + np.uint64(7)) % (words[row] * 64).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(words.sum()) * 64) & 1).astype(bool))
+    return [packed[a : a + n].tobytes() for a, n in zip((base * 8).tolist(), (words * 8).tolist(), strict=True)]
+
+
+def _classes(docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """doc_id, size of its set, class (0: empty) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            sizes, classes, sketches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for i, j, data, offsets in chunks(batch):
-                size, cls = set_classes(*shingle_sets(data, offsets, k), j - i)
+                row, value = shingle_sets(data, offsets, k, seed)
+                size, cls = set_classes(row, value, j - i)
                 sizes.append(size)
                 classes.append(cls)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(classes))], ["doc_id", "n_shingles", "class"])
+                sketches += sketches_of(row, value, size)
+            columns = [batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(classes)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "sketch"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, class bigint, sketch binary")
+
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, class bigint")
+def with_class(docs: DataFrame, text_col: str, k: int, seed: int) -> DataFrame:
+    """``docs`` with the class of each row's set as ``_class``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = [np.zeros(0, np.int64)]
+            for i, j, data, offsets in chunks(batch, text_col):
+                classes.append(set_classes(*shingle_sets(data, offsets, k, seed), j - i)[1])
+            yield batch.append_column("_class", pa.array(np.concatenate(classes)))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_class", LongType())]))
 
-def _groups(texts: DataFrame, k: int, percent: int, n: int, level: int) -> DataFrame:
-    """(group, member): distinct sets of members that share a signature. Members are the ``node`` of texts, or their class where there is none."""
-    own = "node" in texts.columns
+
+def _groups(docs: DataFrame, k: int, percent: int, n: int, level: int, seed: int) -> DataFrame:
+    """(group, node): distinct sets of classes that share a signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
             for i, j, data, offsets in chunks(batch, "text", CHUNK):
-                row, value = shingle_sets(data, offsets, k)
+                row, value = shingle_sets(data, offsets, k, seed)
                 size, name = set_classes(row, value, j - i)
                 # Copies in a batch sign once.
                 first = np.zeros(j - i, dtype=bool)
                 first[np.unique(name, return_index=True)[1]] = True
-                if own:
-                    name, first = batch.column(1).to_numpy()[i:j], size > 0
                 mine = first[row]
                 who, sig = signatures(row[mine], value[mine], np.where(first, size, 0), percent, level)
                 for begin in range(0, len(who), HELD):
@@ -195,28 +221,35 @@ def _groups(texts: DataFrame, k: int, percent: int, n: int, level: int) -> DataF
             chosen[np.unique(group, return_index=True)[1]] = True
             keep = np.repeat(chosen & (count > 1), count)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, count)[keep].astype(np.int64)), pa.array(cls[keep])], ["group", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, count)[keep].astype(np.int64)), pa.array(cls[keep])], ["group", "node"])
+
+    sent = docs.select("text").mapInArrow(sign, "bucket int, data binary")
+    return dealt(sent, n, "bucket").mapInArrow(gather, "group bigint, node bigint").distinct()
 
-    sent = texts.select("text", *(["node"] if own else [])).mapInArrow(sign, "bucket int, data binary")
-    return dealt(sent, n, "bucket").mapInArrow(gather, "group bigint, member bigint").distinct()
 
+def _both(edges: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    """Edges (a, b) with columns of both ends. A node with very many edges is split by Spark's own skew join."""
+    for end in ("b", "a"):
+        edges = edges.join(of.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+    return edges
 
-def _linked(edges: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the edges (a, b) whose texts' sets are similar enough. Wide sketches, a small part of a text, are compared first."""
 
-    def both(rows: DataFrame, of: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-        for end in ("b", "a"):
-            rows = rows.join(of.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
-        return rows
+def _near(edges: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the edges whose sketches are near enough for a link."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size_a, size_b, wide_a, wide_b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("size_a", "size_b", "wide_a", "wide_b"))
-            keep = [
-                min(m, n) * 100 >= percent * max(m, n) and _parity_distance(x, y) * (100 + percent) <= (m + n) * (100 - percent)
-                for m, n, x, y in zip(size_a, size_b, wide_a, wide_b, strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n = batch.num_rows
+            sizes = np.concatenate([batch.column(c).to_numpy() for c in ("size_a", "size_b")])
+            s = Sketches(sizes, [*batch.column("sketch_a").to_pylist(), *batch.column("sketch_b").to_pylist()])
+            found = s.near(np.arange(n), np.arange(n) + n, percent)[0]
+            yield batch.select(["a", "b"]).take(pa.array(found))
+
+    return _both(edges, sketches, "size", "sketch").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(near, "a bigint, b bigint")
+
+
+def _linked(edges: DataFrame, texts: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
+    """Those of the edges (a, b) whose texts' sets are similar enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +263,7 @@ def _linked(edges: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, per
                     codes = part.column(part.schema.get_field_index(column)).dictionary_encode()
                     distinct = pa.RecordBatch.from_arrays([codes.dictionary], ["text"])
                     for i, j, data, offsets in chunks(distinct):
-                        row, value = shingle_sets(data, offsets, k)
+                        row, value = shingle_sets(data, offsets, k, seed)
                         own += np.split(value, np.searchsorted(row, np.arange(1, j - i)))
                     sets.append([own[c] for c in codes.indices.to_pylist()])
                 ok = np.zeros(part.num_rows, dtype=bool)
@@ -241,16 +274,42 @@ def _linked(edges: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, per
             keep = pa.array(np.concatenate(good) if good else np.zeros(0, bool))
             yield batch.select(["a", "b"]).filter(keep)
 
-    close = stage(both(edges, sketches, ("size", "wide")).select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(near, "a bigint, b bigint"))
-    return both(close, texts, ("text",)).select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint")
-
-
-def _parity_distance(x: bytes, y: bytes) -> int:
-    """Bits in which two sketches differ, at the length of the shorter one: halves of a longer one are folded, as bits are hashes modulo the length."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    short = min(len(a), len(b))
-    a, b = (np.bitwise_xor.reduce(v.reshape(-1, short), axis=0) if len(v) > short else v for v in (a, b))
-    return int(np.bitwise_count(a ^ b).sum())
+    return _both(edges, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint")
+
+
+class Sketches:
+    """Parity sketches of many sets, those of one length as one matrix."""
+
+    def __init__(self, size: np.ndarray, raw: list[bytes]) -> None:
+        self.size = size
+        self.words = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
+        self.place = np.zeros(len(raw), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            mine = np.flatnonzero(self.words == w)
+            self.place[mine] = np.arange(len(mine))
+            self.of[w] = np.frombuffer(b"".join([raw[i] for i in mine.tolist()]), np.uint64).reshape(-1, w)
+
+    def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs may be linked, by sizes and parities, and in how many bits these differ.
+
+        Of two lengths the longer is folded, as bits are hashes modulo the length.
+        """
+        low, high = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        at = np.flatnonzero(100 * low >= percent * high)
+        wi, wj = self.words[i[at]], self.words[j[at]]
+        distance = np.zeros(len(at), np.int64)
+        for a, b in {(int(x), int(y)) for x, y in np.unique(np.column_stack([wi, wj]), axis=0)}:
+            mine = np.flatnonzero((wi == a) & (wj == b))
+            step = max(1, (1 << 20) // max(a, b))
+            for begin in range(0, len(mine), step):
+                part = mine[begin : begin + step]
+                x, y = self.of[a][self.place[i[at[part]]]], self.of[b][self.place[j[at[part]]]]
+                short = min(a, b)
+                x, y = (np.bitwise_xor.reduce(v.reshape(len(part), -1, short), axis=1) if v.shape[1] > short else v for v in (x, y))
+                distance[part] = np.bitwise_count(x ^ y).sum(axis=1)
+        good = distance * (100 + percent) <= (low[at] + high[at]) * (100 - percent)
+        return at[good], distance[good]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,13 +322,16 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = labels.join(seen, "node").join(jump, "label", "left")
         new = stage(new.select("node", F.least("label", "other", "up").alias("label"), (F.least("label", "other", "up") < F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
+        drop(labels)
+        labels = new
         if new.where("moved").isEmpty():
+            drop(both)
             return labels
 
 
 def _mixed(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Groups (group, node, label) whose members are not all of one label."""
+    groups = groups.select("group", "node")
     if labels is None:
         return groups.withColumn("label", F.col("node"))
     named = groups.join(labels, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
@@ -283,67 +345,96 @@ def _first_edges(mixed: DataFrame) -> DataFrame:
     return mixed.join(heads, "group").where("a < node and _l <> label").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
 
 
-def _sketches(texts: DataFrame, k: int) -> DataFrame:
-    """(node, size, wide, sketch): shingles of a text, parities of them with two bits or more a shingle, and the same folded to BITS."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, wide, small = [np.zeros(0, np.int64)], [], []
-            for i, j, data, offsets in chunks(batch):
-                row, value = shingle_sets(data, offsets, k)
-                size = np.bincount(row, minlength=j - i)
-                bits = BITS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) * 2 / BITS))).astype(np.int64)
-                base = np.cumsum(bits) - bits
-                at = base[row] + (mix(value + np.uint64(7)) % bits[row].astype(np.uint64)).astype(np.int64)
-                packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool))
-                for a, n in zip((base // 8).tolist(), (bits // 8).tolist(), strict=True):
-                    own = packed[a : a + n]
-                    wide.append(own.tobytes())
-                    small.append(np.bitwise_xor.reduce(own.reshape(-1, BITS // 8), axis=0).tobytes())
-                sizes.append(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(wide, pa.binary()), pa.array(small, pa.binary())], ["node", "size", "wide", "sketch"])
-
-    return texts.select("node", "text").mapInArrow(run, "node bigint, size bigint, wide binary, sketch binary")
-
-
-def _near_pairs(size: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group's rows that may be linked: of different labels, of sizes and parities near enough; ``side``: which block a row is of (0: both)."""
-    out_a, out_b = [], []
-    most = (100 - percent) / (100 + percent)
-    for i in range(len(size) - 1):
-        j = np.arange(i + 1, len(size))
-        j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] == 0))]
-        low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
-        j = j[100 * low >= percent * high]
-        j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= (size[j] + size[i]) * most + 1e-9]
-        out_a.append(np.full(len(j), i))
-        out_b.append(j)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
-
-
-def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Edges between nodes of different labels in a group whose sketches are near. A task takes a pair of blocks of a group at a time."""
+def _partners(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order of group (a pair of blocks) and side, where the rows begin and end that each is compared with: those
+    after it where sides are 0, else a row of side 1 with all of side 2."""
+    n = len(group)
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begin, n))
+    end = np.repeat(begin + sizes, sizes)
+    ones = np.add.reduceat((side == 1).astype(np.int64), begin) if n else begin
+    second = np.repeat(begin + ones, sizes)
+    first = np.where(side == 0, np.arange(n) + 1, np.where(side == 1, second, end))
+    return first, end
+
+
+def near_pairs(group: np.ndarray, side: np.ndarray, label: np.ndarray, sketches: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one group, of different labels, that may be linked, and their distances."""
+    first, end = _partners(group, side)
+    count = end - first
+    total = np.cumsum(count)
+    out_i, out_j, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a = 0
+    while a < len(group):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - count[a] + PAIRS, side="right")))
+        n = count[a:b]
+        i = np.repeat(np.arange(a, b), n)
+        j = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        differ = np.flatnonzero(label[i] != label[j])
+        found, distance = sketches.near(i[differ], j[differ], percent)
+        out_i.append(i[differ[found]])
+        out_j.append(j[differ[found]])
+        out_d.append(distance)
+        a = b
+    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_d)
+
+
+def forest(group: np.ndarray, label: np.ndarray, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows connect all that they connect, nearest first (Boruvka); rows of one group and label are connected already."""
+    _, part = np.unique(np.column_stack([group, label]), axis=0, return_inverse=True)
+    part = part.reshape(-1)
+    x, y = part[i], part[j]
+    chosen = []
+    up = list(range(int(part.max()) + 1)) if len(part) else []
+
+    def root(v: int) -> int:
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    live = np.lexsort((np.arange(len(i)), distance))
+    while len(live):
+        # Pairs are in order of distance, so the first of a part is its nearest.
+        firsts = np.concatenate([np.unique(x[live], return_index=True)[1], np.unique(y[live], return_index=True)[1]])
+        for k in live[np.unique(firsts)].tolist():
+            a, b = root(int(x[k])), root(int(y[k]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                chosen.append(k)
+        roots = np.fromiter((root(v) for v in range(len(up))), np.int64, len(up))
+        x, y = roots[x], roots[y]
+        live = live[x[live] != y[live]]
+    return np.array(chosen, dtype=np.int64)
+
+
+def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int, step: str) -> DataFrame:
+    """Edges between nodes of different labels in a group whose sketches are near. A task takes a pair of blocks of a group at a time.
+
+    ``within``: a forest of each block; ``across``: of each pair of blocks; ``rest``: all near pairs.
+    """
     counts = mixed.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_n"))
     rows = mixed.join(counts, "group").withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    if step == "within":
+        rows = rows.withColumn("_x", F.col("_b"))
+    else:
+        rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.select("group", F.least("_b", "_x").alias("low"), F.greatest("_b", "_x").alias("high"), F.when(F.col("_b") == F.col("_x"), 0).when(F.col("_b") < F.col("_x"), 1).otherwise(2).alias("side"), "node", "label")
-    # Rows of a block with itself belong to no other pair of blocks; those of two blocks only pair across.
     rows = rows.join(sketches.select("node", "size", "sketch"), "node").select("group", "low", "high", "side", "node", "label", "size", "sketch")
-    parts = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+    parts = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "side")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def emit(table: pa.Table, until: int) -> pa.RecordBatch:
-            group, low, high, side, node, label, size = (table.column(i).to_numpy()[:until] for i in range(7))
-            sketch = np.frombuffer(b"".join(table.column(7).to_pylist()[:until]), np.uint64).reshape(until, -1)
-            cuts = np.flatnonzero((group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), until], strict=True):
-                i, j = _near_pairs(size[a:b], sketch[a:b], label[a:b], side[a:b], percent)
-                found_a.append(node[a + i])
-                found_b.append(node[a + j])
-            x, y = np.concatenate(found_a), np.concatenate(found_b)
+            keys = [table.column(i).to_numpy()[:until] for i in range(3)]
+            side, node, label, size = (table.column(i).to_numpy()[:until] for i in range(3, 7))
+            group = np.cumsum(np.append(False, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+            i, j, distance = near_pairs(group, side, label, Sketches(size, table.column(7).to_pylist()[:until]), percent)
+            if step != "rest":
+                chosen = forest(group, label, i, j, distance)
+                i, j = i[chosen], j[chosen]
+            x, y = node[i], node[j]
             both = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -362,47 +453,106 @@ def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFra
     return parts.mapInArrow(pairs, "a bigint, b bigint").distinct()
 
 
-def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", large_group: int = LARGE_GROUP) -> DataFrame:
-    """doc_id, n_shingles and component_id (least id that links reach), a row per document. Linked: Jaccard of ``percent`` or more."""
-    docs = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    sized = stage(_classes(docs, k))
+def _texts(docs: DataFrame, sized: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    """(node, text): a text of each of the classes ``nodes``.
+
+    Rows are found by the least id of a class; since others may share that id, classes are made again. Only classes
+    without an id look through the rows without one.
+    """
+    ids = stage(sized.join(nodes.select(F.col("node").alias("class")), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("_id")))
+    rows = docs.join(ids.select(F.col("_id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi").select("text")
+    if not ids.where("_id is null").isEmpty():
+        rows = rows.unionByName(docs.where("doc_id is null").select("text"))
+    rows = with_class(rows, "text", k, seed).withColumnRenamed("_class", "node")
+    out = stage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    drop(ids)
+    return out
+
+
+def _labelled(docs: DataFrame, k: int, percent: int, level: int, seed: int) -> DataFrame:
+    """doc_id, n_shingles, class and label (of linked classes the least; 0: empty), a row per document, written."""
+    sized = stage(_classes(docs, k, seed))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = bins_for(docs, size)
-    classes = stage(sized.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    groups = stage(_groups(docs, k, percent, n, 1).withColumnRenamed("member", "class").join(classes, "class").select("group", "node"))
-    nodes = groups.select("node").distinct()
-    # Rows that share an id may differ in text: one of them stands for it.
-    texts = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-    texts = stage(texts.dropDuplicates(["node"]))
-    sketches = stage(_sketches(texts, k))
+    groups = stage(_groups(docs, k, percent, n, level, seed))
+    nodes = stage(groups.select("node").distinct())
+    sketches = stage(
+        sized.join(nodes.select(F.col("node").alias("class")), "class", "left_semi").groupBy(F.col("class").alias("node")).agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    )
+    texts = _texts(docs, sized, nodes, k, seed)
+    let_go(docs.sparkSession)
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    tried: DataFrame | None = None
-    for step in ("first", "larger parts", "pairs"):
-        mixed = _mixed(groups, labels)
-        if step == "larger parts":
-            large = mixed.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large_group)
-            unsettled = mixed.join(large.select("group"), "group", "left_semi").select("node").distinct()
-            if unsettled.isEmpty():
-                continue
-            again = _groups(texts.join(unsettled, "node", "left_semi"), k, percent, n, 2).withColumnRenamed("member", "node")
-            # Linked nodes of large groups meet in the new groups; those of small ones still do in the old.
-            groups = stage(groups.join(large.select("group"), "group", "left_anti").unionByName(again))
-            mixed = _mixed(groups, labels)
-        edges = _first_edges(mixed) if step != "pairs" else _close_edges(mixed, sketches, percent)
-        if tried is not None:
-            edges = edges.join(tried, ["a", "b"], "left_anti")
-        edges = stage(edges)
-        if edges.isEmpty():
+    tried: list[DataFrame] = []
+    used = [sized, nodes, sketches, texts]
+    split = not groups.groupBy("group").count().where(F.col("count") > PAIR_BLOCK).isEmpty()
+    for step in ("first", "within", "across", "rest"):
+        if step == "first":
+            mixed = groups.withColumn("label", F.col("node"))
+            edges = stage(_near(_first_edges(mixed), sketches, percent))
+        elif step == "across" and not split or step == "rest" and not undecided:
+            continue
+        else:
+            mixed = stage(_mixed(groups, labels))
+            # Groups of one label stay so, and are not looked at again.
+            drop(groups)
+            groups = mixed
+            edges = _close_edges(mixed, sketches, percent, step)
+            for t in tried if step == "rest" else []:
+                edges = edges.join(t, ["a", "b"], "left_anti")
+            edges = stage(edges)
+        tried.append(edges)
+        used.append(edges)
+        n_edges = edges.count()
+        undecided = False
+        if not n_edges:
+            continue
+        found = stage(_linked(edges, texts, k, percent, seed))
+        used.append(found)
+        n_found = found.count()
+        # Where all edges of a forest of the near pairs are links, every near pair is of one label by now.
+        undecided = n_found < n_edges
+        if not n_found:
             continue
-        tried = edges if tried is None else tried.unionByName(edges)
-        found = stage(_linked(edges, texts, sketches, k, percent))
         links = found if links is None else links.unionByName(found)
+        drop(labels)
         labels = components(links)
-    out = sized.join(classes, "class", "left")
+        let_go(docs.sparkSession)
     if labels is None:
-        return out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("component_id"))
-    return out.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node", "doc_id").alias("component_id"))
+        out = stage(sized.select("doc_id", "n_shingles", "class", F.col("class").alias("label")))
+    else:
+        named = sized.join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
+        out = stage(named.select("doc_id", "n_shingles", "class", F.coalesce("label", "class").alias("label")))
+    drop(*used, groups, labels)
+    return out
+
+
+def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:
+    """doc_id, n_shingles and component_id (least id that links reach), a row per document. Linked: Jaccard of ``percent`` or more.
+
+    ``level``: differences that a part may have. Signatures get longer with it (6, 8, 10 shingles at 80 % for levels 1 to 3), so chance groups
+    get rarer, but there are more of them; the result is the same.
+    """
+    docs = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    found = _labelled(docs, k, percent, level, new_seed())
+    names = found.where("class <> 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    linked = found.where("class <> 0").join(names, "label").select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(found.where("class = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:
+    """The rows of ``docs`` without near copies, all columns as they are: of each component one row of least id stays (null ids
+    come last). Rows with empty sets all stay."""
+    seed = new_seed()
+    found = _labelled(docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")), k, percent, level, seed)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("class").alias("cls"))
+    stay = found.where("class <> 0").groupBy("label").agg(F.min(order).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.cls").alias("_cls"))
+    rows = with_class(docs, text_col, k, seed)
+    same = (F.col("_class") == F.col("_cls")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_id"))
+    kept = rows.join(stay, same, "left").where("_class = 0 or _cls is not null").drop("_id", "_cls")
+    if not found.where("class <> 0").groupBy("doc_id", "class").count().where("count > 1").isEmpty():
+        kept = kept.where("_class <> 0").dropDuplicates([id_col, "_class"]).unionByName(kept.where("_class = 0"))
+    return kept.drop("_class")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
