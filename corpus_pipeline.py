@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voltaic.llm._common import documents, stage
 from voltaic.llm.bpe import round_trip
 from voltaic.llm.decontamination import decontaminate
-from voltaic.llm.jaccard import similarity_classes
+from voltaic.llm.jaccard import keep_one
 from voltaic.llm.quality import keep_good
 from voltaic.llm.secrets import redact
 
@@ -26,12 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group stays; of rows that share its id, one of each text."""
-    found = stage(similarity_classes(docs, WORDS, PERCENT))
-    if not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    stay = found.where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    """The document of least id of each group stays."""
+    return keep_one(docs, WORDS, PERCENT)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
