@@ -409,7 +409,7 @@ def forest(group: np.ndarray, label: np.ndarray, i: np.ndarray, j: np.ndarray, d
 
 
 def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int, step: str) -> DataFrame:
-    """Edges between nodes of different labels in a group whose sketches are near. A task takes a pair of blocks of a group at a time.
+    """Edges (a, b, group) between nodes of different labels in a group whose sketches are near. A task takes a pair of blocks of a group at a time.
 
     ``within``: a forest of each block; ``across``: of each pair of blocks; ``rest``: all near pairs.
     """
@@ -435,8 +435,7 @@ def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int, step: str)
                 chosen = forest(group, label, i, j, distance)
                 i, j = i[chosen], j[chosen]
             x, y = node[i], node[j]
-            both = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(keys[0][i])], ["a", "b", "group"])
 
         for batch in batches:
             held.append(batch)
@@ -450,7 +449,7 @@ def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int, step: str)
         if held and (table := pa.Table.from_batches(held)).num_rows:
             yield emit(table, table.num_rows)
 
-    return parts.mapInArrow(pairs, "a bigint, b bigint").distinct()
+    return parts.mapInArrow(pairs, "a bigint, b bigint, group bigint")
 
 
 def _texts(docs: DataFrame, sized: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
@@ -483,36 +482,37 @@ def _labelled(docs: DataFrame, k: int, percent: int, level: int, seed: int) -> D
     let_go(docs.sparkSession)
     links: DataFrame | None = None
     labels: DataFrame | None = None
+    used = [sized, groups, nodes, sketches, texts]
+    failed: list[DataFrame] = []
     tried: list[DataFrame] = []
-    used = [sized, nodes, sketches, texts]
-    split = not groups.groupBy("group").count().where(F.col("count") > PAIR_BLOCK).isEmpty()
+    large = groups.groupBy("group").count().where(F.col("count") > PAIR_BLOCK).select("group")
+    split = not large.isEmpty()
     for step in ("first", "within", "across", "rest"):
         if step == "first":
-            mixed = groups.withColumn("label", F.col("node"))
-            edges = stage(_near(_first_edges(mixed), sketches, percent))
-        elif step == "across" and not split or step == "rest" and not undecided:
+            edges = stage(_near(_first_edges(groups.withColumn("label", F.col("node"))), sketches, percent))
+        elif step == "across" and not split or step == "rest" and not failed:
             continue
         else:
-            mixed = stage(_mixed(groups, labels))
-            # Groups of one label stay so, and are not looked at again.
-            drop(groups)
-            groups = mixed
-            edges = _close_edges(mixed, sketches, percent, step)
-            for t in tried if step == "rest" else []:
-                edges = edges.join(t, ["a", "b"], "left_anti")
-            edges = stage(edges)
-        tried.append(edges)
+            # Where all edges of the forest of a group's near pairs are links, each of its near pairs is of one label by now.
+            open_groups = {"within": None, "across": large, "rest": _union(failed).select("group").distinct() if failed else None}[step]
+            mixed = stage(_mixed(groups if open_groups is None else groups.join(open_groups, "group", "left_semi"), labels))
+            near = _close_edges(mixed, sketches, percent, step)
+            if step == "rest":
+                near = near.join(_union(tried), ["a", "b"], "left_anti")
+            near = stage(near)
+            edges = stage(near.select("a", "b").distinct())
+            used += [mixed, near]
         used.append(edges)
-        n_edges = edges.count()
-        undecided = False
-        if not n_edges:
+        if edges.isEmpty():
             continue
         found = stage(_linked(edges, texts, k, percent, seed))
         used.append(found)
-        n_found = found.count()
-        # Where all edges of a forest of the near pairs are links, every near pair is of one label by now.
-        undecided = n_found < n_edges
-        if not n_found:
+        if step in ("within", "across"):
+            tried.append(edges)
+            lost = stage(near.join(found, ["a", "b"], "left_anti"))
+            used.append(lost)
+            failed += [] if lost.isEmpty() else [lost]
+        if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
         drop(labels)
@@ -523,7 +523,14 @@ def _labelled(docs: DataFrame, k: int, percent: int, level: int, seed: int) -> D
     else:
         named = sized.join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
         out = stage(named.select("doc_id", "n_shingles", "class", F.coalesce("label", "class").alias("label")))
-    drop(*used, groups, labels)
+    drop(*used, labels)
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
