@@ -66,11 +66,27 @@ def test_words_of_repeated_and_null_ids(odd):
 
 
 def test_bytes_of_repeated_and_null_ids(odd):
+    """Null ids come first of all; rows that share an id are judged one by one against those of smaller ids."""
     rows = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in odd.collect()]
-    brute = brute_bytes(rows)
-    got = bytes_of(odd).collect()
-    assert len(got) == len(rows)
-    assert all(tuple(r)[1:] == brute[r.doc_id] for r in got if r.doc_id is not None)
+    expected = []
+    for d, t in rows:
+        before = [(-2, x) for e, x in rows if e < d]
+        expected.append((d, *brute_bytes([*before, (d, t)])[d]))
+    got = [((-1 if r.doc_id is None else r.doc_id), *tuple(r)[1:]) for r in bytes_of(odd).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_equal_hashes_of_different_bytes_stay_apart():
+    """Pieces whose content hashes are all made equal are joined by their bytes alone."""
+    texts = [b"x" * 60, b"y" * 60, b"x" * 60, b"z" * 61, b"x" * 60, b"y" * 60]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts])
+    n, zero = len(texts), np.zeros(len(texts), np.uint64)
+    p = _repeats.Pieces(np.arange(n), np.arange(n), np.zeros(n, np.int64), size, zero, zero, zero, np.cumsum(size) - size, size, data)
+    stay, gone = _repeats.join_equal(p, True)
+    assert gone[0].tolist() == [2, 4] and sorted(stay.address.tolist()) == [0, 1, 3, 5]
+    by, group = _repeats._heads(p)
+    assert all(texts[i] == texts[j] for i, g in zip(by, group, strict=True) for j, h in zip(by, group, strict=True) if g == h)
 
 
 def test_empty(empty):

@@ -9,8 +9,8 @@ have equal anchors at equal places. Neighbouring windows mostly share an anchor;
 3. A bin compares the pieces of each anchor, exactly, by the operator's own structure, and finds the windows to remove.
 4. The ranges of those windows go to the documents.
 
-The documents cross the shuffle once; steps 2 and 4 read the same exchange. Anchors only choose what is compared: chance equality
-of their hashes costs time, never a result.
+The documents cross the shuffle once; steps 2 and 4 read the same exchange. Hashes only choose what is compared: anchors that are
+equal by chance cost time, and pieces of equal content hashes are joined only after their bytes were compared, so no hash decides a result.
 """
 
 from __future__ import annotations
@@ -362,12 +362,44 @@ def _buckets(held: list, n: int) -> pa.RecordBatch:
 
 
 def _heads(p: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces in order of content, then of their texts; and the group of equal content of each."""
+    """Pieces in order of content, then of their texts; and the group of equal content of each.
+
+    Content hashes sort the pieces; the bytes of each are then compared with those of the first of its group, and a piece that differs
+    (its hash is equal by chance or by design) gets a group of its own.
+    """
     by = np.lexsort((p.address, p.order, p.content, p.anchor))
+    n = len(by)
+    if not n:
+        return by, by
     new = np.append(True, (p.content[by][1:] != p.content[by][:-1]) | (p.anchor[by][1:] != p.anchor[by][:-1]))
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    for begin, end in _slices(p.size[by], CHUNK):
+        mine = np.flatnonzero(head[begin:end] != np.arange(begin, end)) + begin
+        other = by[head[mine]]
+        alone = p.size[by[mine]] != p.size[other]
+        rest, first = by[mine][~alone], other[~alone]
+        size = p.size[rest]
+        if size.sum():
+            same = p.data[_spread(p.start[rest], p.start[rest] + size - 1)] == p.data[_spread(p.start[first], p.start[first] + size - 1)]
+            alone[~alone] = ~np.logical_and.reduceat(same, np.cumsum(size) - size)
+        new[mine[alone]] = True
+    # A piece that stands alone comes after all others of its hash, so that these stay one group.
+    odd = new & (head != np.arange(n))
+    if odd.any():
+        rank = np.lexsort((np.arange(n), odd, head))
+        by, new = by[rank], new[rank]
     return by, np.cumsum(new) - 1
 
 
+def _slices(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Rows in runs of about ``limit`` bytes."""
+    end, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(end, end[i] - size[i] + limit, side="right")))
+        yield i, j
+        i = j
+
+
 def join_equal(p: Pieces, across: bool) -> tuple[Pieces, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces without those whose fate is known from an equal piece, and the ranges of those that go.
 

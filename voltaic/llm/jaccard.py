@@ -228,9 +228,12 @@ def _groups(docs: DataFrame, k: int, percent: int, n: int, level: int, seed: int
 
 
 def _both(edges: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
-    """Edges (a, b) with columns of both ends. A node with very many edges is split by Spark's own skew join."""
+    """Edges (a, b) with columns of both ends. A node with very many edges is split by Spark's own skew join.
+
+    Edges and nodes grow with the corpus, so neither is broadcast at any size.
+    """
     for end in ("b", "a"):
-        edges = edges.join(of.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+        edges = edges.join(of.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)).hint("merge"), end)
     return edges
 
 
@@ -420,7 +423,7 @@ def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int, step: str)
     else:
         rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.select("group", F.least("_b", "_x").alias("low"), F.greatest("_b", "_x").alias("high"), F.when(F.col("_b") == F.col("_x"), 0).when(F.col("_b") < F.col("_x"), 1).otherwise(2).alias("side"), "node", "label")
-    rows = rows.join(sketches.select("node", "size", "sketch"), "node").select("group", "low", "high", "side", "node", "label", "size", "sketch")
+    rows = rows.join(sketches.select("node", "size", "sketch").hint("merge"), "node").select("group", "low", "high", "side", "node", "label", "size", "sketch")
     parts = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "side")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,11 +462,11 @@ def _texts(docs: DataFrame, sized: DataFrame, nodes: DataFrame, k: int, seed: in
     without an id look through the rows without one.
     """
     ids = stage(sized.join(nodes.select(F.col("node").alias("class")), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("_id")))
-    rows = docs.join(ids.select(F.col("_id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi").select("text")
+    rows = docs.join(ids.select(F.col("_id").alias("doc_id")).where("doc_id is not null").distinct().hint("merge"), "doc_id", "left_semi").select("text")
     if not ids.where("_id is null").isEmpty():
         rows = rows.unionByName(docs.where("doc_id is null").select("text"))
     rows = with_class(rows, "text", k, seed).withColumnRenamed("_class", "node")
-    out = stage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    out = stage(rows.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     drop(ids)
     return out
 
@@ -556,7 +559,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     stay = found.where("class <> 0").groupBy("label").agg(F.min(order).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.cls").alias("_cls"))
     rows = with_class(docs, text_col, k, seed)
     same = (F.col("_class") == F.col("_cls")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_id"))
-    kept = rows.join(stay, same, "left").where("_class = 0 or _cls is not null").drop("_id", "_cls")
+    kept = rows.join(stay.hint("merge"), same, "left").where("_class = 0 or _cls is not null").drop("_id", "_cls")
     if not found.where("class <> 0").groupBy("doc_id", "class").count().where("count > 1").isEmpty():
         kept = kept.where("_class <> 0").dropDuplicates([id_col, "_class"]).unionByName(kept.where("_class = 0"))
     return kept.drop("_class")
