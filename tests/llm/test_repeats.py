@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltaic.llm import _repeats, suffix_array, suffix_tree
+from voltaic.llm.suffix_array import OP4_SQL
 from voltaic.llm.suffix_tree import OP6_SQL
 
 
@@ -152,3 +153,7 @@ def test_hash_is_sparks(spark):
 
 def test_op6_sql(spark, sf, duck, same_rows):
     same_rows(suffix_tree.op6_suffix_tree(spark, sf).toPandas(), duck.execute(OP6_SQL).df())
+
+
+def test_op4_sql(spark, sf, duck, same_rows):
+    same_rows(suffix_array.op4_suffix_array(spark, sf).toPandas(), duck.execute(OP4_SQL).df())

@@ -2,10 +2,12 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from voltaic.llm import automaton, decontamination, quality, secrets, sharding, toxicity
@@ -90,6 +92,29 @@ def test_decontamination(spark, docs, empty, rows, block):
     assert summary(decontamination.find_contamination(docs, benchmark.limit(0), block_bytes=block))[7][1:] == (0, [])
 
 
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_decontamination_of_odd_tables(spark, odd, block):
+    """Rows that repeat and null ids are rows of their own, with one block of the benchmark as with several."""
+    text = " ".join(odd.where("doc_id = 7").first().text.split()[25:60])
+    items = [(1, text), (2, "two, WORDS"), (None, "one"), (3, "not here, but in a block of its own all the same, as it is long enough for that")]
+    found = decontamination.find_contamination(odd, spark.createDataFrame(items, "item_id int, text string"), block_bytes=block)
+    got = sorted(((r.doc_id, r.n_words, sum(h.end - h.start for h in r.hits), tuple(sorted(r["items"]))) for r in found.collect()), key=str)
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    brute = brute_hits(list(enumerate(t for _, t in rows)), [("null" if i is None else i, t) for i, t in items])
+    assert got == sorted(((d, n, hit, tuple(x)) for (d, _), (n, hit, x) in zip(rows, (brute[i] for i in range(len(rows))), strict=True)), key=str)
+
+
+def test_equal_hashes_are_no_hit(spark, monkeypatch):
+    """With every word hashed alike, the words themselves decide."""
+    monkeypatch.setattr("voltaic.llm._words.word_hashes", lambda data, start, end, seed: np.full(len(start), 7, np.uint64))
+    block = decontamination.make_block([(1, "one two three four five six seven eight nine ten")])
+    data = np.frombuffer(b"a b c d e f g h i j k - One, two three four five six seven eight nine TEN l m", np.uint8)
+    w = decontamination._words(data, np.array([0, len(data)]), 0)
+    prefixes = decontamination._prefixes(block, {s: (np.unique(block.shingles(s)[0]), np.ones(1, np.int64)) for s in (1, 2, 3)})
+    hits = [(int(a), int(v)) for start, window in decontamination._hits(w, data, block, prefixes) for a, v in zip(start, window, strict=True)]
+    assert hits == [(11, 0)]
+
+
 def test_op5_sql(spark, sf, duck, same_rows):
     same_rows(decontamination.op5_decontamination(spark, sf).toPandas(), duck.execute(decontamination.OP5_SQL).df())
 
@@ -137,6 +162,44 @@ def test_sharding(docs, odd, empty, rows, shards):
     assert sharding.interleave(odd, shards).count() == odd.count() and sharding.interleave(empty, shards).count() == 0
 
 
+def test_sharding_by_brute_force(docs, odd):
+    """Ranks by sorting all rows in Python; rows alike in all that is looked at may change places."""
+    for table in (docs, odd):
+        got = sorted((str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in sharding.interleave(table, 8).collect())
+        rows = [(r.doc_id, r.source, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in table.collect()]
+        hashed = table.sparkSession.createDataFrame(rows, "doc_id bigint, source string, size bigint, crc bigint")
+        rows = [(r[0] % 2**64 // 2, *r[1:]) for r in hashed.select(F.xxhash64(F.lit(42), "doc_id", "size", "crc"), "doc_id", "source", "size", "crc").collect()]
+        low = -(1 << 63)
+        ranked, of = [], Counter(r[2] for r in rows)
+        for source in of:
+            mine = sorted((r for r in rows if r[2] == source), key=lambda r: (r[0], low if r[1] is None else r[1], r[4]))
+            ranked += [((k + 0.5) / of[source], (source is not None, source or ""), r) for k, r in enumerate(mine)]
+        ranked.sort(key=lambda x: (x[0], x[1], x[2][0], low if x[2][1] is None else x[2][1], x[2][4]))
+        n = len(ranked)
+        expected = sorted((str(r[1]), r[3], r[4], k * 8 // n, k - -(-(k * 8 // n) * n // 8)) for k, (_, _, r) in enumerate(ranked))
+        assert got == expected
+
+
+def test_gains_by_brute_force():
+    """Scores from lengths that are made anew with plain zstandard calls."""
+    rng = np.random.default_rng(2)
+    word = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("n", "r", "st", "ll")]
+
+    def text(n, *more):
+        return " ".join([*rng.choice(word, n), *more]).encode()
+
+    toxic = [text(30, "vilestuff", "nastyword") for _ in range(40)]
+    model = toxicity.fit(toxic, [text(30) for _ in range(120)], 0.25)
+    tools = [zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False) for d in (model.ordinary, model.toxic)]
+    for t in (toxic[0], text(50), b"", b"x" * 200, text(3, "nastyword")):
+        windows = [w[i : i + 64] for w in t.lower().split() for i in range(0, len(w), 64)]
+        gains = [len(tools[0].compress(b" " + w + b" " * 13)) - len(tools[1].compress(b" " + w + b" " * 13)) for w in windows]
+        counts = np.array([sum(g >= least for g in gains) for least in toxicity.GAINS])
+        assert np.allclose(model.features(t), [*np.log1p(counts), *np.sqrt(counts / max(1, len(windows))), np.log1p(len(windows))])
+    scores = [model.score(np.array([model.features(t)]))[0] for t in (text(40, "nastyword", "vilestuff"), text(40))]
+    assert scores[0] > toxicity.THRESHOLD > scores[1]
+
+
 def test_sharding_is_the_same_again(docs):
     a, b = (sorted(map(tuple, sharding.interleave(x, 4).collect()), key=str) for x in (docs, docs.repartition(7)))
     assert a == b

@@ -4,14 +4,13 @@ An item's windows are its runs of 10 words (a shorter item is one window). A win
 three words; a document contains it only if it has all of them, so the window's necessary prefix is its one rarest
 shingle, by counts over all documents. Documents are joined with windows on that shingle; the window's place in the document follows
 from the shingle's place in the window, must lie within the document (positional and length bounds), and is then verified word
-by word.
+by word and byte by byte.
 
 The benchmark is the query set. It is taken in blocks of ``BLOCK`` bytes of text, each of which is small enough to be sent to
-every task; all documents are joined with each block.
+every task; documents pass the blocks one after the other, and each adds its hits to the row.
 
 Nulls and empty texts have no words; an item without words has no windows; an item with a null id goes by "null", and rows
-with one id are one item. Repeated documents are rows of their own (with more than one block, rows alike in id and text become one). An empty table
-gives an empty result or no hits. Columns besides ids and texts are not looked at.
+with one id are one item. Repeated documents are rows of their own, however many blocks there are. An empty table gives an empty result or no hits. Columns besides ids and texts are not looked at.
 """
 
 from __future__ import annotations
@@ -21,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import chunks, documents
-from ._words import ALPHANUMERIC, Words, shingle_hashes, split_words
+from ._words import ALPHANUMERIC, LOWER, Words, new_seed, shingle_hashes, split_words
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 10, 3
@@ -33,19 +32,26 @@ WINDOW, SHINGLE = 10, 3
 BLOCK = 8 << 20
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    return split_words(data, offsets, ALPHANUMERIC, lower=True)
+def _words(data: np.ndarray, offsets: np.ndarray, seed: int) -> Words:
+    return split_words(data, offsets, ALPHANUMERIC, lower=True, seed=seed)
+
+
+def _plain(data: np.ndarray) -> bytes:
+    """Texts with a space for every byte that is in no word, as windows are compared: runs of spaces count as one."""
+    return np.where(ALPHANUMERIC[data], LOWER[data], np.uint8(32)).tobytes()
 
 
 @dataclass
 class Block:
-    """Windows of a block of items: word hashes, and each window's start, length and item."""
+    """Windows of a block of items: word hashes, each window's start, length, item and words, and the key of the hashes."""
 
     hashes: np.ndarray
     start: np.ndarray
     length: np.ndarray
     item: np.ndarray
+    words: list[bytes]
     names: list[str]
+    seed: int
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, window, offset) of the shingles of the windows whose shingles have ``size`` words."""
@@ -56,23 +62,25 @@ class Block:
         return shingle_hashes(self.hashes, size)[self.start[window] + offset], window, offset
 
 
-def make_block(items: list[tuple[object, str | None]], window: int = WINDOW) -> Block:
+def make_block(items: list[tuple[object, str | None]], window: int = WINDOW, seed: int = 0) -> Block:
     names = sorted({str(i) if i is not None else "null" for i, _ in items})
     number = {x: k for k, x in enumerate(names)}
     batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.large_string())], ["text"])
-    parts = []
+    parts, words = [], []
     base = 0
     for i, _, data, offsets in chunks(batch):
-        w = _words(data, offsets)
+        w = _words(data, offsets, seed)
         owner = np.array([number[str(x) if x is not None else "null"] for x, _ in items[i : i + len(offsets) - 1]], dtype=np.int64)
         n = w.counts()
         length = np.minimum(n, window)[w.row] if len(w) else np.zeros(0, np.int64)
         begins = np.flatnonzero(w.left() >= length)
+        plain = _plain(data)
+        words += [b" ".join(plain[a:b].split()) for a, b in zip(w.start[begins].tolist(), w.end[begins + length[begins] - 1].tolist(), strict=True)]
         parts.append((w.hash, begins + base, length[begins], owner[w.row[begins]]))
         base += len(w)
     if not parts:
-        return Block(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), names)
-    return Block(*(np.concatenate(x) for x in zip(*parts, strict=True)), names)
+        return Block(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), [], names, seed)
+    return Block(*(np.concatenate(x) for x in zip(*parts, strict=True)), words, names, seed)
 
 
 def _member(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +104,7 @@ def _frequencies(docs: DataFrame, block: Block) -> dict[int, tuple[np.ndarray, n
         totals = {size: np.zeros(len(k), dtype=np.int64) for size, k in keys.items()}
         for batch in batches:
             for _, _, data, offsets in chunks(batch):
-                w = _words(data, offsets)
+                w = _words(data, offsets, block.seed)
                 for size, k in keys.items():
                     if len(k):
                         hashes = shingle_hashes(w.hash, size)
@@ -140,8 +148,9 @@ def _prefixes(block: Block, frequencies: dict[int, tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _hits(w: Words, block: Block, prefixes: dict[int, Prefixes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(first word, window) of verified occurrences."""
+def _hits(w: Words, data: np.ndarray, block: Block, prefixes: dict[int, Prefixes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first word, window) of verified occurrences: word hashes are compared first, then the words themselves."""
+    plain = b""
     for size, p in prefixes.items():
         at, key = _member(shingle_hashes(w.hash, size), p.keys)
         for part in range(0, len(at), 100_000):
@@ -157,58 +166,56 @@ def _hits(w: Words, block: Block, prefixes: dict[int, Prefixes]) -> Iterator[tup
             for i in range(WINDOW):
                 ok = (i >= length) | (w.hash[np.minimum(start + i, len(w) - 1)] == block.hashes[np.minimum(block.start[window] + i, len(block.hashes) - 1)])
                 window, start, length = window[ok], start[ok], length[ok]
+            if len(start):
+                plain = plain or _plain(data)
+                bounds = zip(w.start[start].tolist(), w.end[start + length - 1].tolist(), window.tolist(), strict=True)
+                ok = np.fromiter((b" ".join(plain[x:y].split()) == block.words[v] for x, y, v in bounds), bool, len(start))
+                window, start = window[ok], start[ok]
             yield start, window
 
 
-def _scan(docs: DataFrame, block: Block, prefixes: dict[int, Prefixes]) -> DataFrame:
-    """doc_id, n_words, the merged ranges of hit words and the items, a row per document."""
-    ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _scan(block: Block, prefixes: dict[int, Prefixes]):
+    """Adds to each row (doc_id, text, n_words, hits, items) the ranges of words and the items that the block hits, merged with those it has."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, hits, items = [], [], []
-            for i, j, data, offsets in chunks(batch):
-                w = _words(data, offsets)
-                found = list(_hits(w, block, prefixes))
+            n_words = []
+            hits, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for i, _, data, offsets in chunks(batch):
+                w = _words(data, offsets, block.seed)
                 n_words.append(w.counts())
-                own_hits: list[list] = [[] for _ in range(i, j)]
-                own_items: list[list] = [[] for _ in range(i, j)]
-                if sum(len(s) for s, _ in found):
-                    start, window = (np.concatenate(x) for x in zip(*found, strict=True))
-                    edges = np.zeros(len(w) + 1, dtype=np.int64)
-                    np.add.at(edges, start, 1)
-                    np.add.at(edges, start + block.length[window], -1)
-                    inside = np.cumsum(edges)[:-1] > 0
-                    # A range ends where its text ends.
-                    begins = inside.copy()
-                    begins[1:] &= ~inside[:-1] | (w.row[1:] != w.row[:-1])
-                    ends = inside.copy()
-                    ends[:-1] &= ~inside[1:] | (w.row[1:] != w.row[:-1])
-                    for a, b in zip(np.flatnonzero(begins).tolist(), (np.flatnonzero(ends) + 1).tolist(), strict=True):
-                        row = int(w.row[a])
-                        own_hits[row].append({"start": a - int(w.first[row]), "end": b - int(w.first[row])})
-                    pairs = np.unique(np.column_stack([w.row[start], block.item[window]]), axis=0)
-                    for row, item in pairs.tolist():
-                        own_items[row].append(block.names[item])
-                hits += own_hits
-                items += own_items
+                found = list(_hits(w, data, block, prefixes))
+                if not sum(len(s) for s, _ in found):
+                    continue
+                start, window = (np.concatenate(x) for x in zip(*found, strict=True))
+                new: dict[int, list[tuple[int, int]]] = {}
+                first = w.first[w.row[start]]
+                for row, a, b in zip(w.row[start].tolist(), (start - first).tolist(), (start - first + block.length[window]).tolist(), strict=True):
+                    new.setdefault(row, []).append((a, b))
+                for row, ranges in new.items():
+                    hits[i + row] = merged([(h["start"], h["end"]) for h in hits[i + row]] + ranges)
+                pairs = np.unique(np.column_stack([w.row[start], block.item[window]]), axis=0)
+                for row, item in pairs.tolist():
+                    if block.names[item] not in items[i + row]:
+                        items[i + row].append(block.names[item])
             counts = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, ranges), pa.array(items, pa.list_(pa.string())), batch.column(2)], ["doc_id", "n_words", "hits", "items", "_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, HITS), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "_key").mapInArrow(scan, f"doc_id {kind}, n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>, _key bigint")
+    return scan
 
 
-def _merged(hits: Column) -> Column:
-    """Ranges that overlap or touch as one."""
-    return F.aggregate(
-        F.sort_array(hits),
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= x["start"]),
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(out, F.array(x))),
-    )
+def merged(ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Ranges that overlap or touch as one, in order."""
+    out: list[dict[str, int]] = []
+    for a, b in sorted(ranges):
+        if out and out[-1]["end"] >= a:
+            out[-1]["end"] = max(out[-1]["end"], b)
+        else:
+            out.append({"start": a, "end": b})
+    return out
 
 
 def _n_blocks(items: DataFrame, block_bytes: int) -> int:
@@ -216,38 +223,30 @@ def _n_blocks(items: DataFrame, block_bytes: int) -> int:
     return max(1, -(-total // block_bytes))
 
 
-def _block(items: DataFrame, k: int, n_blocks: int) -> Block:
+def _block(items: DataFrame, k: int, n_blocks: int, seed: int) -> Block:
     mine = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-    return make_block([tuple(r) for r in mine.collect()])
+    return make_block([tuple(r) for r in mine.collect()], seed=seed)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, n_words, ``hits`` (ranges of words) and ``items``, a row per document."""
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.lit(0).cast("bigint").alias("_key"))
+    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].alias("text")).where("text is not null")
-    n_blocks = _n_blocks(items, block_bytes)
-    if n_blocks > 1:
-        docs = docs.withColumn("_key", F.xxhash64("text"))
-    parts = []
+    n_blocks, seed = _n_blocks(items, block_bytes), new_seed()
+    out = docs.select("doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     for k in range(n_blocks):
-        block = _block(items, k, n_blocks)
-        parts.append(_scan(docs, block, _prefixes(block, _frequencies(docs, block))))
-    if n_blocks == 1:
-        return parts[0].drop("_key")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    grouped = every.groupBy("doc_id", "_key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return grouped.select("doc_id", "n_words", _merged(F.col("hits")).alias("hits"), "items")
+        block = _block(items, k, n_blocks, seed)
+        out = out.mapInArrow(_scan(block, _prefixes(block, _frequencies(docs, block))), out.schema)
+    return out.drop("text")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` whose ``text`` has no window of any item, all columns as they are."""
     items = benchmark.select("item_id", "text").where("text is not null")
-    n_blocks = _n_blocks(items, block_bytes)
+    n_blocks, seed = _n_blocks(items, block_bytes), new_seed()
     out = docs
     for k in range(n_blocks):
-        block = _block(items, k, n_blocks)
+        block = _block(items, k, n_blocks, seed)
         out = out.mapInArrow(_clean(block, _prefixes(block, _frequencies(docs, block))), docs.schema)
     return out
 
@@ -257,8 +256,8 @@ def _clean(block: Block, prefixes: dict[int, Prefixes]):
         for batch in batches:
             keep = np.ones(batch.num_rows, dtype=bool)
             for i, _, data, offsets in chunks(batch):
-                w = _words(data, offsets)
-                for start, _ in _hits(w, block, prefixes):
+                w = _words(data, offsets, block.seed)
+                for start, _ in _hits(w, data, block, prefixes):
                     keep[i + w.row[start]] = False
             yield batch.filter(pa.array(keep))
 

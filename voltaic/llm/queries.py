@@ -8,7 +8,7 @@ from .jaccard import op7_jaccard
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
-from .suffix_array import op4_suffix_array
+from .suffix_array import OP4_SQL, op4_suffix_array
 from .suffix_tree import OP6_SQL, op6_suffix_tree
 from .tokenfiles import op10_token_files
 from .toxicity import op1_toxicity
@@ -26,4 +26,4 @@ QUERIES = {
     "op8_sharding": op8_sharding,
 }
 
-SQL = {"op6_suffix_tree": OP6_SQL, "op5_decontamination": OP5_SQL, "op3_quality_rules": OP3_SQL}
+SQL = {"op4_suffix_array": OP4_SQL, "op6_suffix_tree": OP6_SQL, "op5_decontamination": OP5_SQL, "op3_quality_rules": OP3_SQL}

@@ -7,7 +7,7 @@ source spreads every source evenly over (0, 1); all rows sorted by it are cut in
 No task ever ranks a whole source: rows are dealt into buckets by leading hash bits (then by fractional rank),
 ranked inside a bucket, and the buckets' running counts are added.
 
-Nulls: a null text has size 1 and crc32 0; null sources are one stratum; a null id is hashed like any value.
+Nulls: a null text has size 1 and crc32 0; null sources are one stratum; rows are hashed by id, size and crc32, also where the id is null.
 Repeated rows are rows of their own. An empty table gives an empty result. Other columns are not looked at.
 """
 
@@ -49,11 +49,12 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"),
     )
+    # Of the text too, so that null and repeated ids don't fill one bucket.
+    rows = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"), 1))
     n = docs.count()
     n_buckets = max(1, n // BUCKET)
-    unit = (F.shiftrightunsigned("_h", 11)).cast("double") / float(1 << 53)
+    unit = F.shiftright("_h", 10).cast("double") / float(1 << 53)
     first = _ranked(rows.withColumn("_b", _bucket(unit, n_buckets)), ["source"], ["_h", "doc_id", "text_crc32"], "_of")
     first = stage(first.withColumn("_f", (F.col("rank") - 0.5) / F.col("_of")).drop("rank", "_of"))
     second = _ranked(first.withColumns({"_b": _bucket(F.col("_f"), n_buckets), "_all": F.lit(0)}), ["_all"], ["_f", "source", "_h", "doc_id", "text_crc32"])

@@ -210,3 +210,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FINDER.removed(documents(spark, sf_dir), "doc_id", "text", _finish, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+#: The same by SQL: all 50-byte strings, as hexadecimal digits, are grouped by a hash of 128 bits.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, hex(b) AS h, octet_length(b)::BIGINT AS n FROM d),
+-- A text in runs of 1,000 bytes, each with the 49 after it, so that no string is cut out of a long text.
+c AS (SELECT doc_id, k * 1000 AS base, substr(h, k * 2000 + 1, 2098) AS s FROM (SELECT doc_id, h, unnest(range(0, n // 1000 + 1)) AS k FROM h)),
+g AS (SELECT doc_id, base + i AS o, md5_number(substr(s, 2 * i + 1, 100)) AS m FROM (SELECT doc_id, base, s, unnest(range(0, least(1000, length(s) // 2 - 49))) AS i FROM c WHERE length(s) >= 100)),
+r AS (SELECT doc_id, o FROM (SELECT doc_id, o, min(doc_id) OVER (PARTITION BY m) AS least_id FROM g) WHERE least_id < doc_id),
+-- Runs of strings that go, as ranges of bytes.
+e AS (SELECT doc_id, o, CASE WHEN o <= lag(o) OVER (PARTITION BY doc_id ORDER BY o) + 50 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(o) AS a, max(o) + 50 AS z FROM (SELECT doc_id, o, sum(new) OVER (PARTITION BY doc_id ORDER BY o) AS run FROM e) GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT p.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS last FROM p JOIN h USING (doc_id) GROUP BY p.doc_id)
+SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""

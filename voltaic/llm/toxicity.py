@@ -1,7 +1,8 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-Both dictionaries share ordinary content trained by zstandard; before it, one has content trained on the words that
-recur in toxic texts and hardly in ordinary ones, the other ordinary content of the same size. A window is one
+Both dictionaries share ordinary content trained by zstandard; before it, one has content trained on toxic texts of which only the words
+are left that recur in them and hardly in ordinary ones, the other ordinary content of the same size. (Trained on whole toxic texts,
+the toxic dictionary is mostly ordinary language, and its gains are noise: the README has the figures of both forms.) A window is one
 word (64 bytes of it at most) with a space on either side and padding, since zstandard finds no matches in a
 window's last bytes. Its gain is the compressed length with the ordinary dictionary less that with the toxic one.
 A text's score comes from how many of its windows pass each gain threshold, by logistic weights calibrated on labelled texts
@@ -161,9 +162,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinar
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     order = F.xxhash64("doc_id")
     few = known.where("toxic = 1").orderBy(order, "doc_id").limit(toxic).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(ordinary))
-    # Bounded by the two limits, whatever the size of the tables.
-    rows = docs.select("doc_id", "text").join(F.broadcast(few.dropDuplicates(["doc_id"])), "doc_id").where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    texts = sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows.limit(2 * (toxic + ordinary)).collect())
+    # A row for each sampled id, whatever the size of the tables: of rows that share an id the least text.
+    rows = docs.select("doc_id", "text").join(F.broadcast(few.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id").where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    texts = sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows.collect())
     rng = np.random.default_rng(0)
     rng.shuffle(texts)
     split = [[t.encode() for _, y, t in texts if y == k] for k in (1, 0)]
