@@ -20,11 +20,12 @@ import numpy as np
 #: Ids of a block at most; together with the 65,536 ids that can be, they must stay under 2**22.
 BLOCK = 1 << 21
 LANES, STEPS = 4096, 256
-_TOTAL, _ZERO = 24, 22
+#: Bits of a lane's interval, and of the order-0 part at least: 1/64 of the interval is always left to it, so every id can be coded.
+_TOTAL, _ZERO = 28, 22
 _LOW = (1 << 48) - 1
 _LEAST = 1 << 32
 _HEAD = struct.Struct("<4sIIIII")
-_MAGIC = b"VCM1"
+_MAGIC = b"VCM2"
 #: The order-0 distribution is renewed after these steps and then every 16th.
 _RENEW = {1, 2, 3, 4, 6, 8, 12}
 
@@ -64,9 +65,10 @@ class _Model:
         self.p1, self.s1 = self.first[self.one], self.first_sure[self.one]
         self.agree = self.p1 == self.p2
         self.context = self.s2 * 8 + self.s1 * 2 + self.agree
-        half = 1 << (_TOTAL - 1)
-        self.a = (half * self.right2 // self.seen)[self.context]
-        self.b = (half * self.right1 // self.seen)[self.context]
+        # Both together were right less often than seen, so the rest stays over 1 << _ZERO.
+        most = (1 << _TOTAL) - (1 << _ZERO)
+        self.a = (most * self.right2 // self.seen)[self.context]
+        self.b = (most * self.right1 // self.seen)[self.context]
 
     def update(self, x: np.ndarray) -> None:
         n = len(x)

@@ -9,13 +9,15 @@
 and returns a manifest, a row per file in ascending order of ids, with the ids of all files before it. A task that runs
 again writes another file; the manifest names that of the attempt that ended well. ``read_tokens`` reads files back, each on its own.
 
-The tokenizer must drop white space, so that words between white space are encoded on their own; each distinct word is encoded
-once by the library. Nulls and empty texts have the end id alone. Ids of documents are integers; null ids come first.
+Words between white space are encoded on their own, each distinct one once by the library, and found again by hashes that every worker
+keys by a number of its own. That gives the ids of whole texts for tokenizers whose file says that no step looks past white space (see
+``WordTokenizer``); others are refused. Nulls and empty texts have the end id alone. Ids of documents are integers; null ids come first.
 Rows alike in id are rows of their own, in order of text. An empty table gives no files. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import CHUNK, chunks, documents, shared_dir, stage
-from ._words import NOT_WHITE, split_words
+from ._words import NOT_WHITE, new_seed, split_words
 from .rangecoder import BLOCK, decode_block, encode_block
 
 #: Distinct words whose ids a Python worker remembers at most; it bounds memory only.
@@ -44,18 +46,37 @@ _MAGIC = b"VTF1"
 MANIFEST = "part int, path string, docs bigint, ids bigint"
 
 
+#: Steps of a tokenizer file that act on each word alone. Normalizers that compose, fold case or make runs of white space one space
+#: (none joins anything across white space), and a pre-tokenizer whose pieces hold no white space and which drops all else.
+NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
 class WordTokenizer:
-    """Ids by the library, word by word."""
+    """Ids by the library, word by word. A file with any step that isn't known to act on words alone is refused."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        normalizers = (steps["normalizer"] or {}).get("normalizers", [steps["normalizer"]])
+        added = steps["added_tokens"]
+        if (
+            any(n not in NORMALIZERS for n in normalizers)
+            or (steps["pre_tokenizer"] or {}).get("pretokenizers") != PRE_TOKENIZERS
+            or steps["post_processor"] or steps["truncation"] or steps["padding"] or steps["model"].get("dropout")
+            or any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in added)
+        ):
+            raise ValueError("this tokenizer is not known to encode words on their own")
         self.tool = Tokenizer.from_file(path)
         self.size = self.tool.get_vocab_size(with_added_tokens=True)
-        whole = self._ids("One, two\n\t three.  Four")
-        if whole != [i for w in "One, two\n\t three.  Four".split() for i in self._ids(w)]:
-            raise ValueError("this tokenizer does not drop white space")
+        self.seed = new_seed()
         #: Whether an id ends a pre-token.
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for t, i in self.tool.get_vocab(with_added_tokens=False).items() if t.endswith(WORD_END)]] = True
@@ -75,6 +96,7 @@ class WordTokenizer:
         """Ids of words. Those of letters are encoded fifty at a time, one of letters and a stop in two parts, others alone."""
         known: dict[bytes, list[int]] = {}
         plain, stopped, others = {}, [], []
+        alone: set[bytes] = set()
         for w in words:
             s = w.decode()
             if s.isalpha():
@@ -91,15 +113,19 @@ class WordTokenizer:
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(group):  # a word of these is more than one pre-token
                 others += group
+                alone.update(group)
                 continue
             begin = 0
             for w, end in zip(group, cuts, strict=True):
                 known[w] = ids[begin:end]
                 begin = end
+        # A stop is a pre-token of its own only after letters that are one; else it may join what is before it.
+        others += [w for w in stopped if w[:-1] in alone]
         for w, found in zip(others, self.tool.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
             known[w] = found.ids
         for w in stopped:
-            known[w] = known[w[:-1]] + self.stops[w[-1:]]
+            if w not in known:
+                known[w] = known[w[:-1]] + self.stops[w[-1:]]
         return [known[w] for w in words]
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
@@ -118,10 +144,10 @@ class WordTokenizer:
         self.keys, self.number = np.insert(self.keys, at, hashes[by]), np.insert(self.number, at, first + by)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts between ``offsets``, each with the end id, and how many each has. Words go by 64-bit hashes."""
+        """Ids of the texts between ``offsets``, each with the end id, and how many each has. Words go by keyed 64-bit hashes."""
         if len(self.keys) > CACHE:
             self._forget()
-        w = split_words(data, offsets, NOT_WHITE, lower=False)
+        w = split_words(data, offsets, NOT_WHITE, lower=False, seed=self.seed)
         code, distinct = pd.factorize(w.hash)
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
