@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voltaic.operators import catalog, dsp, epochs, predicates, trials
 
@@ -100,10 +101,49 @@ def test_resample_keeps_a_slow_wave():
     assert len(y) == 200 and np.abs(y[20:180] - np.sin(2 * np.pi * 3 * np.arange(200) / 100)[20:180]).max() < 0.02
 
 
+def test_names_keep_all_entities(spark):
+    """All 35 fixed entities have their places; others come last, by name."""
+    df = spark.createDataFrame([({"zeta": "1", "desc": "d", "scale": "2", "atlas": "x", "sub": "01", "cohort": "c", "tpl": "t", "seg": "s", "beta": "2"},)], "e map<string,string>")
+    name = df.select(catalog.build_name(F.col("e"), F.lit("ieeg"), F.lit(".tsv"))).first()[0]
+    assert name == "sub-01_tpl-t_cohort-c_atlas-x_seg-s_scale-2_desc-d_beta-2_zeta-1_ieeg.tsv"
+    assert len(catalog.ORDER) == 35
+
+
+def test_wavelet_by_sums():
+    """Against the transform written out as sums; a wave is strongest at the scale of its frequency."""
+    rng = np.random.default_rng(1)
+    x, n, moment = rng.normal(size=24), 24, 6
+    got, frequency = dsp.dog_wavelet(x, 100.0, (0, 2), 3, moment)
+    assert got.shape == (6, n) and (np.diff(frequency) > 0).all() and frequency[-1] == 25.0
+    for row, f in zip(got, frequency, strict=True):
+        s = 100.0 / (4 * f)
+        for t in (0, 7):
+            total = 0
+            for k in range(n):
+                u = s * 2 * np.pi * k / n
+                spectrum = sum(x[m] * np.exp(-2j * np.pi * k * m / n) for m in range(n))
+                total += spectrum * u**moment * np.exp(-(4 * moment / np.pi**2) * u**2 / 2) * np.exp(2j * np.pi * k * t / n)
+            assert abs(row[t] - total / n * np.sqrt(s)) < 1e-9
+    wave = np.cos(2 * np.pi * 12.5 * np.arange(400) / 100.0)
+    tf, frequency = dsp.dog_wavelet(wave, 100.0, (0, 3), 12)
+    assert abs(frequency[np.abs(tf[:, 200]).argmax()] - 12.5) < 0.8
+
+
+def test_whitening_is_by_the_background():
+    rng = np.random.default_rng(2)
+    tf = 3 * rng.normal(size=(1, 2000)) + 3j * rng.normal(size=(1, 2000))
+    tf[0, 1000] = 900
+    power = dsp.whiten(tf, 100.0)
+    assert power[0, 0] == 0 and abs(power[0, 1000] / 300**2 - 1) < 0.15
+    assert dsp.background_samples(2000, 100.0).tolist() == list(range(99, 1900)) and len(dsp.background_samples(20_000, 100.0)) == 15_000
+    assert dsp.background_samples(50, 100.0).tolist() == list(range(50))
+    assert np.allclose(dsp.tukey(9, 0.5), [0, 0.5, 1, 1, 1, 1, 1, 0.5, 0])
+
+
 def test_detects_a_burst():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=2048)
-    t = np.arange(2048)
+    x = rng.normal(size=8192)
+    t = np.arange(8192)
     x += 12 * np.exp(-(((t - 1000) / 12) ** 2)) * np.sin(2 * np.pi * t / 8)
     found = dsp.detect(x, 1024.0, (0, 3), 60.0)
     best = max(found, key=lambda e: e[2])

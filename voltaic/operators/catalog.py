@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Entities in the order of file names, and longer names of two of them.
-ORDER = ("sub", "ses", "sample", "task", "tracksys", "acq", "nuc", "voi", "ce", "trc", "stain", "rec", "dir", "run", "mod", "echo", "flip", "inv", "mt", "part", "proc", "hemi", "space", "split", "recording", "chunk", "seg", "res", "den", "label", "desc")
+ORDER = (
+    "sub", "tpl", "ses", "cohort", "sample", "task", "tracksys", "acq", "nuc", "voi", "ce", "trc", "stain", "rec", "dir", "run", "mod", "echo",
+    "flip", "inv", "mt", "part", "proc", "hemi", "space", "split", "recording", "chunk", "atlas", "seg", "scale", "res", "den", "label", "desc",
+)
 ALIASES = {"subject": "sub", "session": "ses"}
 KEYS = ("sub", "ses", "task", "run")
+#: What says nothing of how special a file is, and what files never count as sharing.
+NOT_SPECIFIC = ("suffix", "extension", "datatype", "scope")
+NOT_SHARED = ("suffix", "extension", "datatype", "desc", "description")
 
 
 def file_name(path: Column) -> Column:
@@ -63,8 +69,10 @@ def normal_subject(value: Column) -> Column:
 
 
 def build_name(found: Column, suffix_: Column, extension_: Column) -> Column:
-    """A file name of a map of entities, in the fixed order."""
-    parts = F.filter(F.array(*(F.concat(F.lit(f"{k}-"), F.try_element_at(found, F.lit(k))) for k in ORDER)), lambda x: x.isNotNull())
+    """A file name of a map of entities: known ones in the fixed order, then others by name."""
+    known = F.array(*(F.concat(F.lit(f"{k}-"), F.try_element_at(found, F.lit(k))) for k in ORDER))
+    others = F.transform(F.array_sort(F.filter(F.map_keys(found), lambda k: ~k.isin(*ORDER))), lambda k: F.concat(k, F.lit("-"), F.try_element_at(found, k)))
+    parts = F.filter(F.concat(known, others), lambda x: x.isNotNull())
     return F.concat(F.array_join(F.concat(parts, F.array(suffix_)), "_"), extension_)
 
 
@@ -90,7 +98,7 @@ def compatible_pairs(targets: DataFrame, candidates: DataFrame, path: str = "pat
         return rows.select(F.col("_m").alias(mine), F.col("_o").alias(other), F.array(*values).alias("_v"), score.alias("score"), F.col(path).alias("_path"), "entities")
 
     left = keyed(t, masks[1], "_t", "_c").select("_t", "_c", "_v", "score", F.col("_path").alias("target"))
-    right = keyed(c, masks[0], "_c", "_t").select("_t", "_c", "_v", F.col("_path").alias("candidate"), F.size(F.map_keys("entities")).alias("specificity"))
+    right = keyed(c, masks[0], "_c", "_t").select("_t", "_c", "_v", F.col("_path").alias("candidate"), F.size(F.filter(F.map_keys("entities"), lambda k: ~k.isin(*NOT_SPECIFIC))).alias("specificity"))
     return left.join(right, ["_t", "_c", "_v"]).select("target", "candidate", "score", "specificity")
 
 
@@ -101,11 +109,11 @@ def best_match(targets: DataFrame, candidates: DataFrame, path: str = "path", ke
     return ranked.groupBy("target").agg(F.min("candidate").alias("candidate"), F.first("score").alias("score"), (F.count(F.lit(1)) > 1).alias("ambiguous"))
 
 
-def shared_entities(files: DataFrame, by: str | None = None) -> DataFrame:
-    """(key, value) that all files (of a group) have."""
+def shared_entities(files: DataFrame, by: str | None = None, excluded: tuple[str, ...] = NOT_SHARED) -> DataFrame:
+    """(key, value) that all files (of a group) have, without the keys that are excluded."""
     keys = [by] if by else []
     total = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    pairs = files.select(*keys, F.explode("entities").alias("key", "value")).groupBy(*keys, "key", "value").agg(F.count(F.lit(1)).alias("_k"))
+    pairs = files.select(*keys, F.explode("entities").alias("key", "value")).where(~F.col("key").isin(*excluded)).groupBy(*keys, "key", "value").agg(F.count(F.lit(1)).alias("_k"))
     joined = pairs.join(total, keys) if keys else pairs.join(F.broadcast(total.withColumn("_o", F.lit(1))), F.lit(1) == F.col("_o"))
     return joined.where("_k = _n").select(*keys, "key", "value")
 

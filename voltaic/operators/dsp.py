@@ -165,33 +165,53 @@ def multitaper_db(x: np.ndarray, fs: float, frequencies: list[float], window_s:
 
 
 def dog_wavelet(x: np.ndarray, fs: float, octaves: tuple[int, int], voices: int = 12, moment: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Analytic wavelet transform (scale, time) by a derivative of a Gaussian in the frequency domain; frequencies ascend."""
+    """Analytic wavelet transform (scale, time) by a derivative of a Gaussian in the frequency domain, of the octaves from the first up to
+    but without the last; frequencies ascend. A scale s has its peak at a quarter of the sampling rate over s."""
     n = len(x)
-    omega = 2 * np.pi * np.arange(n) / n
-    scales = 2.0 ** (octaves[0] + np.arange((octaves[1] - octaves[0] + 1) * voices) / voices)
-    c = moment / (np.pi / 2) ** 2  # the peak lies at pi / 2, so a scale s stands for fs / (4 s)
-    u = scales[:, None] * omega[None, :]
-    with np.errstate(divide="ignore"):
-        shape = np.exp(moment * np.log(np.where(u > 0, u, 1) / (np.pi / 2)) - c / 2 * (u**2 - (np.pi / 2) ** 2))
-    shape = np.where((u > 0) & (omega[None, :] <= np.pi), shape, 0) * np.sqrt(scales)[:, None]
-    out = np.fft.ifft(np.fft.fft(x)[None, :] * shape, axis=1)
-    order = np.argsort(fs / (4 * scales))
-    return out[order], (fs / (4 * scales))[order]
+    u = 2 * np.pi * np.arange(n) / n
+    spectrum = np.fft.fft(x)
+    scales = 2.0 ** (octaves[1] - (1 + np.arange((octaves[1] - octaves[0]) * voices)) / voices)
+    out = np.empty((len(scales), n), complex)
+    for i, s in enumerate(scales):
+        v = s * u
+        out[i] = np.fft.ifft(spectrum * v**moment * np.exp(-moment * (2 * v / np.pi) ** 2 / 2)) * math.sqrt(s)
+    return out, fs / (4 * scales)
 
 
 def hazen(x: np.ndarray, q: float) -> float:
     return float(np.quantile(x, q, method="hazen"))
 
 
-def whiten(tf: np.ndarray) -> np.ndarray:
-    """Each scale's real part by its background: the spread of what lies within 1.5 quartile ranges."""
+def tukey(n: int, share: float) -> np.ndarray:
+    """A window of n ones whose ends, ``share`` of it together, rise and fall like a cosine."""
+    if share <= 0 or n < 2:
+        return np.ones(n)
+    place = np.arange(n) / (n - 1)
+    inside = np.minimum(np.minimum(place, 1 - place) / (min(share, 1.0) / 2), 1.0)
+    return (1 - np.cos(np.pi * inside)) / 2
+
+
+def background_samples(n: int, fs: float) -> np.ndarray:
+    """The samples that backgrounds are judged by: all but a second at either end, 15,000 of them if there are over 16,000 samples, and the
+    first 1,000 of what is too short for that."""
+    if n > 16_000:
+        return np.clip(np.linspace(fs, n - fs, 15_000).astype(np.int64) - 1, 0, n - 1)
+    first, end = max(0, int(fs) - 1), min(n, int(n - fs))
+    return np.arange(first, end) if first < end else np.arange(min(n, 1000))
+
+
+def whiten(tf: np.ndarray, fs: float) -> np.ndarray:
+    """Power of each scale over its background's: the spread of those real parts that lie within 1.5 quartile ranges of the quartiles. The ends fade in and out."""
+    n = tf.shape[1]
+    at = background_samples(n, fs)
+    window = tukey(n, 0.25 * fs / n) if n else np.ones(0)
     out = np.empty(tf.shape)
     for i, row in enumerate(tf):
-        every = row.real[:: max(1, len(row) // 15000)]
+        every = row.real[at]
         a, b = hazen(every, 0.25), hazen(every, 0.75)
         inner = every[(every >= a - 1.5 * (b - a)) & (every <= b + 1.5 * (b - a))]
         sd = inner.std(ddof=1) if len(inner) > 1 else 0.0
-        out[i] = np.abs((row - inner.mean()) / (sd if sd > 0 else 1.0)) ** 2
+        out[i] = np.abs(row / (sd if sd > 0 else 1.0)) ** 2 * window
     return out
 
 
@@ -219,7 +239,7 @@ def detect(x: np.ndarray, fs: float, octaves: tuple[int, int] = (0, 3), threshol
     """(sample, frequency, strength) of peaks of whitened power over the threshold: inner local maxima of time and frequency, strongest first,
     of which each silences weaker ones within its own period and octave."""
     tf, frequency = dog_wavelet(x, fs, octaves, voices)
-    power = whiten(tf)
+    power = whiten(tf, fs)
     inner = power[1:-1, 1:-1]
     peak = (inner > threshold) & (inner > 0)
     for i in range(3):

@@ -12,7 +12,12 @@ from .stats import one_sample_t
 #: Region labels that mean none, once all but letters and digits is gone.
 NO_REGION = ("na", "notavailable", "notapplicable")
 #: Frequency bands of detections, from - to below, in Hz.
-BANDS = (("Delta", 0.0, 4.0), ("Theta", 4.0, 8.0), ("Alpha", 8.0, 12.0), ("Beta", 12.0, 30.0), ("Low gamma", 30.0, 55.0), ("High gamma", 55.0, 80.0), ("Ripple", 80.0, 250.0), ("Fast ripple", 250.0, 500.0), ("Very fast", 500.0, 1e9))
+BANDS = (
+    ("Infra slow", 0.0, 1.0), ("Delta", 1.0, 3.5), ("Theta", 3.5, 7.4), ("Alpha", 7.4, 12.4), ("Beta", 12.4, 24.0), ("Gamma", 24.0, 80.0),
+    ("Ripple", 80.0, 250.0), ("Fast Ripple", 250.0, 500.0), ("Very Fast Osc", 500.0, float("inf")),
+)
+#: Fixed value: the class of detections that have no band.
+SPIKE = "Spike"
 
 
 def channel_key(name: Column) -> Column:

@@ -320,7 +320,9 @@ def event_rates_pivot(spark: SparkSession, d: str) -> DataFrame:
     return gr.event_rates(events, channels, ["click", "error", "purchase", "signup", "view"], duration_s=2.5)
 
 
-@query("SELECT event_id, " + "CASE " + " ".join(f"WHEN value * 6 >= {a} AND value * 6 < {b} THEN '{n}'" for n, a, b in gr.BANDS) + " END AS band FROM events")
+@query("""SELECT event_id, CASE WHEN f < 1 THEN 'Infra slow' WHEN f < 3.5 THEN 'Delta' WHEN f < 7.4 THEN 'Theta' WHEN f < 12.4 THEN 'Alpha' WHEN f < 24 THEN 'Beta'
+ WHEN f < 80 THEN 'Gamma' WHEN f < 250 THEN 'Ripple' WHEN f < 500 THEN 'Fast Ripple' ELSE 'Very Fast Osc' END AS band FROM (SELECT event_id, value * 6 AS f FROM events) WHERE f >= 0
+ UNION ALL SELECT event_id, NULL FROM events WHERE value < 0 OR value IS NULL""")
 def band_classify(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", gr.classify_band(F.col("value") * 6).alias("band"))
 

@@ -59,10 +59,15 @@ def multitaper_power(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.withColumn("power_db", F.when(~F.isnan("power_db"), F.col("power_db"))))
 
 
-@query()
+@query("""WITH s AS (SELECT vec_id, i - 1 AS n, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) AS r(i)),
+ f AS (SELECT vec_id, k, sum(v * cos(2 * pi() * k * n / 64)) AS re, sum(v * sin(2 * pi() * k * n / 64)) AS im FROM s, range(0, 64) AS g(k) GROUP BY ALL),
+ w AS (SELECT i AS scale, power(2, (7 - i) / 4.0::DOUBLE) AS s FROM range(0, 8) AS g(i)),
+ h AS (SELECT scale, s, k, power(s * 2 * pi() * k / 64, 4) * exp(-8 / (pi() * pi()) * power(s * 2 * pi() * k / 64, 2)) AS h FROM w, range(0, 64) AS g(k))
+ SELECT vec_id, scale::BIGINT AS scale, round(any_value(s) * sum((re * re + im * im) * h * h) / 4096, 4) AS power FROM f JOIN h USING (k) GROUP BY vec_id, scale""")
 def dog_cwt(spark: SparkSession, d: str) -> DataFrame:
+    """Mean power of each scale; by SQL the same from the spectrum (Parseval)."""
     out = dsp.map_arrays(_signals(spark, d), "samples", "power", lambda x: (np.abs(dsp.dog_wavelet(x, 64.0, (0, 2), 4, 4)[0]) ** 2).mean(axis=1))
-    return rounded(out.select("vec_id", F.posexplode("power").alias("scale", "power")))
+    return out.select("vec_id", F.posexplode("power").alias("scale", "power")).select("vec_id", F.col("scale").cast("long").alias("scale"), F.round("power", 4).alias("power"))
 
 
 @query()

@@ -28,8 +28,8 @@ def write_text(df: DataFrame, path: str, columns: tuple[str, ...] = (), mode: st
 
 
 def result_path(root: str, entities: Column, datatype: str, suffix: str, extension: str) -> Column:
-    """root/sub-X/[ses-Y/]datatype/name: entities outside the fixed order have no place in a name and are left out."""
-    sub, ses = F.try_element_at(entities, F.lit("sub")), F.try_element_at(entities, F.lit("ses"))
+    """root/sub-X/[ses-Y/]datatype/name; without a subject the folder is that of subject ``unknown``."""
+    sub, ses = F.coalesce(F.try_element_at(entities, F.lit("sub")), F.lit("unknown")), F.try_element_at(entities, F.lit("ses"))
     folder = F.concat_ws("/", F.lit(root), F.concat(F.lit("sub-"), sub), F.concat(F.lit("ses-"), ses), F.lit(datatype))
     return F.concat_ws("/", folder, build_name(entities, F.lit(suffix), F.lit(extension)))
 
