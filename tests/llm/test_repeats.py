@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -45,12 +46,12 @@ def brute_words(rows):
     return sorted(out, key=str)
 
 
-def bytes_of(df):
-    return suffix_array.FINDER.removed(df, "doc_id", "text", suffix_array._finish, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+def bytes_of(df, hot=_repeats.HOT):
+    return replace(suffix_array.FINDER, hot=hot).removed(df, "doc_id", "text", suffix_array._finish, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def words_of(df):
-    return suffix_tree.FINDER.removed(df, "doc_id", "text", suffix_tree._finish, "n_words bigint, n_removed bigint, kept_sha256 string")
+def words_of(df, hot=_repeats.HOT):
+    return replace(suffix_tree.FINDER, hot=hot).removed(df, "doc_id", "text", suffix_tree._finish, "n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def test_bytes(docs, rows):
@@ -61,6 +62,13 @@ def test_words(docs, rows):
     assert sorted(map(tuple, words_of(docs).collect()), key=str) == brute_words([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_windows_of_hot_anchors(docs, odd, rows, hot):
+    """Cutting all anchors' pieces (or those of anchors found over three times) into windows changes nothing."""
+    assert {r[0]: tuple(r)[1:] for r in bytes_of(docs, hot).collect()} == brute_bytes([r[:2] for r in rows])
+    assert sorted(map(tuple, words_of(odd, hot).collect()), key=str) == brute_words([(r.doc_id, r.text) for r in odd.collect()])
+
+
 def test_words_of_repeated_and_null_ids(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(map(tuple, words_of(odd).collect()), key=str) == brute_words(rows)

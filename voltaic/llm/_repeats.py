@@ -6,6 +6,8 @@ have equal anchors at equal places. Neighbouring windows mostly share an anchor;
 1. Documents' anchors are sent to buckets, packed; a bucket finds the anchors that recur.
 2. These go back to the documents, which cut the pieces of recurring anchors and send them to bins by anchor. Equal pieces of
    a batch are joined before that, so a passage with very many copies crosses the shuffle once per batch.
+   The pieces of an anchor that very many documents have are cut into single windows, which go to bins by their content: where a hot
+   passage begins and ends, each document has pieces of its own, and these must not all meet in one task.
 3. A bin compares the pieces of each anchor, exactly, by the operator's own structure, and finds the windows to remove.
 4. The ranges of those windows go to the documents.
 
@@ -34,6 +36,9 @@ SHARE = 16 << 20
 HELD = 1 << 20
 #: Partitions at most, if the session asks for no more; a task takes its bins one after the other.
 PARTITIONS = 20_000
+#: Occurrences of an anchor that are too many for one bin: their strings would take over some 100 MB of a task. Windows taken apart cost
+#: tens of times the bytes of a piece, so this is not done earlier; and windows that are packed at once.
+HOT, WINDOWS = 1 << 17, 1 << 15
 #: Of zstandard, for what is sent: text in pieces gets about a third smaller than by Spark's own compression.
 LEVEL = 3
 _KINDS = ["<u8", "<i8", "<u4", "<i4", "<u2", "u1"]
@@ -211,6 +216,7 @@ class Finder:
     width: int
     across: bool
     resolve: Callable[[Pieces], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    hot: int = HOT
 
     def removed(self, docs: DataFrame, id_col: str, text_col: str, finish: Callable, schema: str) -> DataFrame:
         """``finish(text, ranges)`` for each document, ranges being (first token, token after the last) in order; ``schema``: its columns."""
@@ -231,8 +237,8 @@ class Finder:
         return rows.groupBy("group").cogroup(ranges.groupBy("group")).applyInArrow(_finished(finish, schema), f"doc_id {kind}, {schema}")
 
     def _recurring(self, rows: DataFrame, n: int, groups: int) -> DataFrame:
-        """Step 1: (group, packed marks of address and anchor) for the anchors that recur."""
-        tokens, gram, width, across = self.tokens, self.gram, self.width, self.across
+        """Step 1: (group, packed marks of address and anchor, packed hot anchors) for the anchors that recur."""
+        tokens, gram, width, across, hot = self.tokens, self.gram, self.width, self.across, self.hot
 
         def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -266,6 +272,8 @@ class Finder:
                 by = np.argsort(value, kind="stable")
                 value, address, owner = value[by], address[by], owner[by]
                 same = value[1:] == value[:-1]
+                often = np.bincount(np.concatenate([[0], np.cumsum(~same)]))
+                often = np.repeat(often, often) > hot
                 if across:
                     # A group of one value recurs if its owners differ: mark groups with a change of owner inside.
                     group = np.concatenate([[0], np.cumsum(~same)])
@@ -276,12 +284,13 @@ class Finder:
                     keep = np.zeros(len(value), dtype=bool)
                     keep[1:] |= same
                     keep[:-1] |= same
-                address, value = address[keep], value[keep]
-                group = np.mod(xxhash64(address), groups).astype(np.int64)
-                mark = np.unique(np.column_stack([group.astype(np.uint64), _mark(address, value)]), axis=0) if len(group) else np.zeros((0, 2), np.uint64)
-                cuts = np.flatnonzero(np.diff(mark[:, 0])) + 1
-                for part in np.split(mark, cuts) if len(mark) else []:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(part[0, 0])], pa.int32()), pa.array([pack(part[:, 1])], pa.binary())], ["group", "data"])
+                address, value, often = address[keep], value[keep], often[keep]
+                group = np.mod(xxhash64(address), groups).astype(np.uint64)
+                mark, many = (np.unique(np.column_stack(x), axis=0) for x in ((group, _mark(address, value)), (group[often], value[often])))
+                names, first = np.unique(mark[:, 0], return_index=True)
+                low, high = (np.searchsorted(many[:, 0], names, side=x) for x in ("left", "right"))
+                for g, part, a, b in zip(names.tolist(), np.split(mark[:, 1], first[1:]), low.tolist(), high.tolist(), strict=False):
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([pack(part, many[a:b, 1])], pa.binary())], ["group", "data"])
 
         sent = rows.select("address", "order", "text").mapInArrow(anchors, "bucket int, data binary")
         return dealt(sent, n, "bucket").mapInArrow(recur, "group int, data binary")
@@ -292,7 +301,8 @@ class Finder:
 
         def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
             out: list[dict] = []
-            marks = np.sort(np.concatenate([unpack(x)[0] for x in found.column("data").to_pylist()])) if found.num_rows else np.zeros(0, np.uint64)
+            both = [unpack(x) for x in found.column("data").to_pylist()]
+            marks, hot = (np.sort(np.concatenate([x[i] for x in both])) if both else np.zeros(0, np.uint64) for i in (0, 1))
             for batch in docs.to_batches() if len(marks) else []:
                 address, order = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("address", "order"))
                 for i, _, data, offsets in chunks(batch, "text", CHUNK // 2):
@@ -304,13 +314,30 @@ class Finder:
                     keep = np.flatnonzero(marks[at] == mark)
                     if not len(keep):
                         continue
-                    first, last, row = r.first[keep], r.last[keep] + width - 1, row[keep]
-                    start, end = t.start[first], t.end[last]
-                    p = Pieces(
-                        address[row], order[row], first - np.searchsorted(t.row, row - i), last - first + 1, r.twice[keep], r.anchor[keep],
-                        _content_hash(data, start, end), start, end - start, data,
-                    )
-                    out += _bins(p, n, across)
+
+                    def pieces(first: np.ndarray, last: np.ndarray, row: np.ndarray, twice: np.ndarray, anchor: np.ndarray | None) -> Pieces:
+                        start, end = t.start[first], t.end[last]
+                        content = _content_hash(data, start, end)
+                        return Pieces(
+                            address[row], order[row], first - np.searchsorted(t.row, row - i), last - first + 1, twice,
+                            content if anchor is None else anchor, content, start, end - start, data,
+                        )
+
+                    often = np.isin(r.anchor[keep] & _LOW48, hot)
+                    out += _bins(pieces(*(x[keep[~often]] for x in (r.first, r.last + width - 1)), row[keep[~often]], r.twice[keep[~often]], r.anchor[keep[~often]]), n, across)
+                    keep = keep[often]
+                    if not len(keep):
+                        continue
+                    # Pieces that are equal to others of this batch, as far as these tell their fate; then windows of the rest.
+                    p = pieces(r.first[keep], r.last[keep] + width - 1, row[keep], r.twice[keep], r.anchor[keep])
+                    goes = _fated(p, across)
+                    out += _gone(p, goes, n)
+                    keep = keep[~goes]
+                    window = _spread(r.first[keep], r.last[keep])
+                    of = np.repeat(keep, r.last[keep] - r.first[keep] + 1)
+                    for k in range(0, len(window), WINDOWS):
+                        w, o = window[k : k + WINDOWS], of[k : k + WINDOWS]
+                        out += _bins(pieces(w, w + width - 1, row[o], np.zeros(len(o), bool), None), n, across)
             return pa.Table.from_pylist(out, pa.schema([("bin", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())]))
 
         return cut
@@ -439,23 +466,35 @@ def _take(p: Pieces, at: np.ndarray) -> Pieces:
     return Pieces(*(getattr(p, c)[at] for c in ("address", "order", "at", "tokens", "twice", "anchor", "content", "start", "size")), p.data)
 
 
-def _bins(p: Pieces, n: int, across: bool) -> list[dict]:
-    """Packed pieces by bin; equal ones of this batch are joined where their fate is known."""
+def _fated(p: Pieces, across: bool) -> np.ndarray:
+    """Which pieces go for sure, by equal ones that stay."""
     by, group = _heads(p)
-    first = np.append(True, group[1:] != group[:-1])
+    first = np.append(True, group[1:] != group[:-1])[: len(by)]
     goes = np.zeros(len(by), dtype=bool)
     if across:
         goes[by] = p.order[by] > p.order[by[first][group]]
     else:
         # The first two of equal pieces tell the bin that all of them go.
         goes[by] = np.arange(len(by)) - np.flatnonzero(first)[group] > 1
-    out = []
+    return goes
+
+
+def _gone(p: Pieces, goes: np.ndarray, n: int) -> list[dict]:
+    """Ranges already known to go, as a row for any bin."""
+    if not goes.any():
+        return []
+    bin_ = int((p.anchor[goes][0] >> np.uint64(32)) % np.uint64(n))
+    return [{"bin": bin_, "kind": 1, "data": pack(p.address[goes], p.at[goes], p.at[goes] + p.tokens[goes])}]
+
+
+def _bins(p: Pieces, n: int, across: bool) -> list[dict]:
+    """Packed pieces by bin; equal ones of this batch are joined where their fate is known."""
+    goes = _fated(p, across)
+    out = _gone(p, goes, n)
     number = (p.anchor >> np.uint64(32)) % np.uint64(n)
-    if goes.any():
-        out.append({"bin": int(number[np.flatnonzero(goes)[0]]), "kind": 1, "data": pack(p.address[goes], p.at[goes], p.at[goes] + p.tokens[goes])})
     stay = np.flatnonzero(~goes)
     stay = stay[np.argsort(number[stay], kind="stable")]
-    for part in np.split(stay, np.flatnonzero(np.diff(number[stay].astype(np.int64))) + 1):
+    for part in np.split(stay, np.flatnonzero(np.diff(number[stay].astype(np.int64))) + 1) if len(stay) else []:
         raw = p.data[_spread(p.start[part], p.start[part] + p.size[part] - 1)]
         # 32 bits of the anchor will do to tell those of a bin apart; if two were taken for one, more would be compared.
         out.append({"bin": int(number[part[0]]), "kind": 0, "data": pack(p.address[part], p.order[part] - p.address[part], p.at[part].astype("<u4"), p.size[part].astype("<u4"), p.twice[part].astype("u1"), p.anchor[part].astype("<u4"), p.tokens[part].astype("<u4"), raw)})
