@@ -41,10 +41,23 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``stage`` in n buckets of ``key``, so that joins on it don't shuffle the table again."""
+    spark = df.sparkSession
+    name = f"voltaic_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stage-{name}"
+    df.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._staged, out._table = path, name
+    return out
+
+
 def drop(*staged: DataFrame | None) -> None:
     """Delete staged tables that nothing will read again."""
     for df in staged:
         if df is not None:
+            if "_table" in vars(df):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
             _delete(df.sparkSession, df._staged)
 
 

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import CHUNK, chunks, documents, drop, let_go, stage
-from ._repeats import HELD, _buckets, bins_for, by_key, dealt, unpack
+from ._common import CHUNK, chunks, documents, drop, let_go, stage, stage_by
+from ._repeats import HELD, PARTITIONS, _buckets, bins_for, by_key, dealt, unpack
 from ._words import _MUL, NOT_WHITE, mix, new_seed, shingle_hashes, split_words
 
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -455,8 +455,8 @@ def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int, step: str)
     return parts.mapInArrow(pairs, "a bigint, b bigint, group bigint")
 
 
-def _texts(docs: DataFrame, sized: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
-    """(node, text): a text of each of the classes ``nodes``.
+def _texts(docs: DataFrame, sized: DataFrame, nodes: DataFrame, k: int, seed: int, n: int) -> DataFrame:
+    """(node, text): a text of each of the classes ``nodes``, in buckets of nodes: every round joins edges with it.
 
     Rows are found by the least id of a class; since others may share that id, classes are made again. Only classes
     without an id look through the rows without one.
@@ -466,7 +466,9 @@ def _texts(docs: DataFrame, sized: DataFrame, nodes: DataFrame, k: int, seed: in
     if not ids.where("_id is null").isEmpty():
         rows = rows.unionByName(docs.where("doc_id is null").select("text"))
     rows = with_class(rows, "text", k, seed).withColumnRenamed("_class", "node")
-    out = stage(rows.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    n = min(n, PARTITIONS)
+    rows = rows.repartition(n, "node").join(nodes.hint("merge"), "node", "left_semi")
+    out = stage_by(rows.groupBy("node").agg(F.first("text").alias("text")), "node", n)
     drop(ids)
     return out
 
@@ -481,7 +483,7 @@ def _labelled(docs: DataFrame, k: int, percent: int, level: int, seed: int) -> D
     sketches = stage(
         sized.join(nodes.select(F.col("node").alias("class")), "class", "left_semi").groupBy(F.col("class").alias("node")).agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     )
-    texts = _texts(docs, sized, nodes, k, seed)
+    texts = _texts(docs, sized, nodes, k, seed, n)
     let_go(docs.sparkSession)
     links: DataFrame | None = None
     labels: DataFrame | None = None
