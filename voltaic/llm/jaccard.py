@@ -455,22 +455,29 @@ def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int, step: str)
     return parts.mapInArrow(pairs, "a bigint, b bigint, group bigint")
 
 
-def _texts(docs: DataFrame, sized: DataFrame, nodes: DataFrame, k: int, seed: int, n: int) -> DataFrame:
+def _class_texts(docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(node, text): texts with their classes, copies in a batch once, without empty sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = [np.zeros(0, np.int64)]
+            for i, j, data, offsets in chunks(batch):
+                classes.append(set_classes(*shingle_sets(data, offsets, k, seed), j - i)[1])
+            name, first = np.unique(np.concatenate(classes), return_index=True)
+            first = first[name != 0]
+            yield pa.RecordBatch.from_arrays([pa.array(name[name != 0]), batch.column("text").take(pa.array(first))], ["node", "text"])
+
+    return docs.select("text").mapInArrow(run, "node bigint, text string")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, k: int, seed: int, n: int) -> DataFrame:
     """(node, text): a text of each of the classes ``nodes``, in buckets of nodes: every round joins edges with it.
 
-    Rows are found by the least id of a class; since others may share that id, classes are made again. Only classes
-    without an id look through the rows without one.
+    Classes are made again, so that texts are shuffled once, by class. Both sides are dealt out alike, else the join would shuffle the texts again.
     """
-    ids = stage(sized.join(nodes.select(F.col("node").alias("class")), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("_id")))
-    rows = docs.join(ids.select(F.col("_id").alias("doc_id")).where("doc_id is not null").distinct().hint("merge"), "doc_id", "left_semi").select("text")
-    if not ids.where("_id is null").isEmpty():
-        rows = rows.unionByName(docs.where("doc_id is null").select("text"))
-    rows = with_class(rows, "text", k, seed).withColumnRenamed("_class", "node")
     n = min(n, PARTITIONS)
-    rows = rows.repartition(n, "node").join(nodes.hint("merge"), "node", "left_semi")
-    out = stage_by(rows.groupBy("node").agg(F.first("text").alias("text")), "node", n)
-    drop(ids)
-    return out
+    rows = _class_texts(docs, k, seed).repartition(n, "node").join(nodes.repartition(n, "node").hint("merge"), "node", "left_semi")
+    return stage_by(rows.groupBy("node").agg(F.first("text").alias("text")), "node", n)
 
 
 def _labelled(docs: DataFrame, k: int, percent: int, level: int, seed: int) -> DataFrame:
@@ -484,7 +491,7 @@ def _labelled(docs: DataFrame, k: int, percent: int, level: int, seed: int) -> D
     sketches = stage(
         sized.join(nodes.select(F.col("node").alias("class")), "class", "left_semi").groupBy(F.col("class").alias("node")).agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     )
-    texts = _texts(docs, sized, nodes, k, seed, n)
+    texts = _texts(docs, nodes, k, seed, n)
     let_go(docs.sparkSession)
     links: DataFrame | None = None
     labels: DataFrame | None = None
