@@ -87,16 +87,16 @@ def paired_t(df: DataFrame, unit: str, keys: Keys, a: str = "A", b: str = "B", v
     return one_sample_t(sides.withColumn("v", F.col("_a") - F.col("_b")), keys, p=p)
 
 
-def regression(df: DataFrame, keys: Keys, x: str = "x", y: str = "v", policy: str = "pointwise", trial: str = "trial", feature: str = "feature", time: str = "t_idx", p: bool = False) -> DataFrame:
+def regression(df: DataFrame, keys: Keys, x: str = "x", y: str = "v", policy: str = "pointwise", trial: str = "trial", feature: str = "feature", time: str = "t_idx", p: bool = False, by: Keys = ()) -> DataFrame:
     """Least-squares line by cell: slope, intercept, r, t and the number of trials.
 
     ``dense``: a cell with any missing value has no line. ``pointwise``: missing values are left out cell by cell. ``feature_time0``: a trial is
     left out of a feature if its first sample is missing; any other missing value leaves its cell without a line. Three trials and a varying x
-    are needed (pointwise: a varying y too).
+    are needed (pointwise: a varying y too). ``by``: whose trials they are, if several subjects number theirs alike.
     """
     rows = df
     if policy == "feature_time0":
-        first = F.first(y).over(Window.partitionBy(trial, feature).orderBy(time))
+        first = F.first(y).over(Window.partitionBy(*by, trial, feature).orderBy(time))
         rows = df.withColumn("_first", first).where(F.col("_first").isNotNull())
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     xs, ys = F.when(both, F.col(x)), F.when(both, F.col(y))

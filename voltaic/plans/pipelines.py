@@ -56,27 +56,40 @@ def clean_epochs(epochs: DataFrame, mean_factor: float | None = 3.0, max_factor:
     return out
 
 
-def condition_test(epochs: DataFrame, a: str = "A", b: str = "B", baseline: tuple[float, float] | None = None, scope: str = "condition", correction: str = "fdr", alpha: float = 0.05, equal_var: bool = False, keys: Sequence[str] = CELL) -> DataFrame:
-    """Two conditions of one subject by cell: means, difference with its interval, t, p, corrected p. ``scope`` of the baseline: trial, condition or global."""
-    rows = epochs
+def condition_test(epochs: DataFrame, a: str = "A", b: str = "B", baseline: tuple[float, float] | None = None, scope: str = "condition", correction: str = "fdr", alpha: float = 0.05, equal_var: bool = False, keys: Sequence[str] = CELL, by: Sequence[str] = (), unit: str | None = None) -> DataFrame:
+    """Two conditions by cell: means, difference with its interval, t, p, corrected p. ``scope`` of the baseline: trial, condition or global.
+
+    ``by`` names a subject (or a recording): baselines, tests and corrections are each subject's own, in one plan over all of them; trials may have the same numbers in
+    several. With ``unit`` the test is paired: A less B over the units that have both.
+    """
+    rows, by = epochs, list(by)
     if baseline:
         inside = F.col("time_s").between(*baseline)
         if scope == "trial":
-            rows = stats.zscore(rows, ["trial", "feature"], baseline=inside)
+            rows = stats.zscore(rows, [*by, "trial", "feature"], baseline=inside)
         else:
-            rows = stats.zscore_by_trial_means(rows, ["condition", "feature"] if scope == "condition" else ["feature"], inside)
+            rows = stats.zscore_by_trial_means(rows, [*by, "condition", "feature"] if scope == "condition" else [*by, "feature"], inside)
         rows = rows.withColumn("v", F.col("z"))
-    t = stats.difference_ci95(rows, list(keys), a=a, b=b, equal_var=equal_var).withColumn("p", stats.t_pvalue("t", "df"))
-    return significant(correct(t, correction), alpha)
+    if unit:
+        t = stats.paired_t(rows, unit, [*by, *keys], a=a, b=b)
+    else:
+        t = stats.difference_ci95(rows, [*by, *keys], a=a, b=b, equal_var=equal_var)
+    return significant(correct(t.withColumn("p", stats.t_pvalue("t", "df")), correction, by), alpha)
+
+
+def against_zero(epochs: DataFrame, correction: str = "fdr", alpha: float = 0.05, keys: Sequence[str] = CELL, by: Sequence[str] = ()) -> DataFrame:
+    """Each condition's mean against 0 by cell, corrected over each condition's map (of each subject)."""
+    return significant(correct(stats.one_sample_t(epochs, [*by, "condition", *keys], p=True), correction, [*by, "condition"]), alpha)
 
 
-def regression_test(epochs: DataFrame, policy: str = "feature_time0", correction: str = "fdr", alpha: float = 0.05, zscore_x: bool = False, keys: Sequence[str] = CELL) -> DataFrame:
-    """A line on the predictor x for each condition and cell, corrected over each condition's map."""
-    rows = epochs
+def regression_test(epochs: DataFrame, policy: str = "feature_time0", correction: str = "fdr", alpha: float = 0.05, zscore_x: bool = False, keys: Sequence[str] = CELL, by: Sequence[str] = ()) -> DataFrame:
+    """A line on the predictor x for each condition and cell, corrected over each condition's map (of each subject, by the columns ``by``, which may be none of the cell's)."""
+    rows, by = epochs, list(by)
     if zscore_x:
-        x = stats.zscore(epochs.select("trial", "condition", F.col("x").alias("v")).distinct(), ["condition"], least=3, zero="null")
-        rows = epochs.drop("x").join(x.select("trial", F.col("z").alias("x")), "trial")
-    return significant(correct(stats.regression(rows, ["condition", *keys], policy=policy, p=True), correction, ["condition"]), alpha)
+        x = stats.zscore(epochs.select(*by, "trial", "condition", F.col("x").alias("v")).distinct(), [*by, "condition"], least=3, zero="null")
+        rows = epochs.drop("x").join(x.select(*by, "trial", F.col("z").alias("x")), [*by, "trial"])
+    fits = stats.regression(rows, [*by, "condition", *keys], policy=policy, p=True, by=by)
+    return significant(correct(fits, correction, [*by, "condition"]), alpha)
 
 
 def contributions(results: DataFrame, region_map: DataFrame, value: str) -> DataFrame:
