@@ -92,3 +92,17 @@ def check(test, rows, options):
         assert (a[keys] == b[keys]).all().all()
         assert ((a[["t", "p", "p_corr"]] - b[["t", "p", "p_corr"]]).abs().fillna(0) < 1e-6).all().all()
     rows.unpersist()
+
+
+def test_permuted_t_by_matrices(spark):
+    """Missing values, cells with too few trials, and two subjects with the same trials, against the join."""
+    from voltaic.operators import resample, stats
+
+    data = [(s, i, c, None if (i + c) % 5 == 0 or (c == 2 and i > 1) else float((i * 7 + c * 3 + s * 11) % 13)) for s in (0, 1) for i in range(9) for c in range(3)]
+    values = spark.createDataFrame(data, "subject int, trial int, cell int, v double")
+    dealt = spark.createDataFrame([(s, p, i, "AB-"[(i * (p + 2) + s) % 3]) for s in (0, 1) for p in range(4) for i in range(9)], "subject int, perm int, trial int, condition string")
+    got = {tuple(r)[:3]: r["t"] for r in resample.permuted_t(values, dealt, ["cell"], by=["subject"], blocks=2).collect()}
+    want = {tuple(r)[:3]: r["t"] for r in stats.two_sample_t(values.join(dealt, ["subject", "trial"]), ["perm", "subject", "cell"]).collect()}
+    assert set(got) == set(want)
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+    assert resample.permuted_t(values.limit(0), dealt, ["cell"], by=["subject"]).count() == 0

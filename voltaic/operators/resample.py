@@ -28,6 +28,49 @@ def permuted(values: DataFrame, dealt: DataFrame, trial: str = "trial", conditio
     return values.drop(condition).join(dealt, trial)
 
 
+def permuted_t(values: DataFrame, dealt: DataFrame, keys: Sequence[str], trial: str = "trial", condition: str = "condition", value: str = "v", a: str = "A", b: str = "B", blocks: int = 32, by: Sequence[str] = ()) -> DataFrame:
+    """(perm, cell, t): Welch's t of every permutation, as products of a matrix of labels and one of values.
+
+    Values are shuffled once, to blocks of cells, whatever the number of permutations; the labels (a byte per trial and permutation) go to each block. A task holds a
+    block's cells of one subject (``by``), and its labels.
+    """
+    by = list(by)
+    spec = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in (*by, *keys))
+    cells = values.where(F.col(value).isNotNull()).select(*by, trial, *keys, F.col(value).cast("double").alias("_v"), F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int").alias("_b"))
+    side = F.when(F.col(condition) == a, 1).when(F.col(condition) == b, 2).otherwise(0).cast("tinyint")
+    labels = dealt.groupBy(*by, trial).agg(F.array_sort(F.collect_list(F.struct("perm", side.alias("s")))).alias("_s"))
+    labels = labels.select(*by, trial, "_s.perm", F.col("_s.s").alias("_l"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+
+    def run(part: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        columns = ["perm", *by, *keys, "t"]
+        part = part[part[trial].isin(given[trial])]
+        if part.empty:
+            return pd.DataFrame(columns=columns)
+        place = pd.Series(np.arange(len(given)), index=given[trial])
+        cell = part.groupby(list(keys), sort=False, dropna=False)
+        at = place[part[trial]].to_numpy(), cell.ngroup().to_numpy()
+        v, known = np.zeros((len(given), cell.ngroups)), np.zeros((len(given), cell.ngroups))
+        # Around the cell's mean, so that squares lose no digits.
+        v[at], known[at] = part["_v"] - cell["_v"].transform("mean"), 1.0
+        codes, perms = np.stack(given["_l"].to_numpy()), np.asarray(given["perm"].iloc[0])
+        means, errors, enough = [], [], np.ones((len(perms), cell.ngroups), bool)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for code in (1, 2):
+                m = (codes == code).T.astype(float)
+                n, s, q = m @ known, m @ v, m @ (v * v)
+                means.append(s / n)
+                errors.append(np.maximum(q - s * s / n, 0) / (n - 1) / n)
+                enough &= n >= 2
+            t = (means[0] - means[1]) / np.sqrt(errors[0] + errors[1])
+        first = cell.head(1)[[*by, *keys]]
+        out = first.iloc[np.tile(np.arange(len(first)), len(perms))].reset_index(drop=True)
+        t = pd.Series(np.where(enough & np.isfinite(t), t, np.nan).reshape(-1))
+        return out.assign(perm=np.repeat(perms, len(first)), t=t.astype(object).where(t.notna(), None))[columns]
+
+    grouped = cells.groupBy(*by, "_b").cogroup(labels.groupBy(*by, "_b"))
+    return grouped.applyInPandas(run, f"perm int, {spec}, t double")
+
+
 def temporal_clusters(df: DataFrame, by: Sequence[str], alpha: float, time: str = "t_idx", t: str = "t", p: str = "p") -> DataFrame:
     """Runs of neighbouring samples with p < alpha and t of one sign: start, end, sum of t."""
     sign = F.signum(t).cast("int")

@@ -110,7 +110,7 @@ def group_test(rows: DataFrame, method: str = "fdr", min_channels: int = 1, min_
 def permutation_maps(epochs: DataFrame, n_perm: int, keys: Sequence[str] = CELL) -> DataFrame:
     """t maps of dealt labels, to be stored beside a subject's result for the group's null."""
     dealt = resample.shuffled_labels(epochs.select("trial", "condition").distinct(), n_perm)
-    return stats.two_sample_t(resample.permuted(epochs, dealt), ["perm", *keys]).select("perm", *keys, F.col("t").alias("v"))
+    return resample.permuted_t(epochs, dealt, list(keys)).withColumnRenamed("t", "v")
 
 
 def run(inputs: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -97,3 +97,10 @@ def cluster_pvalue_all(spark: SparkSession, d: str) -> DataFrame:
     null = p.select("feature", ((F.col("p") - 0.5) * 20).alias("null"))
     observed = p.groupBy("label", "feature").agg(F.sum(1 - F.col("p")).alias("t_sum"))
     return rounded(rs.cluster_pvalue(observed, null, ["feature"]), "label", "feature", "p_cluster")
+
+
+@query(statistics.SQL["perm_t_maps"])
+def perm_t_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """``perm_t_maps`` by matrix products."""
+    t = rs.permuted_t(statistics.epochs(spark, d), statistics._dealt(spark, d, 5), list(statistics.CELL))
+    return rounded(t, "perm", *statistics.CELL, "t")
