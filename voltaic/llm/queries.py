@@ -9,6 +9,7 @@ from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
 from .simhash import op11_simhash
+from .spelling import OP12_SQL, op12_spelling
 from .suffix_array import OP4_SQL, op4_suffix_array
 from .suffix_tree import OP6_SQL, op6_suffix_tree
 from .tokenfiles import op10_token_files
@@ -26,6 +27,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op8_sharding": op8_sharding,
     "op11_simhash": op11_simhash,
+    "op12_spelling": op12_spelling,
 }
 
-SQL = {"op4_suffix_array": OP4_SQL, "op6_suffix_tree": OP6_SQL, "op5_decontamination": OP5_SQL, "op3_quality_rules": OP3_SQL}
+SQL = {"op4_suffix_array": OP4_SQL, "op6_suffix_tree": OP6_SQL, "op5_decontamination": OP5_SQL, "op3_quality_rules": OP3_SQL, "op12_spelling": OP12_SQL}
