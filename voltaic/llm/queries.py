@@ -6,6 +6,7 @@ from .bpe import op9_bpe
 from .decontamination import OP5_SQL, op5_decontamination
 from .jaccard import op7_jaccard
 from .quality import OP3_SQL, op3_quality_rules
+from .search import OP13_SQL, op13_search
 from .secrets import op2_secret_scan
 from .sharding import op8_sharding
 from .simhash import op11_simhash
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op11_simhash": op11_simhash,
     "op12_spelling": op12_spelling,
+    "op13_search": op13_search,
 }
 
-SQL = {"op4_suffix_array": OP4_SQL, "op6_suffix_tree": OP6_SQL, "op5_decontamination": OP5_SQL, "op3_quality_rules": OP3_SQL, "op12_spelling": OP12_SQL}
+SQL = {"op4_suffix_array": OP4_SQL, "op6_suffix_tree": OP6_SQL, "op5_decontamination": OP5_SQL, "op3_quality_rules": OP3_SQL, "op12_spelling": OP12_SQL, "op13_search": OP13_SQL}
