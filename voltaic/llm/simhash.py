@@ -179,8 +179,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", tex
     else:
         labels = components(edges).select(F.col("node").alias("fp"), "label")
         named = stage(nodes.join(labels.hint("merge"), "fp", "left"))
-        least = named.where("label is not null").groupBy("label").agg(F.min("low").alias("component_id"))
-        names = named.join(least.hint("merge"), "label", "left").select("fp", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
+        linked = named.where("label is not null")
+        least = linked.groupBy("label").agg(F.min("low").alias("component_id"))
+        # Fingerprints without links, most of them, name themselves.
+        alone = named.where("label is null").select("fp", F.col("low").alias("component_id"))
+        names = alone.unionByName(linked.join(least.hint("merge"), "label").select("fp", "component_id"))
     names = stage(names)
     drop(edges)
     out = prints.join(names.hint("merge"), "fp")
