@@ -250,18 +250,26 @@ def _proven(index: DataFrame, tiers: int, q: Queries, residual: np.ndarray, floo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(q.n, np.int64)
+        held = [np.zeros((2, 0), np.int64)]
         for batch in batches:
             row = batch.column("row").to_numpy()
             for a, bounds in _scored(batch, tiers, q, residual):
                 at, item = np.nonzero(bounds >= floor)
                 # An item with more than that has no proof, so what it has beyond that needs not be sent.
                 open_ = seen[item] <= LEFT
-                at, item = at[open_], item[open_]
+                held.append(np.stack([item[open_], row[a + at[open_]]]))
                 seen += np.bincount(item, minlength=q.n)
-                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(row[a + at])], ["item", "row"])
-
-    rows = index.select(_columns(tiers, "row")).mapInArrow(run, "item bigint, row bigint")
-    return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("item"))).where(F.col("_n") <= LEFT).select("item", "row")
+        x = np.concatenate(held, axis=1)
+        x = x[:, seen[x[0]] <= LEFT]
+        x = x[:, np.argsort(x[0], kind="stable")]
+        mine = np.flatnonzero(seen)
+        ends = np.searchsorted(x[0], mine, side="right")
+        rows = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(x[0], mine[:1]), ends).astype(np.int32)), pa.array(x[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(seen[mine]), rows], ["item", "n", "rows"])
+
+    parts = index.select(_columns(tiers, "row")).mapInArrow(run, "item bigint, n bigint, rows array<bigint>")
+    few = parts.withColumn("_n", F.sum("n").over(Window.partitionBy("item"))).where(F.col("_n") <= LEFT)
+    return few.select("item", F.explode("rows").alias("row"))
 
 
 SCORED = "item bigint, row bigint, doc_id bigint, score bigint"
