@@ -140,16 +140,6 @@ def test_whitening_is_by_the_background():
     assert np.allclose(dsp.tukey(9, 0.5), [0, 0.5, 1, 1, 1, 1, 1, 0.5, 0])
 
 
-def test_detects_a_burst():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=8192)
-    t = np.arange(8192)
-    x += 12 * np.exp(-(((t - 1000) / 12) ** 2)) * np.sin(2 * np.pi * t / 8)
-    found = dsp.detect(x, 1024.0, (0, 3), 60.0)
-    best = max(found, key=lambda e: e[2])
-    assert abs(best[0] - 1000) < 20 and 90 < best[1] < 180
-
-
 def test_ordered_match_uses_rows_up(spark):
     a = spark.createDataFrame([("r", i, float(i), c) for i, c in enumerate("xyxz")], "recording string, anchor int, onset double, code string")
     b = spark.createDataFrame([("r", 10, 1, "x", "A"), ("r", 11, 2, "q", "A"), ("r", 12, 3, None, None), ("r", 13, 4, "x", "B")], "recording string, row int, place int, code string, label string")

@@ -1,4 +1,4 @@
-"""Signals held as arrays: band envelopes, multitaper power, wavelets, thresholds by local false-discovery rate, and detections.
+"""Signals held as arrays: band envelopes, multitaper power, wavelets and their backgrounds (``detection`` finds events in them).
 
 Each function takes one row's samples and gives arrays or rows; Spark splits recordings and channels into rows, and Arrow batches carry them to numpy.
 Filters, tapers and wavelets depend on lengths and parameters only: they are made once per worker and kept.
@@ -161,7 +161,7 @@ def multitaper_db(x: np.ndarray, fs: float, frequencies: list[float], window_s:
     return out
 
 
-# Wavelets and detections
+# Wavelets
 
 
 def dog_wavelet(x: np.ndarray, fs: float, octaves: tuple[int, int], voices: int = 12, moment: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -215,58 +215,6 @@ def whiten(tf: np.ndarray, fs: float) -> np.ndarray:
     return out
 
 
-def lfdr_threshold(y: np.ndarray, alpha: float = 0.05) -> float:
-    """Least |value| from which on the local false-discovery rate against a standard normal stays under alpha; infinite if there is none."""
-    y = y[np.isfinite(y)]
-    if len(y) < 10:
-        return math.inf
-    iqr = hazen(y, 0.75) - hazen(y, 0.25)
-    width = 2 * iqr * len(y) ** (-1 / 3) if iqr > 0 else 3.5 * y.std() * len(y) ** (-1 / 3)
-    if not width > 0:
-        return math.inf
-    power = 10.0 ** math.floor(math.log10(width))
-    width = min((k * power for k in (1, 2, 5, 10)), key=lambda w: abs(w - width))
-    edges = np.arange(math.floor(y.min() / width), math.ceil(y.max() / width) + 1) * width
-    counts, _ = np.histogram(y, edges)
-    middle = (edges[:-1] + edges[1:]) / 2
-    null = len(y) * width * np.exp(-(middle**2) / 2) / math.sqrt(2 * math.pi)
-    low = np.log(np.maximum(null, 1e-300)) - np.log(np.maximum(counts, 1)) < math.log(alpha)
-    hits = np.abs(middle)[low & (counts > 0) & (np.abs(middle) > 1)]
-    return float(hits.min()) if len(hits) else math.inf
-
-
-def detect(x: np.ndarray, fs: float, octaves: tuple[int, int] = (0, 3), threshold: float = 40.0, voices: int = 12) -> list[tuple[int, float, float]]:
-    """(sample, frequency, strength) of peaks of whitened power over the threshold: inner local maxima of time and frequency, strongest first,
-    of which each silences weaker ones within its own period and octave."""
-    tf, frequency = dog_wavelet(x, fs, octaves, voices)
-    power = whiten(tf, fs)
-    inner = power[1:-1, 1:-1]
-    peak = (inner > threshold) & (inner > 0)
-    for i in range(3):
-        for j in range(3):
-            peak &= inner >= power[i : i + inner.shape[0], j : j + inner.shape[1]]
-    found = [(int(t) + 1, float(frequency[f + 1]), float(inner[f, t])) for f, t in np.argwhere(peak)]
-    kept: list[tuple[int, float, float]] = []
-    for t, f, s in sorted(found, key=lambda e: (-e[2], e[0], e[1])):
-        if all(abs(t - u) > fs / min(f, g) or abs(math.log2(f / g)) > 1 for u, g, _ in kept):
-            kept.append((t, f, s))
-    return sorted(kept)
-
-
-def detections(df: DataFrame, samples: str, key: str, fs: float, **options) -> DataFrame:
-    """A row per detection of each row's signal."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, *e) for k, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if r for e in detect(np.array(r, dtype=float), fs, **options)]
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            types = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "sample", "frequency", "strength"])
-
-    return df.select(key, samples).mapInArrow(run, f"{key} {kind}, sample bigint, frequency double, strength double")
-
-
 # Grids
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dsp
+from ..operators import detection, dsp
 from . import pipelines
 from .tables import read, rounded
 
@@ -72,13 +72,39 @@ def dog_cwt(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lfdr_threshold(spark: SparkSession, d: str) -> DataFrame:
-    out = dsp.map_arrays(_signals(spark, d), "samples", "threshold", lambda x: np.array([dsp.lfdr_threshold((x - x.mean()) / x.std(), 0.2)]))
+    out = dsp.map_arrays(_signals(spark, d), "samples", "threshold", lambda x: np.array([detection.fdr_bounds((x - x.mean()) / x.std(), 0.2)[1]]))
     return rounded(out.select("vec_id", F.nullif(F.get("threshold", F.lit(0)), F.lit(float("inf"))).alias("threshold")))
 
 
 @query()
 def hfo_detect(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(dsp.detections(_signals(spark, d), "samples", "vec_id", 64.0, octaves=(0, 2), threshold=8.0, voices=4))
+    """Each row is a recording of its own."""
+    settings = detection.Settings(64.0, bands=((8.0, 16.0),), threshold=8.0)
+    return rounded(detection.detect(_signals(spark, d).withColumn("first", F.lit(0)), ["vec_id"], settings), "vec_id", "event_type", "sample", "frequency", "strength")
+
+
+@query()
+def event_detections(spark: SparkSession, d: str) -> DataFrame:
+    """The values of all events, by their numbers, as one long recording in segments of a thousand, cut into chunks; the threshold is automatic."""
+    e = read(spark, d, "events").select(F.expr("event_id DIV 1000 * 1000").alias("first"), F.struct("event_id", F.coalesce("value", F.lit(0.0)).alias("v")).alias("s"))
+    segments = e.groupBy("first").agg(F.array_sort(F.collect_list("s")).alias("s")).select(F.lit("events").alias("recording"), "first", F.transform("s", lambda x: x["v"]).alias("samples"))
+    settings = detection.Settings(256.0, bands=((12.0, 64.0),), threshold=None, alpha=0.2)
+    return rounded(detection.detect(segments, ["recording"], settings, size=4096))
+
+
+@query("""WITH g AS (SELECT vec_id, (i - 1) // 8 AS s, (i - 1) % 8 AS t, embedding[i]::DOUBLE * embedding[i]::DOUBLE AS p FROM embeddings, range(1, 65) AS r(i)),
+ k AS (SELECT a.*, greatest(1, CASE WHEN t + 4 > 8 THEN 8 - t ELSE least(4, t - 1) END) AS reach FROM g a WHERE s BETWEEN 1 AND 6 AND t BETWEEN 1 AND 6 AND p > 0
+  AND NOT EXISTS (SELECT 1 FROM g b WHERE b.vec_id = a.vec_id AND b.s BETWEEN a.s - 1 AND a.s + 1 AND b.t BETWEEN a.t - 1 AND a.t + 1 AND b.p > a.p)),
+ o AS (SELECT k.vec_id, k.s, k.t, min(CASE WHEN g.s = k.s AND g.t > k.t AND g.t <= k.t + reach AND k.t + reach < 8 THEN g.t - k.t - 1 END) AS later,
+  min(CASE WHEN g.s = k.s AND g.t < k.t AND g.t >= k.t - reach AND k.t >= reach THEN k.t - g.t + 1 END) AS earlier,
+  min(CASE WHEN g.t = k.t AND g.s > k.s THEN g.s - k.s END) AS up, min(CASE WHEN g.t = k.t AND g.s < k.s THEN k.s - g.s END) AS down
+  FROM k JOIN g ON g.vec_id = k.vec_id AND (g.p < k.p / 2 OR g.p > k.p) GROUP BY ALL)
+ SELECT k.vec_id, k.s::BIGINT AS scale, k.t::BIGINT AS sample, round(p, 6) AS strength, coalesce(later, reach / 2)::DOUBLE AS later, coalesce(earlier, reach / 2)::DOUBLE AS earlier,
+  coalesce(up, down, 8 - k.s)::DOUBLE AS up, coalesce(down, up, k.s - 1)::DOUBLE AS down FROM k LEFT JOIN o ON k.vec_id = o.vec_id AND k.s = o.s AND k.t = o.t""")
+def half_height_extents(spark: SparkSession, d: str) -> DataFrame:
+    """Squares of each row's 64 values as eight scales of eight samples."""
+    grid = _signals(spark, d).select("vec_id", F.transform("samples", lambda x: x * x).alias("power"))
+    return rounded(detection.grid_peaks(grid, "vec_id", "power", 8, 8.0))
 
 
 def _contributions(spark: SparkSession, d: str) -> DataFrame:
