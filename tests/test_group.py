@@ -86,3 +86,36 @@ def test_queries_take_every_contribution(spark, sf, duck):
     assert got == pytest.approx(want, abs=1e-5)
     found = {(r.roi, r.start, r.end): r.t_sum for r in signals.group_cluster_test(spark, sf).collect()}
     assert found == pytest.approx({k: sum(want[k[0], i] for i in range(k[1], k[2] + 1)) for k in found}, abs=1e-4) and found
+
+
+def test_subjects_are_judged_apart(spark):
+    """Quality control, permutations and group tests of two at once are those of each alone, though trials have the same numbers."""
+    rng = np.random.default_rng(2)
+    data = []
+    for subject, scale in (("s1", 1.0), ("s2", 40.0)):
+        x = rng.normal(size=(20, 4, 5)) * scale
+        x[3] *= 9
+        x[:, 2] *= 1 + np.arange(20)[:, None]
+        data += [(subject, i, f, t, "AB"[i % 2], None if rng.random() < 0.02 else float(x[i, f, t])) for i in range(20) for f in range(4) for t in range(5)]
+    both = spark.createDataFrame(data, "subject string, trial int, feature int, t_idx int, condition string, v double")
+    options = dict(mean_factor=2.0, max_factor=2.0, spread_factor=1.0, most_missing=0.5)
+
+    def rows(df, *columns):
+        return sorted(tuple(str(round(x, 9) if isinstance(x, float) else x) for x in r) for r in df.select(*columns).collect())
+
+    cell, seen = ("subject", "trial", "feature", "t_idx", "v"), []
+    for subject in ("s1", "s2"):
+        alone = pipelines.clean_epochs(both.where(F.col("subject") == subject), **options)
+        seen += rows(alone, *cell)
+    assert rows(pipelines.clean_epochs(both, by=["subject"], **options), *cell) == sorted(seen)
+    assert any(r[-1] == "None" for r in seen) and len({r[:1] + r[2:3] for r in seen}) < 8
+    maps, seen = ("subject", "perm", "feature", "t_idx", "v"), []
+    for subject in ("s1", "s2"):
+        seen += rows(pipelines.permutation_maps(both.where(F.col("subject") == subject), 3).withColumn("subject", F.lit(subject)), *maps)
+    assert rows(pipelines.permutation_maps(both, 3, by=["subject"]), *maps) == sorted(seen)
+    given = both.select(F.col("condition").alias("contrast"), F.col("feature").cast("string").alias("roi"), "subject", F.col("trial").cast("string").alias("channel"), "t_idx", (F.col("v") + 0.4).alias("v"))
+    for method, columns in (("fdr", ("roi", "t_idx", "p_corr", "significant")), ("cluster", ("roi", "start", "end", "p_cluster", "significant"))):
+        seen = []
+        for contrast in "AB":
+            seen += rows(pipelines.group_test(given.where(F.col("contrast") == contrast), method, n_iter=20).withColumn("contrast", F.lit(contrast)), "contrast", *columns)
+        assert rows(pipelines.group_test(given, method, n_iter=20, by=["contrast"]), "contrast", *columns) == sorted(seen)

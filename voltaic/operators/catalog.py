@@ -69,11 +69,9 @@ def normal_subject(value: Column) -> Column:
 
 
 def build_name(found: Column, suffix_: Column, extension_: Column) -> Column:
-    """A file name of a map of entities: known ones in the fixed order, then others by name."""
+    """A file name of a map of entities, in the fixed order; entities outside it have no place in a name."""
     known = F.array(*(F.concat(F.lit(f"{k}-"), F.try_element_at(found, F.lit(k))) for k in ORDER))
-    others = F.transform(F.array_sort(F.filter(F.map_keys(found), lambda k: ~k.isin(*ORDER))), lambda k: F.concat(k, F.lit("-"), F.try_element_at(found, k)))
-    parts = F.filter(F.concat(known, others), lambda x: x.isNotNull())
-    return F.concat(F.array_join(F.concat(parts, F.array(suffix_)), "_"), extension_)
+    return F.concat(F.array_join(F.filter(known, lambda x: x.isNotNull()), "_"), F.lit("_"), suffix_, extension_)
 
 
 def _mask(keys: tuple[str, ...]) -> Column:

@@ -86,13 +86,13 @@ def normalise(df: DataFrame, by: Keys, mode: str = "percent", time: str = "t_idx
     return rows.withColumn("norm", out).drop("_i", "_q")
 
 
-def mask_trials(df: DataFrame, feature: str = "feature", trial: str = "trial", value: str = "v", by: str = "mean", factor: float = 3.0) -> DataFrame:
-    """``masked``: (trial, feature) whose mean (or largest absolute value) is over ``factor`` deviations from the feature's mean of them."""
+def mask_trials(df: DataFrame, feature: str = "feature", trial: str = "trial", value: str = "v", by: str = "mean", factor: float = 3.0, subject: Keys = ()) -> DataFrame:
+    """``masked``: (subject, trial, feature) whose mean (or largest absolute value) is over ``factor`` deviations from the mean of them of the subject's feature."""
     summary = F.avg(value) if by == "mean" else F.max(F.abs(value))
-    s = df.groupBy(trial, feature).agg(summary.alias("summary"))
-    ref = s.groupBy(feature).agg(F.avg("summary").alias("_m"), F.stddev_samp("summary").alias("_s"))
+    s = df.groupBy(*subject, trial, feature).agg(summary.alias("summary"))
+    ref = s.groupBy(*subject, feature).agg(F.avg("summary").alias("_m"), F.stddev_samp("summary").alias("_s"))
     far = (F.col("_s") > 0) & (F.abs(F.col("summary") - F.col("_m")) > factor * F.col("_s"))
-    return s.join(ref, feature).select(trial, feature, "summary", F.coalesce(far, F.lit(False)).alias("masked"))
+    return s.join(ref, [*subject, feature]).select(*subject, trial, feature, "summary", F.coalesce(far, F.lit(False)).alias("masked"))
 
 
 def apply_mask(df: DataFrame, mask: DataFrame, keys: Keys, value: str = "v") -> DataFrame:
@@ -101,20 +101,21 @@ def apply_mask(df: DataFrame, mask: DataFrame, keys: Keys, value: str = "v") ->
     return df.join(m, list(keys), "left").withColumn(value, F.when(F.col("_x").isNull(), F.col(value))).drop("_x")
 
 
-def spread_outliers(df: DataFrame, feature: str = "feature", trial: str = "trial", value: str = "v", by: str = "mean", factor: float = 1.0) -> DataFrame:
-    """Features whose spread of trial means (or of largest values) over trials is ``factor`` deviations from the features' mean spread."""
+def spread_outliers(df: DataFrame, feature: str = "feature", trial: str = "trial", value: str = "v", by: str = "mean", factor: float = 1.0, subject: Keys = ()) -> DataFrame:
+    """Features whose spread of trial means (or of largest values) over trials is ``factor`` deviations from the mean spread of the (subject's) features."""
     summary = F.avg(value) if by == "mean" else F.max(value)
-    spread = df.groupBy(feature, trial).agg(summary.alias("_s")).groupBy(feature).agg(F.stddev_samp("_s").alias("spread"))
-    # One row; features are few against values.
-    ref = spread.agg(F.avg("spread").alias("_m"), F.stddev_samp("spread").alias("_d"), F.count("spread").alias("_n"))
-    far = (F.col("_n") >= 2) & (F.col("_d") > 0) & (F.abs(F.col("spread") - F.col("_m")) > factor * F.col("_d"))
-    return spread.join(F.broadcast(ref.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k")).select(feature, "spread", F.coalesce(far, F.lit(False)).alias("excluded"))
-
-
-def missing_ratio(df: DataFrame, feature: str = "feature", trial: str = "trial", value: str = "v", most: float = 0.5) -> DataFrame:
-    """Features with a share of trials with any missing sample of ``most`` or more."""
-    any_missing = df.groupBy(feature, trial).agg(F.max(F.col(value).isNull().cast("int")).alias("_x"))
-    return any_missing.groupBy(feature).agg(F.avg("_x").alias("ratio")).withColumn("excluded", F.col("ratio") >= most)
+    spread = df.groupBy(*subject, feature, trial).agg(summary.alias("_s")).groupBy(*subject, feature).agg(F.stddev_samp("_s").alias("spread"))
+    # A window over a subject's features, which are few against values.
+    w = Window.partitionBy(*subject)
+    m, d, n = F.avg("spread").over(w), F.stddev_samp("spread").over(w), F.count("spread").over(w)
+    far = (n >= 2) & (d > 0) & (F.abs(F.col("spread") - m) > factor * d)
+    return spread.select(*subject, feature, "spread", F.coalesce(far, F.lit(False)).alias("excluded"))
+
+
+def missing_ratio(df: DataFrame, feature: str = "feature", trial: str = "trial", value: str = "v", most: float = 0.5, subject: Keys = ()) -> DataFrame:
+    """Features (of a subject) with a share of trials with any missing sample of ``most`` or more."""
+    any_missing = df.groupBy(*subject, feature, trial).agg(F.max(F.col(value).isNull().cast("int")).alias("_x"))
+    return any_missing.groupBy(*subject, feature).agg(F.avg("_x").alias("ratio")).withColumn("excluded", F.col("ratio") >= most)
 
 
 def activity_to_response(df: DataFrame, responses: DataFrame, by: Keys, tmax: float, time: str = "time_s", value: str = "v", clamp: bool = True, trial: str = "trial") -> DataFrame:

@@ -1,7 +1,7 @@
 """Cluster tests over contributions of regions.
 
-Contributions are rows (roi, subject, channel, t_idx, v); stored permutations have a column perm besides. Every null iteration is made at contribution
-level by hashes, so nothing but (iteration, contribution) is exploded before values are joined, and what remains of an iteration is one number a region.
+Contributions are rows (roi, subject, channel, t_idx, v); stored permutations have a column perm besides. Null iterations are made inside tasks as arrays
+(``nulls``), so what leaves them is one number a region and iteration.
 """
 
 from __future__ import annotations
@@ -11,18 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resample import cluster_pvalue, grid_clusters, sign_flips, temporal_clusters
+from .nulls import group_null
+from .resample import cluster_pvalue, grid_clusters, temporal_clusters
 from .stats import one_sample_t
 
 UNIT = ("subject", "channel")
 
 
-def _largest(clusters: DataFrame, every: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Largest |t_sum| of each map, 0 for maps without a cluster."""
-    most = clusters.groupBy(*by).agg(F.max(F.abs("t_sum")).alias("null"))
-    return every.select(*by).distinct().join(most, list(by), "left").withColumn("null", F.coalesce("null", F.lit(0.0)))
-
-
 def draw_permutations(perms: DataFrame, n_iter: int, seed: int = 41, roi: str = "roi", unit: Sequence[str] = UNIT) -> DataFrame:
     """For each iteration one stored permutation of each contribution: its rows, with a column iter."""
     stored = perms.groupBy(roi, *unit).agg(F.max("perm").alias("_p"))
@@ -30,25 +25,21 @@ def draw_permutations(perms: DataFrame, n_iter: int, seed: int = 41, roi: str =
     return perms.withColumn("perm", F.col("perm").cast("int")).join(picks, [roi, *unit, "perm"])
 
 
-def null_of_permutations(perms: DataFrame, n_iter: int, alpha: float = 0.05, roi: str = "roi") -> DataFrame:
-    """(roi, iter, null): largest cluster of the one-sample test of drawn permutations."""
-    t = one_sample_t(draw_permutations(perms, n_iter, roi=roi), [roi, "iter", "t_idx"], p=True)
-    return _largest(temporal_clusters(t, [roi, "iter"], alpha), t, [roi, "iter"])
+def null_of_permutations(perms: DataFrame, n_iter: int, alpha: float = 0.05, roi: str = "roi", unit: Sequence[str] = UNIT) -> DataFrame:
+    """(roi, iter, null): largest cluster of the one-sample test of permutations that are drawn from each contribution's stored ones."""
+    return group_null(perms.select(roi, F.xxhash64(*unit).alias("unit"), "perm", "t_idx", "v"), n_iter, [roi], alpha=alpha)
 
 
 def null_of_paired_permutations(perms_a: DataFrame, perms_b: DataFrame, n_iter: int, alpha: float = 0.05, roi: str = "roi", unit: Sequence[str] = UNIT) -> DataFrame:
-    """As above, for differences of independent draws of two conditions."""
-    a = draw_permutations(perms_a, n_iter, 43, roi, unit).select(roi, *unit, "iter", "t_idx", F.col("v").alias("_a"))
-    b = draw_permutations(perms_b, n_iter, 47, roi, unit).select(roi, *unit, "iter", "t_idx", F.col("v").alias("_b"))
-    t = one_sample_t(a.join(b, [roi, *unit, "iter", "t_idx"]).withColumn("v", F.col("_a") - F.col("_b")), [roi, "iter", "t_idx"], p=True)
-    return _largest(temporal_clusters(t, [roi, "iter"], alpha), t, [roi, "iter"])
+    """As above, for differences of independent draws of two conditions; a contribution that one of them lacks is left out."""
+    keys = [roi, *unit, "perm", "t_idx"]
+    both = perms_a.select(*keys, F.col("v")).join(perms_b.select(*keys, F.col("v").alias("v_b")), keys, "full")
+    return group_null(both.withColumn("unit", F.xxhash64(*unit)), n_iter, [roi], alpha=alpha)
 
 
 def null_of_sign_flips(rows: DataFrame, n_iter: int, alpha: float = 0.05, roi: str = "roi", unit: Sequence[str] = UNIT) -> DataFrame:
     """As above, for contributions whose sign is dealt anew in each iteration."""
-    flipped = sign_flips(rows.withColumn("_u", F.concat_ws("|", roi, *unit)), n_iter, "_u").withColumn("v", F.col("v") * F.col("sign")).withColumnRenamed("perm", "iter")
-    t = one_sample_t(flipped, [roi, "iter", "t_idx"], p=True)
-    return _largest(temporal_clusters(t, [roi, "iter"], alpha), t, [roi, "iter"])
+    return group_null(rows.select(roi, F.xxhash64(*unit).alias("unit"), "t_idx", "v"), n_iter, [roi], alpha=alpha, flip=True)
 
 
 def cluster_test(rows: DataFrame, null: DataFrame, alpha: float = 0.05, keep: int | None = None, roi: str = "roi") -> DataFrame:

@@ -14,18 +14,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shuffled_labels(trials: DataFrame, n_perm: int, trial: str = "trial", condition: str = "condition", order: Column | None = None) -> DataFrame:
-    """(perm, trial, condition): the trials' labels dealt anew in each permutation, by a hash order (or ``order``, of columns perm and trial)."""
+def shuffled_labels(trials: DataFrame, n_perm: int, trial: str = "trial", condition: str = "condition", order: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, perm, trial, condition): each subject's (``by``) labels dealt anew to its trials in each permutation, by a hash order (or ``order``, of columns perm and trial)."""
+    by = list(by)
     every = trials.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     order = F.xxhash64(F.lit(17), "perm", trial) if order is None else order
-    old = every.withColumn("_k", F.row_number().over(Window.partitionBy("perm").orderBy(trial))).select("perm", "_k", condition)
-    new = every.withColumn("_k", F.row_number().over(Window.partitionBy("perm").orderBy(order, trial))).select("perm", "_k", trial)
-    return new.join(old, ["perm", "_k"]).drop("_k")
+    old = every.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "perm").orderBy(trial))).select(*by, "perm", "_k", condition)
+    new = every.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "perm").orderBy(order, trial))).select(*by, "perm", "_k", trial)
+    return new.join(old, [*by, "perm", "_k"]).drop("_k")
 
 
-def permuted(values: DataFrame, dealt: DataFrame, trial: str = "trial", condition: str = "condition") -> DataFrame:
+def permuted(values: DataFrame, dealt: DataFrame, trial: str = "trial", condition: str = "condition", by: Sequence[str] = ()) -> DataFrame:
     """Values of all permutations, with the dealt labels in place of their own."""
-    return values.drop(condition).join(dealt, trial)
+    return values.drop(condition).join(dealt, [*by, trial])
 
 
 def permuted_t(values: DataFrame, dealt: DataFrame, keys: Sequence[str], trial: str = "trial", condition: str = "condition", value: str = "v", a: str = "A", b: str = "B", blocks: int = 32, by: Sequence[str] = ()) -> DataFrame:

@@ -228,6 +228,14 @@ def file_name_build(spark: SparkSession, d: str) -> DataFrame:
     return f.select("event_id", ct.build_name(F.col("entities"), F.col("suffix"), F.col("extension")).alias("name"))
 
 
+@query(f"WITH {_PATHS} SELECT event_id, parse_filename(path) AS name FROM f")
+def file_name_unknown_entity(spark: SparkSession, d: str) -> DataFrame:
+    """An entity outside the fixed order leaves the name as it was."""
+    f = ct.with_entities(_paths(spark, d))
+    more = F.map_concat("entities", F.create_map(F.lit("zz"), F.col("event_id").cast("string")))
+    return f.select("event_id", ct.build_name(more, F.col("suffix"), F.col("extension")).alias("name"))
+
+
 @query(f"WITH {_PATHS}, s AS (SELECT (u % 20)::VARCHAR AS sub, path FROM f) SELECT sub, min(path) AS \"primary\", count(*) AS n_files FROM s GROUP BY sub")
 def subject_groups(spark: SparkSession, d: str) -> DataFrame:
     return ct.subject_groups(ct.with_entities(_paths(spark, d)))

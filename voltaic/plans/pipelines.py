@@ -44,15 +44,15 @@ def time_frequency(epochs: DataFrame, samples: str = "samples", frequencies: Seq
     return rows.withColumn("frequency", F.get(F.array(*(F.lit(float(f)) for f in wanted)), F.col("f_idx"))).drop("_n", "_i")
 
 
-def clean_epochs(epochs: DataFrame, mean_factor: float | None = 3.0, max_factor: float | None = 3.0, spread_factor: float | None = None, most_missing: float | None = None) -> DataFrame:
-    """Quality control in order: trials' outlying means, then largest values, then features by spread and by missing trials."""
-    out = epochs
-    if mean_factor:
-        out = ep.apply_mask(out, ep.mask_trials(out, by="mean", factor=mean_factor), ["trial", "feature"])
-    if max_factor:
-        out = ep.apply_mask(out, ep.mask_trials(out, by="max", factor=max_factor), ["trial", "feature"])
-    for bad in ([ep.spread_outliers(out, factor=spread_factor)] if spread_factor else []) + ([ep.missing_ratio(out, most=most_missing)] if most_missing else []):
-        out = out.join(bad.where("excluded").select("feature"), "feature", "left_anti")
+def clean_epochs(epochs: DataFrame, mean_factor: float | None = 3.0, max_factor: float | None = 3.0, spread_factor: float | None = None, most_missing: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Quality control in order: trials' outlying means, then largest values, then features by spread and by missing trials. Each subject (``by``) is judged by its own trials."""
+    out, by = epochs, list(by)
+    for factor, summary in ((mean_factor, "mean"), (max_factor, "max")):
+        if factor:
+            out = ep.apply_mask(out, ep.mask_trials(out, by=summary, factor=factor, subject=by), [*by, "trial", "feature"])
+    bad = ([ep.spread_outliers(out, factor=spread_factor, subject=by)] if spread_factor else []) + ([ep.missing_ratio(out, most=most_missing, subject=by)] if most_missing else [])
+    for b in bad:
+        out = out.join(b.where("excluded").select(*by, "feature"), [*by, "feature"], "left_anti")
     return out
 
 
@@ -97,20 +97,30 @@ def contributions(results: DataFrame, region_map: DataFrame, value: str) -> Data
     return results.join(region_map, ["subject", "channel"]).select("roi", "subject", "channel", "t_idx", F.col(value).alias("v"))
 
 
-def group_test(rows: DataFrame, method: str = "fdr", min_channels: int = 1, min_subjects: int = 1, n_iter: int = 1000, alpha: float = 0.05, perms: DataFrame | None = None) -> DataFrame:
-    """Regions against 0 over time. ``method``: a correction of samples over the whole (roi, time) map, or ``cluster`` with stored permutations or sign flips."""
-    keep = groups.region_thresholds(rows, min_channels, min_subjects, region="roi").where("excluded is null").select("roi")
-    rows = rows.join(keep, "roi", "left_semi")
+def group_test(rows: DataFrame, method: str = "fdr", min_channels: int = 1, min_subjects: int = 1, n_iter: int = 1000, alpha: float = 0.05, perms: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Regions against 0 over time. ``method``: a correction of samples over the whole (roi, time) map, or ``cluster`` with stored permutations or sign flips.
+
+    ``by``: contrasts (or other analyses) that have thresholds, maps, nulls and corrections of their own.
+    """
+    by = list(by)
+    rows = rows.withColumn("_roi", F.struct(*by, "roi"))
+    keep = groups.region_thresholds(rows, min_channels, min_subjects, region="_roi").where("excluded is null").select("_roi")
+    rows = rows.join(keep, "_roi", "left_semi")
     if method != "cluster":
-        return significant(correct(stats.one_sample_t(rows, ["roi", "t_idx"], p=True), method), alpha)
-    null = group_tests.null_of_permutations(perms, n_iter, alpha) if perms is not None else group_tests.null_of_sign_flips(rows, n_iter, alpha)
-    return group_tests.cluster_test(rows, null, alpha).withColumn("significant", F.col("p_cluster") < alpha)
+        return significant(correct(stats.one_sample_t(rows.drop("_roi"), [*by, "roi", "t_idx"], p=True), method, by), alpha)
+    if perms is not None:
+        null = group_tests.null_of_permutations(perms.withColumn("_roi", F.struct(*by, "roi")).join(keep, "_roi", "left_semi"), n_iter, alpha, "_roi")
+    else:
+        null = group_tests.null_of_sign_flips(rows, n_iter, alpha, "_roi")
+    found = group_tests.cluster_test(rows, null, alpha, roi="_roi").withColumn("significant", F.col("p_cluster") < alpha)
+    return found.select(*(F.col("_roi")[c].alias(c) for c in (*by, "roi")), *(c for c in found.columns if c != "_roi"))
 
 
-def permutation_maps(epochs: DataFrame, n_perm: int, keys: Sequence[str] = CELL) -> DataFrame:
-    """t maps of dealt labels, to be stored beside a subject's result for the group's null."""
-    dealt = resample.shuffled_labels(epochs.select("trial", "condition").distinct(), n_perm)
-    return stats.two_sample_t(resample.permuted(epochs, dealt), ["perm", *keys]).select("perm", *keys, F.col("t").alias("v"))
+def permutation_maps(epochs: DataFrame, n_perm: int, keys: Sequence[str] = CELL, by: Sequence[str] = ()) -> DataFrame:
+    """t maps of dealt labels (of each subject, ``by``), to be stored beside a subject's result for the group's null."""
+    by = list(by)
+    dealt = resample.shuffled_labels(epochs.select(*by, "trial", "condition").distinct(), n_perm, by=by)
+    return stats.two_sample_t(resample.permuted(epochs, dealt, by=by), [*by, "perm", *keys]).select(*by, "perm", *keys, F.col("t").alias("v"))
 
 
 def run(inputs: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain, records, signals, statistics, whole
+from . import domain, nulls, records, signals, statistics, whole
 
-QUERIES = {**statistics.QUERIES, **domain.QUERIES, **signals.QUERIES, **whole.QUERIES, **records.QUERIES}
-SQL = {**statistics.SQL, **domain.SQL, **signals.SQL, **whole.SQL, **records.SQL}
+QUERIES = {**statistics.QUERIES, **domain.QUERIES, **signals.QUERIES, **whole.QUERIES, **records.QUERIES, **nulls.QUERIES}
+SQL = {**statistics.SQL, **domain.SQL, **signals.SQL, **whole.SQL, **records.SQL, **nulls.SQL}
