@@ -66,15 +66,6 @@ def band_gain(n: int, fs: float, low: float, high: float, skirt: float = 0.5) ->
     return np.interp(f, [low - skirt, low + skirt, high - skirt, high + skirt], [0.0, 1.0, 1.0, 0.0], left=0.0, right=0.0)
 
 
-def notch(x: np.ndarray, fs: float, frequencies: list[float], width: float = 1.0) -> np.ndarray:
-    """Without narrow bands around the frequencies (those at Nyquist and above are left out)."""
-    spectrum, f = np.fft.rfft(x), np.fft.rfftfreq(len(x), 1 / fs)
-    for c in frequencies:
-        if c < fs / 2:
-            spectrum[np.abs(f - c) <= width / 2] = 0
-    return np.fft.irfft(spectrum, len(x))
-
-
 def envelopes(x: np.ndarray, fs: float, bins: list[tuple[float, float]]) -> np.ndarray:
     """Amplitude of each band over time: one transform of the signal, one inverse transform for all bands together."""
     n = len(x)
@@ -105,9 +96,16 @@ def resample(x: np.ndarray, up: int, down: int, half: int = 10, beta: float = 5.
     k = np.arange(-half * most, half * most + 1)
     taps = np.sinc(k / most) / most * np.kaiser(len(k), beta)
     taps *= up / taps.sum()
-    wide = np.zeros(len(x) * up)
-    wide[::up] = x
-    return np.convolve(wide, taps)[half * most : half * most + len(wide) : down]
+    # Output j is at j * down on the finer grid, where only every up-th sample is there: of the taps too only those are used.
+    at = np.arange(-(-len(x) * up // down)) * down + half * most
+    out = np.empty(len(at))
+    for phase in range(up):
+        mine = np.flatnonzero(at % up == phase)
+        used = taps[phase::up]
+        wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(len(used) - 1), x, np.zeros(len(used))]), len(used))
+        for part in np.array_split(mine, max(1, len(mine) // 16_384)):
+            out[part] = wide[at[part] // up] @ used[::-1]
+    return out
 
 
 def band_envelope(x: np.ndarray, fs: float, low: float, high: float, step: float, smooth_ms: float, fs_out: int, normalise_first: bool = False) -> np.ndarray:
@@ -126,38 +124,82 @@ def band_envelope(x: np.ndarray, fs: float, low: float, high: float, step: float
 
 @lru_cache(maxsize=256)
 def dpss(n: int, half_bandwidth: float, k: int) -> np.ndarray:
-    """The first k discrete prolate spheroidal sequences: eigenvectors of a tridiagonal matrix, of unit energy."""
+    """The first k discrete prolate spheroidal sequences, of unit energy: eigenvectors of a tridiagonal matrix, by bisection for its k largest eigenvalues and inverse iteration."""
     i = np.arange(n)
-    w = half_bandwidth / n
-    matrix = np.diag(((n - 1 - 2 * i) / 2) ** 2 * np.cos(2 * np.pi * w)) + np.diag(i[1:] * (n - i[1:]) / 2, 1) + np.diag(i[1:] * (n - i[1:]) / 2, -1)
-    _, vectors = np.linalg.eigh(matrix)
-    out = vectors[:, ::-1][:, :k].T.copy()
-    for j, v in enumerate(out):  # symmetric ones have a positive mean, others begin upwards
-        if (v.sum() if j % 2 == 0 else v[np.argmax(np.abs(v) > 1e-7)]) < 0:
-            out[j] = -v
+    diagonal = ((n - 1 - 2 * i) / 2) ** 2 * np.cos(2 * np.pi * half_bandwidth / n)
+    beside = i[1:] * (n - i[1:]) / 2
+    reach = np.append(beside, 0) + np.append(0, beside)
+    low, high = np.full(k, (diagonal - reach).min()), np.full(k, (diagonal + reach).max())
+    squares, tiny = np.append(0, beside**2), np.finfo(float).tiny
+    for _ in range(80):
+        middle, above = (low + high) / 2, np.zeros(k, int)
+        q = np.ones(k)
+        for d, e in zip(diagonal, squares, strict=True):  # signs of the pivots of the matrix less the middle
+            q = d - middle - e / np.where(q == 0, tiny, q)
+            above += q > 0
+        more = above > np.arange(k)
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    out = np.empty((k, n))
+    for j, value in enumerate((low + high) / 2):
+        v = np.random.default_rng(j).normal(size=n)
+        for _ in range(4):
+            v = _solve_tridiagonal(diagonal - value, beside, v)
+            for u in out[:j]:
+                v = v - (v @ u) * u
+            v /= np.linalg.norm(v)
+        # Symmetric ones have a positive mean, others begin upwards.
+        out[j] = -v if (v.sum() if j % 2 == 0 else v[np.argmax(np.abs(v) > 1e-7)]) < 0 else v
     return out
 
 
+def _solve_tridiagonal(diagonal: np.ndarray, beside: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """By elimination with row exchanges; pivots of zero are nudged, as inverse iteration wants."""
+    n = len(diagonal)
+    a, b, c, r = diagonal.tolist(), [*beside.tolist(), 0.0], [0.0] * n, right.tolist()
+    tiny = np.finfo(float).eps * float(np.abs(diagonal).max() + (np.abs(beside).max() if len(beside) else 0))
+    for i in range(n - 1):
+        below = float(beside[i])
+        if abs(below) > abs(a[i]):
+            factor = a[i] / below
+            a[i], b[i], a[i + 1], c[i], b[i + 1], r[i], r[i + 1] = below, a[i + 1], b[i] - factor * a[i + 1], b[i + 1], -factor * b[i + 1], r[i + 1], r[i] - factor * r[i + 1]
+        else:
+            a[i] = a[i] or tiny
+            factor = below / a[i]
+            a[i + 1] -= factor * b[i]
+            r[i + 1] -= factor * r[i]
+    out = [0.0] * (n + 2)
+    for i in range(n - 1, -1, -1):
+        out[i] = (r[i] - b[i] * out[i + 1] - c[i] * out[i + 2]) / (a[i] if abs(a[i]) > tiny else tiny)
+    return np.array(out[:n])
+
+
 def n_tapers(window_s: float, smoothing_hz: float) -> int:
     return max(1, int(math.floor(2 * window_s * smoothing_hz - 1)))
 
 
+@lru_cache(maxsize=1024)
+def taper_spectra(size: int, fs: float, f: float, m: int, half_bandwidth: float, k: int) -> np.ndarray:
+    """Spectra of ``size`` points of the tapered waves of one frequency, turned around so that a product with a spectrum correlates."""
+    wave = np.exp(-2j * np.pi * f * (np.arange(m) - (m - 1) / 2) / fs)
+    return np.fft.fft((dpss(m, half_bandwidth, k) * wave)[:, ::-1], size, axis=1)
+
+
 def multitaper_db(x: np.ndarray, fs: float, frequencies: list[float], window_s: float, smoothing_hz: float, step: int = 1) -> np.ndarray:
-    """Power in dB (frequency, time), the mean over tapers; NaN where a window leaves the epoch."""
+    """Power in dB (frequency, time), the mean over tapers; NaN where a window leaves the epoch. One transform of the epoch, and an inverse one for each frequency's tapers."""
     n = len(x)
     m = int(np.rint(window_s * fs))
-    tapers = dpss(m, window_s * smoothing_hz, n_tapers(window_s, smoothing_hz))
     at = np.arange(0, n, step)
     out = np.full((len(frequencies), len(at)), np.nan)
     whole = (at - m // 2 >= 0) & (at - m // 2 + m <= n)
     if not whole.any():
         return out
-    windows = np.lib.stride_tricks.sliding_window_view(x - np.nanmean(x), m)[at[whole] - m // 2]
-    t = (np.arange(m) - (m - 1) / 2) / fs
+    size = 1 << (n + m - 2).bit_length()
+    spectrum = np.fft.fft(x - np.nanmean(x), size)
+    # A window's correlation ends up where its last sample is.
+    ends = at[whole] - m // 2 + m - 1
     for i, f in enumerate(frequencies):
-        kernel = tapers * np.exp(-2j * np.pi * f * t)
-        power = (np.abs(windows @ kernel.T) ** 2).mean(axis=1) * 2 / n
-        out[i, whole] = 10 * np.log10(np.maximum(power, 1e-20))
+        waves = np.fft.ifft(spectrum * taper_spectra(size, fs, f, m, window_s * smoothing_hz, n_tapers(window_s, smoothing_hz)), axis=1)[:, ends]
+        out[i, whole] = 10 * np.log10(np.maximum((np.abs(waves) ** 2).mean(axis=0) * 2 / n, 1e-20))
     return out
 
 

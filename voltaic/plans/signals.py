@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detection, dsp
+from ..operators import detection, dsp, filters
 from . import pipelines
 from .tables import read, rounded
 
@@ -17,6 +17,11 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
 
 
+def _event_segments(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select(F.expr("event_id DIV 1000 * 1000").alias("first"), F.struct("event_id", F.coalesce("value", F.lit(0.0)).alias("v")).alias("s"))
+    return e.groupBy("first").agg(F.array_sort(F.collect_list("s")).alias("s")).select(F.lit("events").alias("recording"), "first", F.transform("s", lambda x: x["v"]).alias("samples"))
+
+
 def query(sql: str | None = None):
     """Register a query under its name with its SQL."""
 
@@ -52,6 +57,21 @@ def hilbert_envelope(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("vec_id", F.posexplode("envelope").alias("pos", "value")))
 
 
+@query()
+def envelope_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Envelopes by the grid's filters, smoothed over three windows and centred."""
+    variant = filters.Envelope((20.0, 30.0, 40.0, 50.0, 60.0), 128, (0, 16, 40), centred=True)
+    out = filters.envelopes(_signals(spark, d), "samples", 256.0, variant)
+    return rounded(out.select("vec_id", "smooth_ms", F.posexplode("envelope").alias("pos", "value")))
+
+
+@query()
+def notch_events(spark: SparkSession, d: str) -> DataFrame:
+    """The values of all events as one long recording, without 50 and 100 Hz, in chunks."""
+    out = filters.notch(_event_segments(spark, d), ["recording"], 256.0, [50.0, 100.0], size=4096)
+    return rounded(out.select("recording", "first", F.posexplode("samples").alias("pos", "value")))
+
+
 @query()
 def multitaper_power(spark: SparkSession, d: str) -> DataFrame:
     out = dsp.map_arrays(_signals(spark, d), "samples", "power", lambda x: dsp.multitaper_db(x, 64.0, [8.0, 12.0, 16.0, 20.0], 0.5, 4.0, 4).reshape(-1))
@@ -86,10 +106,8 @@ def hfo_detect(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def event_detections(spark: SparkSession, d: str) -> DataFrame:
     """The values of all events, by their numbers, as one long recording in segments of a thousand, cut into chunks; the threshold is automatic."""
-    e = read(spark, d, "events").select(F.expr("event_id DIV 1000 * 1000").alias("first"), F.struct("event_id", F.coalesce("value", F.lit(0.0)).alias("v")).alias("s"))
-    segments = e.groupBy("first").agg(F.array_sort(F.collect_list("s")).alias("s")).select(F.lit("events").alias("recording"), "first", F.transform("s", lambda x: x["v"]).alias("samples"))
     settings = detection.Settings(256.0, bands=((12.0, 64.0),), threshold=None, alpha=0.2)
-    return rounded(detection.detect(segments, ["recording"], settings, size=4096))
+    return rounded(detection.detect(_event_segments(spark, d), ["recording"], settings, size=4096))
 
 
 @query("""WITH g AS (SELECT vec_id, (i - 1) // 8 AS s, (i - 1) % 8 AS t, embedding[i]::DOUBLE * embedding[i]::DOUBLE AS p FROM embeddings, range(1, 65) AS r(i)),
