@@ -363,16 +363,24 @@ def stable_json(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", tx.stable_json(m).alias("inputs"))
 
 
-@query("SELECT (4 * pow(2, i::DOUBLE / 10)) AS raw, round_even(4 * pow(2, i::DOUBLE / 10) * 2, 0) / 2 AS frequency, i::BIGINT AS i FROM range(0, 58) AS g(i)".replace("(4 * pow(2, i::DOUBLE / 10)) AS raw, ", ""))
+@query("SELECT c_custkey, round_even(4 * pow(2, (c_custkey % 58)::DOUBLE / 10) * (1 + c_custkey % 4), 0) / (1 + c_custkey % 4) AS frequency FROM customer")
 def freq_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Log-spaced frequencies, snapped to those that epochs of two seconds resolve."""
-    return spark.range(58).select(F.col("id").alias("i"), (half_even(4.0 * F.pow(F.lit(2.0), F.col("id") / F.lit(10.0)) * 2.0) / 2.0).alias("frequency"))
+    """A log-spaced frequency of each customer, snapped to those that its epoch, of one to four seconds, resolves."""
+    k = F.col("c_custkey")
+    seconds = (1 + k % 4).cast("double")
+    return read(spark, d, "customer").select("c_custkey", (half_even(4.0 * F.pow(F.lit(2.0), (k % 58) / F.lit(10.0)) * seconds) / seconds).alias("frequency"))
 
 
-@query("SELECT (i - 20)::BIGINT AS i, (i - 20)::DOUBLE / 100 AS time_s FROM range(0, 71) AS g(i)")
+@query("""WITH s AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 50 WHEN 1 THEN 100 ELSE 250 END AS fs FROM supplier)
+ SELECT s_suppkey, i::BIGINT AS i, i::DOUBLE / fs AS time_s FROM s, range(-50, 126) AS g(i) WHERE i BETWEEN -fs // 5 AND fs // 2""")
 def time_axis(spark: SparkSession, d: str) -> DataFrame:
-    axis = spark.range(1).select(F.posexplode(ep.time_axis(100.0, -0.2, 0.5)).alias("i", "time_s"))
-    return axis.select((F.col("i") - 20).cast("long").alias("i"), "time_s")
+    """Each supplier's axis from a fifth of a second before to half a second after, at its rate."""
+    first = {50: 10, 100: 20, 250: 50}
+    fs = F.when(F.col("s_suppkey") % 3 == 0, 50).when(F.col("s_suppkey") % 3 == 1, 100).otherwise(250)
+    axis = F.when(fs == 50, ep.time_axis(50.0, -0.2, 0.5)).when(fs == 100, ep.time_axis(100.0, -0.2, 0.5)).otherwise(ep.time_axis(250.0, -0.2, 0.5))
+    rows = read(spark, d, "supplier").select("s_suppkey", fs.alias("fs"), F.posexplode(axis).alias("i", "time_s"))
+    before = F.when(F.col("fs") == 50, first[50]).when(F.col("fs") == 100, first[100]).otherwise(first[250])
+    return rows.select("s_suppkey", (F.col("i") - before).cast("long").alias("i"), "time_s")
 
 
 # Further trials, windows and names

@@ -351,6 +351,13 @@ def tf_clusters(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rs.grid_clusters(p, "label", 0.4, "feature", "t_idx"))
 
 
+#: Cells that a cell reaches, and of these the first: a number for each part.
+SQL["tf_clusters"] = f"""WITH RECURSIVE {EPOCHS} {_P}, m AS (SELECT label, feature AS f, t_idx AS t, p FROM p WHERE p <= 0.4),
+ r AS (SELECT label, f, t, f * 8 + t AS root FROM m UNION SELECT m.label, m.f, m.t, r.root FROM r JOIN m ON m.label = r.label AND abs(m.f - r.f) <= 1 AND abs(m.t - r.t) <= 1),
+ k AS (SELECT label, f, t, min(root) AS root FROM r GROUP BY ALL)
+ SELECT k.label, count(*) AS n_cells, round(sum(1 - p), 6) AS t_sum FROM k JOIN m ON k.label = m.label AND k.f = m.f AND k.t = m.t GROUP BY k.label, root"""
+
+
 @query(""", t AS (SELECT trial, any_value(x) AS x, avg(v) AS y FROM e GROUP BY trial),
  b AS (SELECT i, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3, min(x) AS q0, max(x) AS q4 FROM t, range(4) AS g(i) GROUP BY i)
  SELECT i AS bin, round(avg(y), 6) AS mean, count(y) AS n FROM t, b WHERE x BETWEEN [q0, q1, q2, q3, q4][i + 1] AND [q0, q1, q2, q3, q4][i + 2] GROUP BY i""")
