@@ -43,6 +43,8 @@ _LOW48 = np.uint64((1 << 48) - 1)
 _SIGN = np.uint64((1 << 63) - 1)
 #: Words of 64 bits that the shortest parity sketch has, members of a block of a group, and pairs that are compared at once.
 LEAST, PAIR_BLOCK, PAIRS = 2, 2048, 1 << 16
+#: Bytes of text whose sets are made at once: arrays of words and shingles take some forty times as much.
+SETS = CHUNK // 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +149,7 @@ def _classes(docs: DataFrame, k: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, classes, sketches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for i, j, data, offsets in chunks(batch):
+            for i, j, data, offsets in chunks(batch, limit=SETS):
                 row, value = shingle_sets(data, offsets, k, seed)
                 size, cls = set_classes(row, value, j - i)
                 sizes.append(size)
@@ -165,7 +167,7 @@ def with_class(docs: DataFrame, text_col: str, k: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             classes = [np.zeros(0, np.int64)]
-            for i, j, data, offsets in chunks(batch, text_col):
+            for i, j, data, offsets in chunks(batch, text_col, SETS):
                 classes.append(set_classes(*shingle_sets(data, offsets, k, seed), j - i)[1])
             yield batch.append_column("_class", pa.array(np.concatenate(classes)))
 
@@ -178,7 +180,7 @@ def _groups(docs: DataFrame, k: int, percent: int, n: int, level: int, seed: int
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            for i, j, data, offsets in chunks(batch, "text", CHUNK):
+            for i, j, data, offsets in chunks(batch):
                 row, value = shingle_sets(data, offsets, k, seed)
                 size, name = set_classes(row, value, j - i)
                 # Copies in a batch sign once.
@@ -265,7 +267,7 @@ def _linked(edges: DataFrame, texts: DataFrame, k: int, percent: int, seed: int)
                     # One hub has many edges in a row; its set is made once a part.
                     codes = part.column(part.schema.get_field_index(column)).dictionary_encode()
                     distinct = pa.RecordBatch.from_arrays([codes.dictionary], ["text"])
-                    for i, j, data, offsets in chunks(distinct):
+                    for i, j, data, offsets in chunks(distinct, limit=SETS):
                         row, value = shingle_sets(data, offsets, k, seed)
                         own += np.split(value, np.searchsorted(row, np.arange(1, j - i)))
                     sets.append([own[c] for c in codes.indices.to_pylist()])
@@ -461,7 +463,7 @@ def _class_texts(docs: DataFrame, k: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             classes = [np.zeros(0, np.int64)]
-            for i, j, data, offsets in chunks(batch):
+            for i, j, data, offsets in chunks(batch, limit=SETS):
                 classes.append(set_classes(*shingle_sets(data, offsets, k, seed), j - i)[1])
             name, first = np.unique(np.concatenate(classes), return_index=True)
             first = first[name != 0]
