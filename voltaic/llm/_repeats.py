@@ -70,10 +70,14 @@ def bins_for(df: DataFrame, size: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
 
 
+def partitions_for(df: DataFrame, n: int) -> int:
+    """Over how many partitions n keys are dealt, within reason: more than ``PARTITIONS`` where the session's own setting is higher."""
+    return min(n, max(PARTITIONS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
     """Rows of each of n keys together and keys in order, over as many partitions as there are keys, within reason."""
-    most = max(PARTITIONS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(min(n, most), key).sortWithinPartitions(key)
+    return df.repartition(partitions_for(df, n), key).sortWithinPartitions(key)
 
 
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import CHUNK, chunks, documents, drop, let_go, stage, stage_by
-from ._repeats import HELD, PARTITIONS, _buckets, bins_for, by_key, dealt, unpack
+from ._repeats import HELD, _buckets, bins_for, by_key, dealt, partitions_for, unpack
 from ._words import _MUL, NOT_WHITE, mix, new_seed, shingle_hashes, split_words
 
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -77,6 +77,15 @@ def set_classes(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, np.where(size > 0, np.maximum(out, np.uint64(1)), np.uint64(0)).astype(np.int64)
 
 
+def _unseen(name: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes with 0 for those that are in ``seen`` (in order) or occur earlier, and ``seen`` with the rest: eight bytes for each set of a task."""
+    first = np.unique(name, return_index=True)[1]
+    fresh = first[~np.isin(name[first], seen, assume_unique=True)]
+    out = np.zeros_like(name)
+    out[fresh] = name[fresh]
+    return out, np.union1d(seen, name[fresh])
+
+
 @lru_cache(maxsize=32)
 def bands(percent: int, largest: int, level: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """First sizes of the bands up to ``largest`` and beyond, and (differences, n1, n2) of each band's instance.
@@ -179,15 +188,15 @@ def _groups(docs: DataFrame, k: int, percent: int, n: int, level: int, seed: int
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
+        seen = np.zeros(0, np.int64)
         for batch in batches:
-            for i, j, data, offsets in chunks(batch):
+            for i, j, data, offsets in chunks(batch, limit=SETS):
                 row, value = shingle_sets(data, offsets, k, seed)
                 size, name = set_classes(row, value, j - i)
-                # Copies in a batch sign once.
-                first = np.zeros(j - i, dtype=bool)
-                first[np.unique(name, return_index=True)[1]] = True
-                mine = first[row]
-                who, sig = signatures(row[mine], value[mine], np.where(first, size, 0), percent, level)
+                # Copies in a task sign once.
+                name, seen = _unseen(name, seen)
+                mine = name[row] != 0
+                who, sig = signatures(row[mine], value[mine], np.where(name != 0, size, 0), percent, level)
                 for begin in range(0, len(who), HELD):
                     part = slice(begin, begin + HELD)
                     held.append((name[who[part]], name[who[part]], sig[part] & _LOW48))
@@ -458,16 +467,16 @@ def _close_edges(mixed: DataFrame, sketches: DataFrame, percent: int, step: str)
 
 
 def _class_texts(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """(node, text): texts with their classes, copies in a batch once, without empty sets."""
+    """(node, text): texts with their classes, copies in a task once, without empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
         for batch in batches:
-            classes = [np.zeros(0, np.int64)]
+            column = batch.column("text")
             for i, j, data, offsets in chunks(batch, limit=SETS):
-                classes.append(set_classes(*shingle_sets(data, offsets, k, seed), j - i)[1])
-            name, first = np.unique(np.concatenate(classes), return_index=True)
-            first = first[name != 0]
-            yield pa.RecordBatch.from_arrays([pa.array(name[name != 0]), batch.column("text").take(pa.array(first))], ["node", "text"])
+                name, seen = _unseen(set_classes(*shingle_sets(data, offsets, k, seed), j - i)[1], seen)
+                at = np.flatnonzero(name)
+                yield pa.RecordBatch.from_arrays([pa.array(name[at]), column.take(pa.array(at + i))], ["node", "text"])
 
     return docs.select("text").mapInArrow(run, "node bigint, text string")
 
@@ -477,7 +486,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, k: int, seed: int, n: int) -> Data
 
     Classes are made again, so that texts are shuffled once, by class. Both sides are dealt out alike, else the join would shuffle the texts again.
     """
-    n = min(n, PARTITIONS)
+    n = partitions_for(docs, n)
     rows = _class_texts(docs, k, seed).repartition(n, "node").join(nodes.repartition(n, "node").hint("merge"), "node", "left_semi")
     return stage_by(rows.groupBy("node").agg(F.first("text").alias("text")), "node", n)
 
