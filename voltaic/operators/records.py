@@ -29,10 +29,17 @@ def select_column(columns: Sequence[str], preferred: Sequence[str]) -> str | Non
     return next((known[p.casefold()] for p in preferred if p.casefold() in known), None)
 
 
-def atlas_rows(table: DataFrame, atlas: str, keep: Sequence[str] = ("file",)) -> DataFrame:
-    """(file, name, region) of an electrode table: the channel's column by preference, and the atlas's, in any case."""
+def atlas_rows(table: DataFrame, atlas: str, keep: Sequence[str] = ("file",), without: str = "error") -> DataFrame:
+    """(file, name, region) of an electrode table: the channel's column by preference, and the atlas's, in any case.
+
+    A table without these columns is an error, or gives no rows (``without="skip"``, as group statistics of time and frequency take them).
+    """
+    if without not in ("error", "skip"):
+        raise ValueError(f"unknown way with tables without the columns: {without}")
     name, region = select_column(table.columns, CHANNEL_COLUMNS), select_column(table.columns, [atlas])
     if name is None or region is None:
+        if without == "skip":
+            return table.where(F.lit(False)).select(*keep, F.lit("").alias("name"), F.lit("").alias("region"))
         raise ValueError(f"the table has no column of {'channels' if name is None else atlas}")
     return table.select(*keep, F.trim(name).alias("name"), F.trim(region).alias("region"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annotated, domain, nulls, records, signals, statistics, whole
+from . import annotated, domain, nulls, records, results, signals, statistics, whole
 
-QUERIES = {**statistics.QUERIES, **domain.QUERIES, **signals.QUERIES, **whole.QUERIES, **records.QUERIES, **nulls.QUERIES, **annotated.QUERIES}
-SQL = {**statistics.SQL, **domain.SQL, **signals.SQL, **whole.SQL, **records.SQL, **nulls.SQL, **annotated.SQL}
+QUERIES = {**statistics.QUERIES, **domain.QUERIES, **signals.QUERIES, **whole.QUERIES, **records.QUERIES, **nulls.QUERIES, **annotated.QUERIES, **results.QUERIES}
+SQL = {**statistics.SQL, **domain.SQL, **signals.SQL, **whole.SQL, **records.SQL, **nulls.SQL, **annotated.SQL, **results.SQL}

@@ -21,10 +21,10 @@ def write_result(df: DataFrame, path: str, schema_name: str, by: tuple[str, ...]
 
 
 def write_text(df: DataFrame, path: str, columns: tuple[str, ...] = (), mode: str = "overwrite") -> None:
-    """Tab-separated text with a header; maps and structs as JSON, missing values empty."""
+    """Tab-separated text with a header; maps and structs as JSON, missing values empty; quotes within values are doubled."""
     types = dict(df.dtypes)
     cells = [F.to_json(c).alias(c) if types[c].startswith(("map", "struct", "array")) else F.col(c).cast("string").alias(c) for c in (columns or df.columns) if c in types]
-    df.select(*cells).write.mode(mode).option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    df.select(*cells).write.mode(mode).option("sep", "\t").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def result_path(root: str, entities: Column, datatype: str, suffix: str, extension: str) -> Column:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A .tsv (tabs) or .csv file: a header, every value a trimmed text, missing values empty texts."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
     df = reader.option("sep", "\t" if ".tsv" in path else ",").csv(path)
     return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns))
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows with the file they come from and their place in it, from 0 on."""
-    reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("sep", "\t" if ".tsv" in path else ",")
+    reader = spark.read.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("sep", "\t" if ".tsv" in path else ",")
     df = reader.csv(path)
     columns = df.columns
     # The id ascends along a file, whatever the splits; counting it within the file makes it dense.
