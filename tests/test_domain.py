@@ -57,6 +57,25 @@ def test_nearest_rows_are_used_once(spark):
     assert {(r.anchor, r.row) for r in trials.nearest_rows(a, b, "id", "k").collect()} == {(1, 10), (2, 11)}
 
 
+@pytest.mark.parametrize("cut", [1, 3, 1 << 20])
+def test_nearest_rows_with_recordings_cut(spark, monkeypatch, cut):
+    monkeypatch.setattr(trials, "CUT", cut)
+    rng = np.random.default_rng(cut)
+    a = [(r, i, float(t), str(c)) for r in "rs" for i, (t, c) in enumerate(zip(np.sort(rng.uniform(0, 3 if r == "r" else 0.2, 120)), rng.choice(["x", "y"], 120), strict=True))]
+    b = [(r, i, t + float(rng.normal(0, 0.004)), c if rng.random() < 0.7 else None) for r, i, t, c in a]
+    want = set()
+    for rec in "rs":
+        used = set()
+        for _, i, t, c in sorted((x for x in a if x[0] == rec), key=lambda x: (x[2], x[1])):
+            near = sorted((abs(t - u), j) for q, j, u, d in b if q == rec and abs(t - u) <= 0.01 and d in (None, c) and j not in used)
+            if near:
+                used.add(near[0][1])
+                want.add((rec, i, near[0][1]))
+    schema = "recording string, {} int, onset double, code string"
+    got = trials.nearest_rows(spark.createDataFrame(a, schema.format("id")), spark.createDataFrame(b, schema.format("k")), "id", "k", tolerance=0.01)
+    assert {(r.recording, r.anchor, r.row) for r in got.collect()} == want
+
+
 def test_windows_include_their_ends(spark):
     a = spark.createDataFrame([("r", 1, 10.0)], "recording string, id int, onset double")
     b = spark.createDataFrame([("r", x) for x in (8.999, 9.0, 10.0, 12.0, 12.001, None)], "recording string, onset double")

@@ -49,6 +49,24 @@ def test_corrections_ignore_unknown_p(spark):
     assert {r.i: r.p_corr for r in stats.bonferroni(df).collect()} == pytest.approx({1: 0.03, 2: 0.06, 3: None, 4: 1.0})
 
 
+def test_false_discovery_rates_of_maps(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for by in ("a", None, "one", "unknown"):
+        p = {"one": [0.04], "unknown": [None, None]}.get(by) or [0.0, 0.0, 5e-324, 1e-300, 2**-10, 1.0, 1.0, None, *rng.choice(rng.uniform(0, 1, 40) ** 4, 200).tolist()]
+        known = sorted(x for x in p if x is not None)
+        for i, x in enumerate(p):
+            rows.append((by, i, x))
+            want[by, i] = None if x is None else min(1.0, min(y * len(known) / np.searchsorted(known, y, side="right") for y in known if y >= x))
+    got = stats.benjamini_hochberg(spark.createDataFrame(rows, "m string, i int, p double"), by=["m"])
+    assert got.columns == ["m", "i", "p", "p_corr"]
+    assert {(r.m, r.i): r.p_corr for r in got.collect()} == pytest.approx(want)
+    alone = [x for x in rows if x[0] == "a"]
+    got = stats.benjamini_hochberg(spark.createDataFrame(alone, "m string, i int, p double"))
+    assert {(r.m, r.i): r.p_corr for r in got.collect()} == pytest.approx({k: v for k, v in want.items() if k[0] == "a"})
+    assert stats.benjamini_hochberg(spark.createDataFrame([], "m string, p double"), by=["m"]).count() == 0
+
+
 def test_zero_spread(spark):
     df = cells(spark, [(i, "A", 0, 0, 0.0, 5.0) for i in range(4)])
     assert stats.zscore(df, ["feature"]).first().z == 0

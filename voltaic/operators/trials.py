@@ -11,6 +11,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of a block, at whose borders a recording may be cut.
+CUT = 1 << 20
+
 
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
@@ -79,25 +82,33 @@ def next_response(anchors: DataFrame, responses: DataFrame, key: str, recording:
 def nearest_rows(anchors: DataFrame, rows: DataFrame, key: str, row_key: str, tolerance: float = 1e-3, recording: str = "recording", onset: str = "onset", code: str = "code") -> DataFrame:
     """Anchors in order with the nearest unused row within the tolerance whose code is equal or unknown; each row is used once.
 
-    Candidates come from a bucketed join; choosing is in order of anchors within a recording, one pass over the candidates in that order.
+    Candidates come from a bucketed join. Choosing is in order of anchors; anchors more than twice the tolerance apart can't want one row, so recordings are cut
+    where buckets between two blocks of buckets are free, and a task forgets what was chosen at each such gap. Keys are taken to be unique within a recording.
     """
     import pyarrow as pa
 
-    a = anchors.select(recording, F.col(key).alias("anchor"), F.col(onset).alias("_ta"), F.col(code).alias("_ca"))
+    bucket = F.floor(F.col("_ta") / (2 * tolerance))
+    a = anchors.select(recording, F.col(key).alias("anchor"), F.col(onset).alias("_ta"), F.col(code).alias("_ca")).withColumn("_p", bucket).withColumn("_block", F.floor(F.col("_p") / CUT))
+    # A block goes on in the next one unless two buckets or more are free between their anchors. Blocks are few beside anchors.
+    blocks = a.groupBy(recording, "_block").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
+    in_order = Window.partitionBy(recording).orderBy("_block")
+    border = blocks.withColumn("_cut", F.coalesce(F.col("_first") - F.lag("_last").over(in_order) > 2, F.lit(False)).cast("long"))
+    a = a.join(border.select(recording, "_block", F.sum("_cut").over(in_order).alias("_part")), [recording, "_block"])
     b = rows.select(recording, F.col(row_key).alias("row"), F.col(onset).alias("_tb"), F.col(code).alias("_cb"))
-    place = F.floor(F.col("_ta") / (2 * tolerance))
-    near = a.withColumn("_b", F.explode(F.array(place - 1, place, place + 1))).join(b.withColumn("_b", F.floor(F.col("_tb") / (2 * tolerance))), [recording, "_b"])
+    near = a.withColumn("_b", F.explode(F.array(F.col("_p") - 1, F.col("_p"), F.col("_p") + 1))).join(b.withColumn("_b", F.floor(F.col("_tb") / (2 * tolerance))), [recording, "_b"])
     near = near.where((F.abs(F.col("_ta") - F.col("_tb")) <= tolerance) & (F.col("_cb").isNull() | (F.col("_cb") == F.col("_ca"))))
-    near = near.select(recording, "anchor", "row", F.abs(F.col("_ta") - F.col("_tb")).alias("gap"), "_ta")
-    near = near.repartition(recording).sortWithinPartitions(recording, "_ta", "anchor", "gap", "row")
+    near = near.select(recording, "anchor", "row", F.abs(F.col("_ta") - F.col("_tb")).alias("gap"), "_ta", "_part")
+    near = near.repartition(recording, "_part").sortWithinPartitions(recording, "_part", "_ta", "anchor", "gap", "row")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, done, used = object(), set(), set()
+        now, last, done, used = object(), 0.0, set(), set()
         for batch in batches:
             take = []
-            for rec, anchor, row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if rec != now:
-                    now, done, used = rec, set(), set()
+            for rec, anchor, row, ta, piece in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
+                # Half a bucket more than needed, for rounding.
+                if (rec, piece) != now or ta - last > 3 * tolerance:
+                    now, done, used = (rec, piece), set(), set()
+                last = ta
                 good = anchor not in done and row not in used
                 if good:
                     done.add(anchor)
