@@ -51,6 +51,15 @@ def test_next_response_is_strict_on_both_sides(spark):
     assert {r.id: r.response for r in trials.next_response(a, b, "id").collect()} == {1: None, 2: 2.5, 3: 9.0}
 
 
+def test_next_response_goes_to_the_last_anchor_of_a_time(spark):
+    """Whatever the order of rows; anchors of unknown recordings have none."""
+    rows = [("r", 3, 1.0), ("r", 1, 1.0), ("r", 2, 1.0), (None, 4, 1.0), ("r", 5, 2.0)]
+    b = spark.createDataFrame([("r", 1.5), (None, 1.5), ("r", 2.0), ("r", 3.0)], "recording string, onset double")
+    for given in (rows, rows[::-1]):
+        a = spark.createDataFrame(given, "recording string, id int, onset double")
+        assert {r.id: r.response for r in trials.next_response(a, b, "id").collect()} == {1: None, 2: None, 3: 1.5, 4: None, 5: 3.0}
+
+
 def test_nearest_rows_are_used_once(spark):
     a = spark.createDataFrame([("r", 1, 1.0, "x"), ("r", 2, 1.0004, "x"), ("r", 3, 4.0, "y")], "recording string, id int, onset double, code string")
     b = spark.createDataFrame([("r", 10, 1.0003, None), ("r", 11, 1.0009, "x"), ("r", 12, 4.0, "z")], "recording string, k int, onset double, code string")

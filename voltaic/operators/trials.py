@@ -67,15 +67,16 @@ def invalidate_by_count(trials: DataFrame, least: int, reason: str) -> DataFrame
 def next_response(anchors: DataFrame, responses: DataFrame, key: str, recording: str = "recording", onset: str = "onset") -> DataFrame:
     """The first response strictly after an anchor and strictly before the next one, as ``response``.
 
-    Both are put on one time line and the next response is looked up from behind, so it costs one sort per recording.
+    Both are put on one time line and the next response is looked up from behind, so it costs one sort per recording. Anchors of one time are in order of
+    ``key``, so only the last of them has a response. Without a recording there is none.
     """
     line = anchors.select(recording, F.col(onset).alias("_t"), F.col(key), F.lit(1).alias("_anchor")).unionByName(responses.select(recording, F.col(onset).alias("_t"), F.lit(None).cast(anchors.schema[key].dataType).alias(key), F.lit(0).alias("_anchor")))
     # From late to early, what was seen last is next. At equal times anchors come first, so responses of an anchor's own time are not after it.
-    after = Window.partitionBy(recording).orderBy(F.col("_t").desc(), F.col("_anchor").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(recording).orderBy(F.col("_t").desc(), F.col("_anchor").desc(), F.col(key).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     nxt = F.last(F.when(F.col("_anchor") == 0, F.col("_t")), ignorenulls=True).over(after)
     stop = F.last(F.when(F.col("_anchor") == 1, F.col("_t")), ignorenulls=True).over(after)
     line = line.withColumns({"_next": nxt, "_stop": stop}).where("_anchor = 1")
-    response = F.when((F.col("_next") > F.col("_t")) & (F.col("_stop").isNull() | (F.col("_next") < F.col("_stop"))), F.col("_next"))
+    response = F.when(F.col(recording).isNotNull() & (F.col("_next") > F.col("_t")) & (F.col("_stop").isNull() | (F.col("_next") < F.col("_stop"))), F.col("_next"))
     return line.select(recording, key, F.col("_t").alias(onset), response.alias("response"))
 
 
