@@ -106,3 +106,21 @@ def test_permuted_t_by_matrices(spark):
     assert set(got) == set(want)
     assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
     assert resample.permuted_t(values.limit(0), dealt, ["cell"], by=["subject"]).count() == 0
+
+
+def test_permuted_t_streams_slices(spark, monkeypatch):
+    """In small slices that are sent on at once: cells without any value or with one value only, labels that lack a permutation, trials of one side only, other types of keys; no task holds a block."""
+    from voltaic.operators import resample, stats
+
+    monkeypatch.setattr(resample, "STEP", 12)
+    monkeypatch.setattr(resample, "HELD", 8)
+    data = [(f"t{i:02}", c, None if c == "none" or i % 7 == 0 else 0.1 if c == "same" else 1e6 + float((i * i * 7 + len(c)) % 13)) for i in range(40) for c in ("none", "same", "x", "long")]
+    values = spark.createDataFrame(data, "trial string, cell string, v double")
+    dealt = spark.createDataFrame([(p, f"t{i:02}", "AB-"[(i * (p + 2)) % 3]) for p in range(4) for i in range(3, 44) if (i + p) % 6], "perm int, trial string, condition string")
+    made = resample.permuted_t(values, dealt, ["cell"], blocks=2, slices=3)
+    got = {tuple(r)[:2]: r["t"] for r in made.collect()}
+    want = {tuple(r)[:2]: r["t"] for r in stats.two_sample_t(values.join(dealt, "trial"), ["perm", "cell"]).collect()}
+    assert set(got) == set(want)
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-6) for k in want)
+    assert sum(t is not None for t in got.values()) == 6
+    assert "CoGroups" not in made._jdf.queryExecution().toString()
