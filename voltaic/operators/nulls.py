null_of_paired_maps: shuffle the values of a null once

Symptom: null_of_paired_maps wrote and read 233 MB of shuffle on the large input (51,282 trials, 0.02 GB), 63 MB on the small input.
Evidence: the event log had four large shuffles: the pools by label twice (47 and 36 MB), since the sizes of contributions needed fewer columns than the values and so could not share it; the collected values by block and contribution (75 MB), and the same lists again by block (75 MB). At six times the rows the join with the sizes moved the lists a third time.
Fix: group_null deals rows by block once and collects them there. Sizes are counted per contribution and block from the same columns, so they read the pools' shuffle that exists, and go to the blocks as rows beside the values instead of by a join or broadcast. Sign flips need no sizes. A block that arrives from two tasks is an error.
Effect: at 1 GB of input CPU 299 -> 279 s, shuffle 0.57 -> 0.28 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.04 GB, longest task 7 -> 6 s, most memory of a task 101 -> 101 MB; at 6 GB of input CPU 638 -> 553 s, shuffle 4.49 -> 1.70 GB, spill 0.06 -> 0.07 GB, read 0.52 -> 0.26 GB, longest task 23 -> 19 s, most memory of a task 503 -> 504 MB; with hot keys, at 1 GB of input CPU 268 -> 271 s, shuffle 0.37 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.02 GB, longest task 5 -> 7 s, most memory of a task 101 -> 101 MB.

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
@@ -122,6 +122,8 @@ def _merged(blocks: DataFrame, by: list[str]) -> DataFrame:
                 new = Runs(*(batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("best", "head", "tail", "whole")))
                 at = batch.column("_block")[i].as_py()
                 if current is not None and current[0] == key:
+                    if at == block:
+                        raise ValueError(f"block {at} of {key} comes from two tasks")
                     if at != block + 1:  # samples that nothing is known of end a run
                         gap = np.zeros(len(new.best))
                         runs = runs.then(Runs(gap, gap, gap, gap > 0))
@@ -159,12 +161,22 @@ def group_null(pools: DataFrame, n_iter: int, by: Sequence[str], unit: str = "un
     """
     by, paired = list(by), "v_b" in pools.columns
     first, second = draw or hash_draw(), draw_b or hash_draw(43)
-    values = [F.col(c).cast("double").alias(c) for c in (["v", "v_b"] if paired else ["v"])]
-    rows = pools.select(*by, F.col(unit).cast("long").alias("_u"), F.expr(f"t_idx DIV {width}").alias("_block"), F.struct(F.col("perm").cast("long").alias("p") if "perm" in pools.columns else F.lit(0).cast("long").alias("p"), F.expr(f"t_idx % {width}").cast("long").alias("t"), *values).alias("_s"))
-    # How many maps a contribution has (in each condition): of all its samples, so that all its blocks draw alike.
-    sizes = pools.groupBy(*by, F.col(unit).cast("long").alias("_u")).agg(*(F.max(F.when(F.col(c).isNotNull(), F.col("perm") if "perm" in pools.columns else F.lit(0)) + 1).cast("long").alias(f"_n_{c}") for c in (("v", "v_b") if paired else ("v",))))
-    arrays = rows.groupBy(*by, "_block", "_u").agg(F.collect_list("_s").alias("_s"))
-    arrays = arrays.join(sizes, [*by, "_u"])
+    conditions, blocks = ["v", "v_b"] if paired else ["v"], [*by, "_block"]
+    perm = F.col("perm") if "perm" in pools.columns else F.lit(0)
+    keys = [*by, F.expr(f"t_idx DIV {width}").alias("_block"), F.col(unit).cast("long").alias("_u")]
+    rows = pools.select(*keys, perm.cast("long").alias("_p"), F.expr(f"t_idx % {width}").cast("long").alias("_t"), *(F.col(c).cast("double").alias(c) for c in conditions))
+    for c in [*by, "_u"]:
+        rows = rows.where(F.col(c).isNotNull())
+    moved, value, n_maps = rows, F.struct(F.col("_p").alias("p"), F.col("_t").alias("t"), *conditions), {f"_n_{c}": F.lit(1) for c in conditions}
+    if not flip:
+        # How many maps a contribution has (in each condition): of all its samples, so that all its blocks draw alike. They go to the blocks with the values, as a row a contribution
+        # and block; a join by contribution would shuffle the values by it, and then back.
+        known = rows.groupBy(*blocks, "_u").agg(*(F.coalesce(F.max(F.when(F.col(c).isNotNull(), F.col("_p") + 1)), F.lit(0)).alias(f"_n_{c}") for c in conditions))
+        sizes = known.select(*blocks, "_u", *(F.max(n).over(Window.partitionBy(*by, "_u")).alias(n) for n in n_maps))
+        moved, value, n_maps = rows.unionByName(sizes, allowMissingColumns=True), F.when(F.col("_n_v").isNull(), value), {n: F.max(n) for n in n_maps}
+    # Values are shuffled once, to the task of their block, and collected there.
+    moved = moved.repartition(*blocks).withColumn("_s", value)
+    arrays = moved.groupBy(*blocks, "_u").agg(F.collect_list("_s").alias("_s"), *(x.alias(n) for n, x in n_maps.items()))
     iterations = np.arange(n_iter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +247,7 @@ def group_null(pools: DataFrame, n_iter: int, by: Sequence[str], unit: str = "un
             yield emit()
 
     fields = [*_key_fields(arrays, [*by, "_block"]), *_RUNS]
-    parts = arrays.repartition(*by, "_block").sortWithinPartitions(*by, "_block", "_u")
+    parts = arrays.sortWithinPartitions(*by, "_block", "_u")
     return _merged(parts.mapInArrow(run, StructType(fields)), by)
 
 
