@@ -33,7 +33,7 @@ def test_values_are_shuffled_once(spark, paired, flip):
     assert "hashpartitioning(roi#" in next(line for line in plan[::-1] if "_block#" in line and "REPARTITION_BY_COL" in line)
 
 
-@pytest.mark.parametrize("name", ["null_of_paired_maps"])
+@pytest.mark.parametrize("name", ["null_of_paired_maps", "null_of_stored_maps"])
 def test_pools_are_shuffled_once(spark, sf, name):
     """Sizes and values read the same shuffle of the pools."""
     df = queries.QUERIES[name](spark, sf)
